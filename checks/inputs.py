@@ -70,6 +70,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def points(spark: SparkSession, sf: str) -> DataFrame:
     """The points table: every order is a figure; some documents exist in two or three copies."""
     names = {t: table(spark, sf, t) for t in ("orders", "customer", "nation")}
+    # Customers grow with orders, so at scale this join is a shuffle; asking for one at any size also
+    # spreads the row work that follows over all cores, where the orders are a single small file.
+    names["customer"] = names["customer"].hint("shuffle_hash")
     base = spark.sql(
         POINT_BASE.replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}").replace("JOIN nation", "JOIN {nation}"),
         **names,

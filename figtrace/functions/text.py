@@ -22,9 +22,13 @@ def or_blank(c: Column) -> Column:
     return F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit(BLANK))
 
 
+# Every Unicode space separator.
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
 def trim_spaces(c: Column) -> Column:
     """Strip every kind of space character (no tabs), where ``trim`` only strips U+0020."""
-    return F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def ilike_any_part(c: Column, part: str) -> Column:

@@ -7,13 +7,11 @@ and cannot multiply them. ``context_tags`` gives the distinct classifications fo
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figtrace.functions import rules as R
-from figtrace.functions.dialect import matches
+from figtrace.functions.dialect import first_match, literal, matches
 from figtrace.functions.text import trim_spaces
 from figtrace.plans.once import computed_once
 from figtrace.plans.skew import HOT_ROWS, hot_keys, lookup_join
@@ -26,14 +24,6 @@ TAGS = (
 VETOED = ("metric_code_v2_raw", "magnitude_check")
 
 
-def first_match(cases: Iterable[tuple[Column, object]], default: object) -> Column:
-    """The value of the first case that holds."""
-    chain = None
-    for condition, value in cases:
-        chain = F.when(condition, value) if chain is None else chain.when(condition, value)
-    return F.lit(default) if chain is None else chain.otherwise(default)
-
-
 def parse_context(
     df: DataFrame, context: str = "context", location: str = "location", unit: str = "unit"
 ) -> DataFrame:
@@ -74,10 +64,10 @@ def _noun(df: DataFrame) -> DataFrame:
             "_noun_label": trim_spaces(F.regexp_replace("row_label", R.DENOMINATORS, " ")),
         }
     )
-    label_noun = first_match([(matches(F.col("_noun_label"), n.pattern), n.name) for n in R.NOUNS], "")
+    label_noun = first_match([(matches("_noun_label", n.pattern), n.name) for n in R.NOUNS], "")
     df = df.withColumn("_label_noun", label_noun)
-    hits = F.concat_ws("|", *[F.when(matches(F.col("_family_text"), n.pattern), n.name) for n in R.NOUNS])
-    df = df.withColumn("_sheet_nouns", F.when(F.col("_label_noun") == "", hits).otherwise(""))
+    hits = ", ".join(f"case when {matches('_family_text', n.pattern)} then {literal(n.name)} end" for n in R.NOUNS)
+    df = df.withColumn("_sheet_nouns", F.expr(f"case when _label_noun = '' then concat_ws('|', {hits}) else '' end"))
     named = F.col("_label_noun") != ""
     from_sheet = (F.col("_sheet_nouns") != "") & ~F.contains(F.col("_sheet_nouns"), F.lit("|"))
     return df.withColumns(
@@ -97,34 +87,27 @@ def _kind(df: DataFrame) -> DataFrame:
             raise ValueError(f"{k.rule_id}: the band is that of the first match, so banded rules come first")
         unbanded = unbanded or not banded
     target = {"label": "row_label", "unit": "unit_l", "noun": "measure_noun"}
-    rule = first_match([(matches(F.col(target[k.target]), k.pattern), k.rule_id) for k in R.KINDS], R.NO_RULE)
-    df = df.withColumn("rule_id", rule)
-    is_rule = {k.rule_id: F.col("rule_id") == k.rule_id for k in R.KINDS}
-    no_band = F.lit(None).cast("double")
+    rule = first_match([(matches(target[k.target], k.pattern), k.rule_id) for k in R.KINDS], R.NO_RULE)
+    is_rule = {k.rule_id: f"rule_id = {literal(k.rule_id)}" for k in R.KINDS}
+    family = first_match([(matches("_family_text", pattern), name) for name, pattern in R.FAMILIES], R.NO_FAMILY)
+    df = df.withColumns({"rule_id": rule, "metric_family": family}).drop("_family_text")
     return df.withColumns(
         {
             "measure_kind": first_match([(is_rule[k.rule_id], k.kind) for k in R.KINDS], R.NO_KIND),
-            "_low": first_match([(is_rule[k.rule_id], k.low) for k in R.KINDS if k.low is not None], no_band),
-            "band_hi": first_match([(is_rule[k.rule_id], k.high) for k in R.KINDS if k.high is not None], no_band),
-            "metric_family": first_match(
-                [(matches(F.col("_family_text"), pattern), name) for name, pattern in R.FAMILIES], R.NO_FAMILY
-            ),
+            "_low": first_match([(is_rule[k.rule_id], k.low) for k in R.KINDS if k.low is not None], None),
+            "band_hi": first_match([(is_rule[k.rule_id], k.high) for k in R.KINDS if k.high is not None], None),
         }
-    ).drop("_family_text")
+    )
 
 
 def _code(df: DataFrame) -> DataFrame:
     """Add metric_code_v2, NULL wherever the figure must not answer a question, and band_lo."""
-    noun, kind, family = F.col("measure_noun"), F.col("measure_kind"), F.col("metric_family")
-    uncoded = kind.isin(*R.UNCODED_KINDS) | (noun == R.UNCODED_NOUN) | (F.col("label_source") == "none")
-    cases = [(uncoded, F.lit(None).cast("string"))]
+    names = ", ".join(map(literal, R.UNCODED_KINDS))
+    uncoded = f"measure_kind in ({names}) or measure_noun = {literal(R.UNCODED_NOUN)} or label_source = 'none'"
+    cases = [(uncoded, None)]
     for c in R.CODES:
-        condition = noun == c.noun
-        if c.kind is not None:
-            condition &= kind == c.kind
-        if c.family is not None:
-            condition &= family == c.family
-        cases.append((condition, c.code))
+        wanted = {"measure_noun": c.noun, "measure_kind": c.kind, "metric_family": c.family}
+        cases.append((" and ".join(f"{k} = {literal(v)}" for k, v in wanted.items() if v is not None), c.code))
     df = df.withColumn("metric_code_v2", first_match(cases, None))
     floored = F.greatest(F.coalesce(F.col("_low"), F.lit(0.0)), F.lit(0.0))
     return df.withColumn(
@@ -138,9 +121,9 @@ def _cue(df: DataFrame) -> DataFrame:
     year = F.nullif(F.regexp_extract(cue, R.BASE_YEAR, 1), F.lit(""))
     return df.withColumns(
         {
-            "currency_v2": first_match([(matches(cue, p), name) for name, p in R.CURRENCIES], ""),
-            "scale_mult": first_match([(matches(cue, p), scale) for scale, p in R.SCALES], 1),
-            "price_basis": first_match([(matches(cue, p), name) for name, p in R.BASES], ""),
+            "currency_v2": first_match([(matches("cue", p), name) for name, p in R.CURRENCIES], ""),
+            "scale_mult": first_match([(matches("cue", p), scale) for scale, p in R.SCALES], 1),
+            "price_basis": first_match([(matches("cue", p), name) for name, p in R.BASES], ""),
             "base_year": year.try_cast("int"),
             "unit_is_pct": (F.col("unit_l") == "%") | F.contains(cue, F.lit("%")),
         }
