@@ -40,5 +40,5 @@ def staging_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise SourceError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="figtrace-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
