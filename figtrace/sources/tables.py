@@ -43,9 +43,12 @@ def with_data_class(points: DataFrame, temporality: str = "temporality", scenari
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a table in place of what the path held, and read it back.
 
-    The source must not be the path itself. Readers of the old table should be done: files are
+    Rows of one partition folder are gathered into few files, while a folder holding a large share of
+    the rows is still written by many tasks. The source must not be the path itself. Readers of the old table should be done: files are
     swapped by Spark's output committer, not versioned.
     """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.parquet(path)
 
