@@ -146,13 +146,15 @@ oracle("search_absent_filter", POINTS, select="""
 SELECT point_id AS record_id, 'data_class,verification_status' AS not_applied FROM points
 WHERE metric_code ILIKE '%rev_aero%'""")
 
-FACETS = ["metric_code", "unit", "data_class", "temporality", "year"]
-oracle("summarise", *SEARCHED, f"f AS (SELECT * FROM served WHERE {IS_ENTITY})", "counted AS (" + " UNION ALL ".join(
-    ["SELECT '_total' AS facet, 'all' AS key, count(*) AS n FROM f"]
-    + [f"SELECT '{c}', coalesce(nullif(CAST({c} AS VARCHAR), ''), '(blank)'), count(*) FROM f GROUP BY 2" for c in FACETS]
-    + ["SELECT 'source_folder', coalesce(nullif(array_to_string(string_split(source_file, '/')[1:5], '/'), ''), '(blank)'), "
-       "count(*) FROM f GROUP BY 2"]) + ")", select="""
-SELECT facet, key, n FROM counted QUALIFY row_number() OVER (PARTITION BY facet ORDER BY n DESC, key) <= 15""")
+KEYS = {c: f"CAST({c} AS VARCHAR)" for c in ("metric_code", "unit", "data_class", "temporality", "year")}
+KEYS["source_folder"] = "array_to_string(string_split(source_file, '/')[1:5], '/')"
+oracle("summarise", *SEARCHED, f"""pairs AS (
+  SELECT unnest([{{'facet': '_total', 'key': 'all'}}, {', '.join(f"{{'facet': '{f}', 'key': {k}}}" for f, k in KEYS.items())}],
+    recursive := true)
+  FROM served WHERE {IS_ENTITY})""", """counts AS (
+  SELECT facet, CASE WHEN coalesce(key, '') = '' THEN '(blank)' ELSE key END AS key, count(*) AS n FROM pairs GROUP BY ALL)""", """
+places AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, key) AS place FROM counts)""", select="""
+SELECT facet, key, n FROM places WHERE place <= 15""")
 oracle("summarise_untagged", *SEARCHED, select="""
 SELECT count(*) AS n_total, count(*) FILTER (WHERE coalesce(metric_code, '') = '') AS n_blank,
   CAST(round(CAST(100 * count(*) FILTER (WHERE coalesce(metric_code, '') = '') AS DECIMAL(18,0)) / count(*), 1)

@@ -19,16 +19,16 @@ from figtrace.plans.median import grouped_figures
 from figtrace.plans.skew import HOT_ROWS
 from figtrace.sources.concepts import BoundPoints
 
-# Axes that must agree, axes whose difference is only disclosed, and what is said.
+# Axes that must agree, and axes whose difference is only disclosed.
 HARD_AXES = ("metric_code", "unit", "currency", "value_scale", "basis")
 SOFT_AXES = ("temporality", "entity", "year")
 MESSAGES = {
-    "metric_code": "different metrics: these measure different things and cannot be compared",
-    "unit": "different units",
-    "currency": "different currencies: must not be pooled without a stated FX basis and date",
-    "value_scale": "different scales (e.g. units vs thousands vs millions)",
-    "basis": "different or unstated basis (e.g. real vs nominal): cannot confirm like-for-like",
-    "temporality": "mixes actual and forecast; comparable only as a like-for-like if that mix is intended",
+    "metric_code": "the figures measure different things",
+    "unit": "the units differ",
+    "currency": "the currencies differ; pooling them needs a stated exchange rate and date",
+    "value_scale": "the scales differ, as single units and thousands do",
+    "basis": "the price bases differ or one is unstated, as real and nominal do",
+    "temporality": "actual and forecast figures are mixed; combine them only if that is meant",
 }
 COMPARABLE, NOT_COMPARABLE, INSUFFICIENT = "comparable", "not_comparable", "insufficient"
 

@@ -152,7 +152,7 @@ def test_one_definition_gives_a_spread(spark, store):
     row, flags, pairs = _compare(spark, store, "p1", "p2", "p1")
     assert (row["verdict"], row["n"], row["v_min"], row["v_median"], row["v_max"]) == ("comparable", 2, 4.65, 4.91, 5.17)
     assert "mean" not in " ".join(row.asDict())
-    assert flags["temporality", "actual"]["severity"] == "soft" and "mixes" in flags["temporality", "actual"]["message"]
+    assert flags["temporality", "actual"]["severity"] == "soft" and "mixed" in flags["temporality", "actual"]["message"]
     assert {r.axis: r.value for r in C.aligned_on(store, pairs).collect()}["unit"] == "GBP"
 
 
