@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figtrace.llm import packing, token_count
+from figtrace.llm import decontaminate, packing, token_count
 from figtrace.llm.texts import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,16 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    marked = decontaminate.mark(read(spark, sf, "documents"), read(spark, sf, "benchmark"), window=10, keep=["doc_id"])
+    n_hit = decontaminate.covered(F.col("spans"))
+    return marked.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 @query
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packing.token_pieces(read(spark, sf, "documents"), vocabulary(), size=LIMIT, end=END)

@@ -50,16 +50,17 @@ def from_texts(
     *,
     text: str = "text",
     keep: Sequence[str] | None = None,
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """``docs`` with columns computed from its texts, one row each.
 
     ``make`` runs once in every task and returns a function from the texts of a batch (bytes, None for
-    null) to one list or array per field of ``schema``. ``keep`` names the columns that stay (all by
+    null), and its values of the columns ``also``, to one list or array per field of ``schema``. ``keep`` names the columns that stay (all by
     default); one that has the name of a new column is replaced.
     """
     new = StructType.fromDDL(schema)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
-    source = docs.select(*[F.col(_quoted(c)) for c in kept], F.col(_quoted(text)).cast("binary").alias("_text"))
+    source = docs.select(*[F.col(_quoted(c)) for c in kept], F.col(_quoted(text)).cast("binary").alias("_text"), *[F.col(_quoted(a)).alias(f"_also_{i}") for i, a in enumerate(also)])
     out = StructType([*docs.select(*[_quoted(c) for c in kept]).schema.fields, *new.fields])
     n = len(kept)
 
@@ -67,7 +68,7 @@ def from_texts(
         compute = make()
         fields = None
         for batch in batches:
-            columns = compute(batch.column(n).to_pylist())
+            columns = compute(*[batch.column(i).to_pylist() for i in range(n, n + 1 + len(also))])
             if fields is None:
                 from pyspark.sql.pandas.types import to_arrow_schema
 
