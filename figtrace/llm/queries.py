@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figtrace.llm import decontaminate, packing, token_count
-from figtrace.llm.texts import read
+from figtrace.llm import decontaminate, packing, token_count, toxicity
+from figtrace.llm.texts import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +30,16 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    model = toxicity.train(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     marked = decontaminate.mark(read(spark, sf, "documents"), read(spark, sf, "benchmark"), window=10, keep=["doc_id"])
