@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figtrace.llm import decontaminate, packing, token_count, toxicity
+from figtrace.llm import decontaminate, packing, ppm, token_count, toxicity
 from figtrace.llm.texts import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,13 @@ def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.best_fit(digests, size=LIMIT, order=["doc_id", "piece"])
 
 
+@query
+def op9_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 7) == 2
+    scored = ppm.score(read(spark, sf, "documents"), ~held_out, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     counted = token_count.count_tokens(read(spark, sf, "documents"), vocabulary(), keep=["doc_id"])

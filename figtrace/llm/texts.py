@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from figtrace.session import staging_path
 
-_SPACES = frozenset([*range(9, 14), 32])
+SLICE = 4 << 20
 # Byte tables: A-Z in lower case; bytes of UTF-8 sequences stay as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 # ... and every other ASCII byte that is neither a letter nor a digit becomes a space.
@@ -67,7 +68,7 @@ def from_texts(
     def run(batches: Batches) -> Batches:
         compute = make()
         fields = None
-        for batch in batches:
+        for batch in slices(batches, n):
             columns = compute(*[batch.column(i).to_pylist() for i in range(n, n + 1 + len(also))])
             if fields is None:
                 from pyspark.sql.pandas.types import to_arrow_schema
@@ -81,6 +82,17 @@ def from_texts(
     return source.mapInArrow(run, out)
 
 
+def slices(batches: Batches, column: int) -> Batches:
+    """The same rows in batches of about ``SLICE`` bytes of text, so that what is made of them stays small."""
+    for batch in batches:
+        sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)).astype(np.int64)
+        share = (np.cumsum(sizes) - sizes) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(sizes)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
