@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figtrace.llm import decontaminate, packing, ppm, token_count, toxicity
+from figtrace.llm import decontaminate, minhash, packing, ppm, token_count, toxicity
 from figtrace.llm.texts import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op5_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.groups(read(spark, sf, "documents"), size=2, percent=80, keep=["doc_id"])
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     marked = decontaminate.mark(read(spark, sf, "documents"), read(spark, sf, "benchmark"), window=10, keep=["doc_id"])
