@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figtrace.llm.texts import LOWER, from_texts, slices, staged, words
+from figtrace.llm.word_counts import Hashes, add_up, word_counts
 
 ORDER = 5
 # A context stays in the trie when it precedes at least one in so many symbols; no more than this many
@@ -45,11 +45,6 @@ def _scored(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mask
 
 
-def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return k, np.bincount(at, np.concatenate(counts), len(k)).astype(np.int64)
-
-
 def byte_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """How often each symbol follows each ``ORDER`` symbols, in all texts: gram, n."""
 
@@ -66,10 +61,10 @@ def byte_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
             held[1].append(n)
             size += len(grams)
             if size > 4_000_000:
-                grams, n = _sum(*held)
+                grams, n = add_up(*held)
                 held, size = ([grams], [n]), len(grams)
         if held[0]:
-            grams, n = _sum(*held)
+            grams, n = add_up(*held)
             for a in range(0, len(grams), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(grams[a : a + 100_000]), pa.array(n[a : a + 100_000])], ["gram", "n"])
 
@@ -168,41 +163,6 @@ def _costs(counts: list[np.ndarray], parents: list[np.ndarray], order: int, rows
     return np.log10(p / p.sum(1, keepdims=True))
 
 
-def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """How often each word, by its 64-bit hash, occurs in all texts: h, n."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hash()
-        held: tuple[list, list] = ([], [])
-        size = 0
-        for b in slices(batches, 0):
-            h, n = np.unique(np.concatenate([np.zeros(0, np.int64), *[hashes.of(words(t)) for t in b.column(0).to_pylist()]]), return_counts=True)
-            held[0].append(h)
-            held[1].append(n)
-            size += len(h)
-            if size > 4_000_000:
-                h, n = _sum(*held)
-                held, size = ([h], [n]), len(h)
-        if held[0]:
-            h, n = _sum(*held)
-            for a in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 100_000]), pa.array(n[a : a + 100_000])], ["h", "n"])
-
-    source = docs.select(F.col(text).cast("binary").alias("_text"))
-    return source.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
-class _Hash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = int.from_bytes(xxhash.xxh3_64_digest(word), "little", signed=True)
-        return h
-
-    def of(self, of_words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, of_words), np.int64, len(of_words))
-
-
 def score(docs: DataFrame, training: Column, *, text: str = "text", keep: list[str]) -> DataFrame:
     """The kept columns of ``docs`` with n_tokens, n_known, train_tokens, base_score and score.
 
@@ -214,7 +174,7 @@ def score(docs: DataFrame, training: Column, *, text: str = "text", keep: list[s
     spark = docs.sparkSession
     learned = docs.where(training)
     grams = staged(byte_counts(learned, text=text), "grams")
-    counted = staged(word_counts(learned, text=text), "word_counts")
+    counted = staged(word_counts(learned, split=words, text=text), "word_counts")
     model = trie(grams)
     n_texts = learned.count()
     n_words, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("h")).first()
@@ -224,7 +184,7 @@ def score(docs: DataFrame, training: Column, *, text: str = "text", keep: list[s
 
     def make():
         cost, following, held, n_held = sent.value
-        bytes_model, hashes = Trie(cost, following), _Hash()
+        bytes_model, hashes = Trie(cost, following), Hashes()
         logs = np.log10((n_held + 1) / room)
         end = np.log10((n_texts + 1) / room)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figtrace.llm import decontaminate, minhash, packing, ppm, token_count, toxicity
+from figtrace.llm import chat_format, decontaminate, minhash, packing, pii, ppm, quality, token_count, toxicity
 from figtrace.llm.texts import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,46 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op1_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = chat_format.preferences(chat_format.echo_pairs(read(spark, sf, "conversations")))
+    return pairs.select(
+        F.col("pair_id").alias("conv_id"), "n_common", "prompt",
+        *[chat_format.text_of(F.col(s)).alias(s) for s in ("chosen", "rejected")],
+        *[chat_format.trained_length(F.col(s)).alias(f"{s}_trained") for s in ("chosen", "rejected")],
+    )
+
+
+ORACLES["op1_chat_format"] = """
+WITH last AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+said AS (SELECT c.*, l.last FROM conversations c JOIN last l USING (conv_id)),
+sides AS (
+  SELECT conv_id, 'a' AS side, turn, role, text FROM said WHERE turn <= last
+  UNION ALL SELECT conv_id, 'b', turn, role, text FROM said WHERE turn < last
+  UNION ALL SELECT conv_id, 'b', last, 'assistant', text FROM said WHERE turn = last - 1),
+placed AS (
+  SELECT conv_id, side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id, side ORDER BY turn, role, text) AS i FROM sides),
+met AS (
+  SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.i, b.i) AS i,
+    coalesce(a.role = b.role AND a.text = b.text, false) AS same
+  FROM (SELECT * FROM placed WHERE side = 'a') a FULL JOIN (SELECT * FROM placed WHERE side = 'b') b
+    ON a.conv_id = b.conv_id AND a.i = b.i),
+cut AS (SELECT conv_id, coalesce(min(CASE WHEN NOT same THEN i END) - 1, max(i)) AS n FROM met GROUP BY conv_id),
+r AS (
+  SELECT p.*, n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS whole,
+    CASE WHEN role = 'assistant' THEN length(text) + 8 ELSE 0 END AS trained
+  FROM placed p JOIN cut USING (conv_id))
+SELECT conv_id, CAST(max(n) AS BIGINT) AS n_common,
+  coalesce(string_agg(whole, '' ORDER BY i) FILTER (side = 'a' AND i <= n), '') AS prompt,
+  coalesce(string_agg(whole, '' ORDER BY i) FILTER (side = 'a' AND i > n), '') AS chosen,
+  coalesce(string_agg(whole, '' ORDER BY i) FILTER (side = 'b' AND i > n), '') AS rejected,
+  CAST(coalesce(sum(trained) FILTER (side = 'a' AND i > n), 0) AS BIGINT) AS chosen_trained,
+  CAST(coalesce(sum(trained) FILTER (side = 'b' AND i > n), 0) AS BIGINT) AS rejected_trained
+FROM r GROUP BY conv_id
+"""
+
+
 @query
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
@@ -40,6 +80,16 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    scored = quality.score(
+        docs, labels.where(fold(F.col("doc_id"), 5) != 0),
+        host=F.col("source"), path=F.concat_ws("/", "source", "lang"), keep=["doc_id"],
+    )
+    return scored.withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+
+
 @query
 def op5_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.groups(read(spark, sf, "documents"), size=2, percent=80, keep=["doc_id"])
@@ -55,6 +105,16 @@ def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op7_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find(read(spark, sf, "documents"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] != pii.TERM)
+    return found.select(
+        "doc_id", *[pii.count(F.col("spans"), k).alias(f"n_{k}") for k in pii.KINDS[:4]],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packing.token_pieces(read(spark, sf, "documents"), vocabulary(), size=LIMIT, end=END)
