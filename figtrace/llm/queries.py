@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figtrace.llm import chat_format, decontaminate, minhash, packing, pii, ppm, quality, token_count, toxicity
+from figtrace.llm import chat_format, decontaminate, minhash, packing, pii, ppm, quality, token_count, toxicity, vector_dedup
 from figtrace.llm.texts import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,11 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op3_vector_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_dedup.linked(read(spark, sf, "embeddings"), threshold=0.95, keep=["vec_id"])
+
+
 @query
 def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
