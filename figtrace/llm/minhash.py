@@ -337,5 +337,5 @@ def groups(
     component = F.when(F.col("class_id").isNull(), F.col("id")).otherwise(F.col("_top"))
     return joined.select(
         *[F.col("carried").getField(c).alias(c) for c in carried],
-        "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
     )

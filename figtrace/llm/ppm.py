@@ -169,9 +169,10 @@ def score(docs: DataFrame, training: Column, *, text: str = "text", keep: list[s
     Both models learn from the rows where ``training`` holds, whole texts. Words are lower-cased; a text's
     tokens are its words and one end. ``base_score`` is the sum of log10((c + 1) / (N + V + 1)), ``score`` the
     byte model's log10 probability of the lower-cased text with its end. A null text is empty. Rows stay as
-    they are, repeated ones too. Without training rows every count is 0 and all bytes are alike.
+    they are, repeated ones too; columns called like the new ones are replaced. Without training rows every count is 0 and all bytes are alike.
     """
     spark = docs.sparkSession
+    keep = [c for c in keep if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
     learned = docs.where(training)
     grams = staged(byte_counts(learned, text=text), "grams")
     counted = staged(word_counts(learned, split=words, text=text), "word_counts")

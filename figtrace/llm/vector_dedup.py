@@ -185,5 +185,5 @@ def linked(vectors: DataFrame, *, threshold: float = 0.95, vec_id: str = "vec_id
     named = rooted.join(tops, F.col("_root") == F.col("_r")).join(counts, F.col("row") == F.col("_row"), "left")
     return named.select(
         *[F.col("carried").getField(c).alias(c) for c in keep],
-        F.coalesce("_n", F.lit(0)).alias("n_links"), F.col("_top").alias("component_id"), F.coalesce(F.col("vid") == F.col("_top"), F.lit(True)).alias("kept"),
+        F.coalesce("_n", F.lit(0)).alias("n_links"), F.col("_top").alias("component_id"), F.coalesce(F.col("vid") == F.col("_top"), F.col("_top").isNull()).alias("kept"),
     )
