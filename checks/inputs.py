@@ -47,15 +47,15 @@ FROM (
     CASE o_orderstatus WHEN 'F' THEN 'actual' WHEN 'O' THEN 'forecast' ELSE '' END AS temporality,
     CASE o_orderkey % 5 WHEN 0 THEN 'accepted' WHEN 1 THEN 'queued' ELSE 'auto' END AS review_status,
     CASE o_orderkey % 8 WHEN 0 THEN '' WHEN 1 THEN 'third_party' ELSE 'own' END AS source_type_flag,
-    CASE (o_orderkey % 200) % 6 WHEN 0 THEN 'Aero Revenue' WHEN 1 THEN 'Traffic' WHEN 2 THEN 'Non-Aero Calc'
-         WHEN 3 THEN 'EBITDA Summary' WHEN 4 THEN 'Inputs' ELSE '' END AS sheet,
-    CASE o_orderkey % 7 WHEN 0 THEN '[£000s, Nominal] ' WHEN 1 THEN '[€m, 2008 Prices] ' WHEN 2 THEN '[000s] '
-         WHEN 3 THEN '[%] ' WHEN 4 THEN '[$ bn] ' WHEN 5 THEN '[Real 2012] ' ELSE '' END AS cue_text,
-    CASE o_orderkey % 16 WHEN 0 THEN 'Passengers' WHEN 1 THEN 'Revenue' WHEN 2 THEN 'Yield'
-         WHEN 3 THEN 'Consumer Price Index' WHEN 4 THEN 'Reported EBITDA' WHEN 5 THEN 'GDP' WHEN 6 THEN 'Low Cost'
-         WHEN 7 THEN 'Aero per Pax' WHEN 8 THEN 'Total' WHEN 9 THEN 'YoY Growth' WHEN 10 THEN 'Staff cost'
-         WHEN 11 THEN 'Capex' WHEN 12 THEN 'Landing fee' WHEN 13 THEN 'Car park income' WHEN 14 THEN '% share of total'
-         ELSE 'asia 1999-q2' END AS label_text
+    CASE (o_orderkey % 200) % 6 WHEN 0 THEN 'Footfall' WHEN 1 THEN 'Ticket Income' WHEN 2 THEN 'Retail Schedule'
+         WHEN 3 THEN 'Profit Bridge' WHEN 4 THEN 'Aero Prices' ELSE '' END AS sheet,
+    CASE o_orderkey % 7 WHEN 0 THEN '[$ bn] ' WHEN 1 THEN '[€ thousand, Nominal] ' WHEN 2 THEN '[Real 2015] '
+         WHEN 3 THEN '[%] ' WHEN 4 THEN '[£ m, 2011 Prices] ' WHEN 5 THEN '[thousand] ' ELSE '' END AS cue_text,
+    CASE o_orderkey % 16 WHEN 0 THEN 'Average fare' WHEN 1 THEN 'Seats' WHEN 2 THEN 'Operating profit'
+         WHEN 3 THEN 'Gross takings' WHEN 4 THEN 'Inflation' WHEN 5 THEN 'Charter' WHEN 6 THEN 'Payroll'
+         WHEN 7 THEN 'Aero turnover per passenger' WHEN 8 THEN 'Net' WHEN 9 THEN 'Change in mix'
+         WHEN 10 THEN 'Capital cost' WHEN 11 THEN 'Passenger fee' WHEN 12 THEN 'Duty free receipts'
+         WHEN 13 THEN 'Share of group' WHEN 14 THEN 'Elasticity' ELSE 'west 2003-h1' END AS label_text
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) AS keyed
 """
 
@@ -70,9 +70,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def points(spark: SparkSession, sf: str) -> DataFrame:
     """The points table: every order is a figure; some documents exist in two or three copies."""
     names = {t: table(spark, sf, t) for t in ("orders", "customer", "nation")}
-    # Customers grow with orders, so at scale this join is a shuffle; asking for one at any size also
-    # spreads the row work that follows over all cores, where the orders are a single small file.
-    names["customer"] = names["customer"].hint("shuffle_hash")
     base = spark.sql(
         POINT_BASE.replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}").replace("JOIN nation", "JOIN {nation}"),
         **names,
@@ -138,9 +135,9 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def comparisons(spark: SparkSession, sf: str) -> DataFrame:
-    """Three sorts: all originals on one definition and entity; whatever the lines of one part mention;
+    """Three sorts: all points of one definition and entity; whatever the lines of one part mention;
     and a held record next to an unknown one."""
-    p = points(spark, sf).where(F.col("point_id").startswith("p"))
+    p = points(spark, sf)
     definition = ["metric_code", "unit", "currency", "value_scale", "basis", "entity_id"]
     same = p.select(F.concat_ws("|", F.lit("a"), *definition).alias("comparison_id"), F.col("point_id").alias("record_id"))
     lines = table(spark, sf, "lineitem").select(

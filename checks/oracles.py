@@ -173,7 +173,7 @@ BELOW = "starts_with(path, scope || '/')"
 
 
 def cited(value: str) -> str:
-    return f"""coalesce(metric_code, '?') || '=' || coalesce(CAST(CAST({value} AS DECIMAL(18,7)) AS VARCHAR), '?') || ' '
+    return f"""coalesce(metric_code, '?') || '=' || coalesce(CAST({value} AS VARCHAR), '?') || ' '
   || coalesce(unit, '') || ' (' || coalesce(entity, '?') || ' ' || coalesce(CAST(year AS VARCHAR), '?') || ') [class='
   || data_class || ', status=' || coalesce(review_status, 'unverified') || '] source: ' || coalesce(source_file, 'UNSOURCED')"""
 
@@ -204,10 +204,11 @@ disclosed AS (
 SELECT record_id, outcome, CASE WHEN outcome = 'ok' THEN context END AS verbatim,
   CASE WHEN outcome = 'ok' THEN nullif(source_file, '') END AS locator_path,
   CASE WHEN outcome = 'ok' THEN location END AS cell, CASE WHEN outcome = 'ok' THEN {cited('value_num')} END AS citation,
-  CASE WHEN outcome = 'ok' THEN in_scope END AS in_scope, CASE WHEN outcome = 'ok' THEN not_done END AS not_done
+  CASE WHEN outcome = 'ok' THEN lower(folder) END AS scope,
+  CASE WHEN outcome = 'ok' THEN in_scope END AS in_scope, CASE WHEN outcome = 'ok' THEN in_scope - not_done END AS done, CASE WHEN outcome = 'ok' THEN not_done END AS not_done
 FROM foldered LEFT JOIN disclosed USING (folder)""")
 oracle("skip_disclosure", MANIFEST, SCOPE_ROWS, select=f"""
-SELECT scope, count(*) AS in_scope, count(*) FILTER (WHERE status = 'done') AS done,
+SELECT scope, 'harvest_manifest' AS manifest, count(*) AS in_scope, count(*) FILTER (WHERE status = 'done') AS done,
   count(*) FILTER (WHERE status <> 'done') AS not_done
 FROM scopes JOIN manifest ON {BELOW} GROUP BY 1""")
 oracle("skip_by_status", MANIFEST, SCOPE_ROWS, select=f"""
@@ -215,7 +216,7 @@ SELECT scope, status, count(*) AS n FROM scopes JOIN manifest ON {BELOW} GROUP B
 
 COMPARISONS = """comparisons AS (
   SELECT concat_ws('|', 'a', metric_code, unit, currency, value_scale, basis, entity_id) AS comparison_id, point_id AS record_id
-  FROM points WHERE point_id LIKE 'p%'
+  FROM points
   UNION SELECT 'b' || l_partkey, 'p' || l_orderkey FROM lineitem
   UNION SELECT 'c' || event_id, unnest(['p' || event_id, 'u' || event_id]) FROM events)"""
 RECORDS = """records AS (
@@ -258,10 +259,10 @@ FROM canon""")
 oracle("most_copied", POINTS, CANON, select="""
 SELECT canonical_source_file, copies, n_points FROM canon WHERE is_canonical AND copies > 1
 ORDER BY copies DESC, n_points DESC, canonical_source_file LIMIT 10""")
-oracle("text_dedup", "docs AS (SELECT doc_id, text AS content, '/Shared/' || source || '/' || lang || '/doc_' || doc_id "
-       "|| '.txt' AS source_file FROM documents)", f"""winners AS (
+oracle("text_dedup", "docs AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE text END AS content, CASE WHEN doc_id % 19 = 0 THEN '' "
+       "ELSE '/Shared/' || source || '/' || lang || '/doc_' || doc_id || '.txt' END AS source_file FROM documents)", f"""winners AS (
   SELECT content, count(*) AS copies, arg_min(doc_id, {{'a': {MARKS}, 'b': len(string_split(source_file, '/')),
-    'c': length(source_file), 'd': source_file}}) AS canonical_doc_id
+    'c': length(source_file), 'd': source_file, 'e': doc_id}}) AS canonical_doc_id
   FROM docs GROUP BY 1)""", select="""
 SELECT doc_id, canonical_doc_id, doc_id = canonical_doc_id AS is_canonical, copies FROM docs JOIN winners USING (content)""")
 

@@ -173,17 +173,17 @@ def summarise_untagged(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def get_source(spark: SparkSession, sf: str) -> DataFrame:
     bound = I.bound(spark, sf, with_data_class(I.points_in_documents(spark, sf)), with_canonical=False)
-    return E.get_source(bound, I.requests(spark, sf), value=F.col("value").cast(EXACT)).drop("scope", "done")
+    return E.get_source(bound, I.requests(spark, sf))
 
 
 @query
 def citation(spark: SparkSession, sf: str) -> DataFrame:
-    return E.cite(I.bound(spark, sf, with_canonical=False), F.col("value").cast(EXACT))
+    return E.cite(I.bound(spark, sf, with_canonical=False))
 
 
 @query
 def skip_disclosure(spark: SparkSession, sf: str) -> DataFrame:
-    return E.skip_disclosure(I.bound(spark, sf, with_canonical=False), I.scopes(spark, sf)).drop("manifest")
+    return E.skip_disclosure(I.bound(spark, sf, with_canonical=False), I.scopes(spark, sf))
 
 
 @query
@@ -231,8 +231,9 @@ def most_copied(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def text_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    docs = I.table(spark, sf, "documents").withColumn("path", I.document_path())
-    return D.text_dedup(docs)
+    """Some texts and paths are missing."""
+    docs, n = I.table(spark, sf, "documents"), F.col("doc_id")
+    return D.text_dedup(docs.select(n, F.when(n % 17 != 0, F.col("text")).alias("text"), F.when(n % 19 != 0, I.document_path()).alias("path")))
 
 
 # Repetition

@@ -13,8 +13,8 @@ BLANK = "(blank)"
 
 
 def nonblank(c: Column) -> Column:
-    """Neither NULL nor empty once read as text."""
-    return c.isNotNull() & (c.cast("string") != "")
+    """Neither NULL nor an empty text. Numbers are compared with nothing, and not turned into text."""
+    return c.isNotNull() & (F.when(F.typeof(c) == "string", c.cast("string")).otherwise("-") != "")
 
 
 def or_blank(c: Column) -> Column:
@@ -26,6 +26,15 @@ def or_blank(c: Column) -> Column:
 SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 
 
+def plain_number(c: Column) -> Column:
+    """A floating-point number as plain decimals: as many as it has, at least one, and no exponent."""
+    shown = c.cast("string")
+    digits = shown.try_cast("decimal(38,18)")
+    trimmed = F.rtrim(digits.cast("string"), F.lit("0"))
+    exact = digits.isNotNull() & ((digits != 0) | (c == 0))
+    return F.when(exact, F.when(trimmed.endswith("."), F.concat(trimmed, F.lit("0"))).otherwise(trimmed)).otherwise(shown)
+
+
 def trim_spaces(c: Column) -> Column:
     """Strip every kind of space character (no tabs), where ``trim`` only strips U+0020."""
     return F.btrim(c, F.lit(SPACES))
@@ -45,7 +54,7 @@ def year_number(c: Column, dtype: str) -> Column:
 
 def folded_path(c: Column) -> Column:
     """A path for comparison: one kind of slash, lower case, no slash at either end."""
-    return F.regexp_replace(F.lower(F.translate(c, "\\", "/")), r"^/+|/+\z", "")
+    return F.btrim(F.lower(F.translate(c, "\\", "/")), F.lit("/"))
 
 
 def under_any_folder(path: Column, folders: Sequence[str]) -> Column:

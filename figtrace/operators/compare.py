@@ -9,14 +9,13 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figtrace.functions.text import BLANK
 from figtrace.operators.evidence import citation
 from figtrace.operators.search import returned
 from figtrace.plans.median import grouped_figures
-from figtrace.plans.skew import HOT_ROWS
 from figtrace.sources.concepts import BoundPoints
 
 # Axes that must agree, and axes whose difference is only disclosed.
@@ -36,12 +35,13 @@ COMPARABLE, NOT_COMPARABLE, INSUFFICIENT = "comparable", "not_comparable", "insu
 def held_records(bound: BoundPoints, pairs: DataFrame) -> DataFrame:
     """(comparison_id, record_id, _held, concepts): each asked record once per comparison.
 
-    The join is on record id, which is the key of the points table, so its size is that of ``pairs``.
+    The join is on record id as text, which is the key of the points table, so its size is that of ``pairs``.
     """
-    asked = pairs.select("comparison_id", F.col("record_id").alias("_asked")).dropDuplicates()
+    asked = pairs.select("comparison_id", F.col("record_id").cast("string").alias("_asked")).dropDuplicates()
     axes = [c for c in (*HARD_AXES, *SOFT_AXES) if bound.has(c)]
     columns = list(dict.fromkeys([*returned(bound), *axes]))
-    joined = asked.join(bound.frame.select(*columns), F.col("_asked") == F.col("record_id"), "left")
+    points = bound.frame.select(*columns).withColumn("record_id", bound.need("record_id").cast("string"))
+    joined = asked.join(points, F.col("_asked") == F.col("record_id"), "left")
     others = [c for c in columns if c != "record_id"]
     return joined.select(
         "comparison_id", F.col("_asked").alias("record_id"), F.col("record_id").isNotNull().alias("_held"), *others
@@ -57,7 +57,7 @@ def _number(df: DataFrame) -> Column:
     return F.col("value").try_cast("double") if dict(df.dtypes)["value"] == "string" else F.col("value").cast("double")
 
 
-def compare_evidence(bound: BoundPoints, pairs: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def compare_evidence(bound: BoundPoints, pairs: DataFrame) -> DataFrame:
     """One verdict per comparison: (comparison_id, verdict, n_held, n_missing, n, v_min, v_median, v_max).
 
     An axis agrees when its least and greatest value are the same, so no set of values is gathered.
@@ -70,7 +70,7 @@ def compare_evidence(bound: BoundPoints, pairs: DataFrame, *, hot_rows: int = HO
     for axis in HARD_AXES:
         text = F.when(held, _axis(records.columns, axis))
         aggs[f"_{axis}_agrees"] = F.min(text).eqNullSafe(F.max(text))
-    figures = grouped_figures(records, ["comparison_id"], "_value", aggs, decimals=4, hot_rows=hot_rows)
+    figures = grouped_figures(records, ["comparison_id"], "_value", aggs, decimals=4)
 
     agrees = reduce(and_, [F.col(f"_{axis}_agrees") for axis in HARD_AXES])
     verdict = (
@@ -101,11 +101,11 @@ def compare_flags(bound: BoundPoints, pairs: DataFrame) -> DataFrame:
         .groupBy("comparison_id", "axis", "severity", "value")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    per_axis = F.count(F.lit(1)).over(Window.partitionBy("comparison_id", "axis"))
+    # How many values an axis has is summed in the map tasks; the values of an axis never meet in one.
+    per_axis = values.groupBy(F.col("comparison_id").alias("_c"), F.col("axis").alias("_a")).agg(F.count(F.lit(1)).alias("n_values"))
     messages = [x for axis, text in MESSAGES.items() for x in (F.lit(axis), F.lit(text))]
     return (
-        values.withColumn("n_values", per_axis)
-        .where("n_values > 1")
+        values.join(per_axis.where("n_values > 1"), (F.col("comparison_id") == F.col("_c")) & (F.col("axis") == F.col("_a")))
         .select(
             "comparison_id", "axis", "severity", "n_values",
             F.coalesce(F.nullif(F.col("value"), F.lit("")), F.lit(BLANK)).alias("value"),
@@ -117,7 +117,7 @@ def compare_flags(bound: BoundPoints, pairs: DataFrame) -> DataFrame:
 def components(bound: BoundPoints, pairs: DataFrame) -> DataFrame:
     """Every asked record of every comparison with its citation; ``held`` is false for missing ones."""
     records = held_records(bound, pairs)
-    cited = F.when(F.col("_held"), citation(records.columns))
+    cited = F.when(F.col("_held"), citation(records))
     return records.select("*", F.col("_held").alias("held"), cited.alias("citation")).drop("_held")
 
 

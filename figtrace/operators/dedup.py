@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from figtrace.functions.rules import COPY_MARKERS
 from figtrace.functions.text import matches_count, nonblank, path_depth
-from figtrace.plans.skew import HOT_ROWS, lookup_join
+from figtrace.plans.skew import lookup_join
 
 FINGERPRINT = ("n_points", "h_sum", "h_xor")
 # A 64-bit hash is summed in three parts of at most 22 bits, each in a long: exact for 2^41 points
@@ -52,14 +52,12 @@ def fingerprint(
     return sums.select("source_file", "n_points", total.cast("decimal(38,0)").alias("h_sum"), "h_xor")
 
 
-def canonicalise(
-    fingerprints: DataFrame, markers: Sequence[str] = COPY_MARKERS, *, hot_copies: int = HOT_ROWS
-) -> DataFrame:
+def canonicalise(fingerprints: DataFrame, markers: Sequence[str] = COPY_MARKERS) -> DataFrame:
     """(source_file, canonical_source_file, is_canonical, copies, n_points, copy_penalty, depth).
 
     Among documents of one content the path with the fewest marks of a copy is canonical, then the
     shallowest, the shortest, the first in the alphabet. The winner of a group is an aggregate, not a
-    sort of the group, and goes back to the members by a join that spreads groups of very many copies.
+    sort of the group, and goes back to the members by a join that can split groups of very many copies.
     """
     scored = fingerprints.withColumns(
         {"copy_penalty": matches_count(F.col("source_file"), markers), "depth": path_depth(F.col("source_file"))}
@@ -70,8 +68,7 @@ def canonicalise(
     groups = scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("copies"), F.min(rank)["path"].alias("canonical_source_file")
     )
-    hot = groups.where(F.col("copies") > hot_copies).select(*keys)
-    joined = lookup_join(scored, groups, keys, hot, ["source_file"])
+    joined = lookup_join(scored, groups, keys)
     return joined.select(
         "source_file",
         "canonical_source_file",
@@ -124,24 +121,34 @@ def most_copied(canonical: DataFrame, top: int = 10) -> DataFrame:
     )
 
 
-def text_lines(documents: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
-    """A text document as points: its lines are the values, their numbers the cells."""
-    lines = F.posexplode(F.split(F.col(text), "\n"))
-    return documents.select(F.col(path).alias("source_file"), lines.alias("_pos", "value")).select(
-        "source_file", (F.col("_pos") + 1).alias("cell"), "value"
-    )
-
+def text_dedup(
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "path", markers: Sequence[str] = COPY_MARKERS
+) -> DataFrame:
+    """(doc_id, canonical_doc_id, is_canonical, copies): the same de-duplication over raw text.
 
-def text_dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "path", **options) -> DataFrame:
-    """(doc_id, canonical_doc_id, is_canonical, copies): the same de-duplication over raw text."""
-    found = canonical_map(text_lines(documents, text, path), "source_file", "cell", "value", **options)
-    ids = documents.select(F.col(doc_id).alias("doc_id"), F.col(path).alias("_path"))
-    winners = ids.select(F.col("doc_id").alias("canonical_doc_id"), F.col("_path").alias("_winner"))
-    # Paths are unique, so the first join is one to one; copies of one content share a winner.
-    joined = found.join(ids, F.col("source_file") == F.col("_path"))
-    hot = found.where(F.col("is_canonical") & (F.col("copies") > HOT_ROWS)).select(F.col("source_file").alias("_winner"))
-    named = lookup_join(
-        joined.withColumn("_winner", F.col("canonical_source_file")), winners.select("_winner", "canonical_doc_id"),
-        ["_winner"], hot, ["source_file"],
+    A document's lines are its values and their numbers the cells; they are hashed and summed within the
+    row. A missing text is an empty one and a missing path an empty path. Among documents of one content
+    and the same standing the lowest id wins, so every document is answered, whatever paths repeat.
+    """
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    hashes = F.transform(lines, lambda line, i: F.xxhash64((i + 1).cast("string"), line))
+    zero = F.lit(0).cast("long")
+
+    def total(part) -> Column:
+        return F.aggregate(F.col("_h"), zero, lambda held, h: held + part(h))
+
+    found = documents.select(
+        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(path), F.lit("")).alias("_path"), hashes.alias("_h")
+    ).select(
+        "doc_id", "_path", F.size("_h").alias("n_points"),
+        total(lambda h: h.bitwiseAND(F.lit(_PART_MASK))).alias("_p0"),
+        total(lambda h: F.shiftrightunsigned(h, _PART_BITS).bitwiseAND(F.lit(_PART_MASK))).alias("_p1"),
+        total(lambda h: F.shiftrightunsigned(h, 2 * _PART_BITS)).alias("_p2"),
+        F.aggregate(F.col("_h"), zero, lambda held, h: held.bitwiseXOR(h)).alias("h_xor"),
     )
-    return named.select("doc_id", "canonical_doc_id", "is_canonical", "copies")
+    keys = ["n_points", "_p0", "_p1", "_p2", "h_xor"]
+    p = F.col("_path")
+    rank = F.struct(matches_count(p, markers).alias("penalty"), path_depth(p).alias("depth"), F.length(p).alias("length"), p.alias("path"), "doc_id")
+    groups = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), F.min(rank)["doc_id"].alias("canonical_doc_id"))
+    joined = lookup_join(found, groups, keys)
+    return joined.select("doc_id", "canonical_doc_id", F.col("doc_id").eqNullSafe(F.col("canonical_doc_id")).alias("is_canonical"), "copies")

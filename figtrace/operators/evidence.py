@@ -2,33 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figtrace.errors import SealedSourceError
-from figtrace.functions.text import parent_folder, under_any_folder
+from figtrace.functions.text import parent_folder, plain_number, under_any_folder
 from figtrace.operators.search import returned
-from figtrace.plans.skew import HOT_ROWS, hot_keys, lookup_join
+from figtrace.plans.skew import lookup_join
 from figtrace.sources.concepts import BoundPoints
 from figtrace.sources.manifest import read_manifest
 
 DONE = "done"
-WHOLE_CORPUS = "(whole corpus)"
 
 
-def citation(columns: Sequence[str], value: Column | None = None) -> Column:
-    """A figure with what it measures, where and when it holds, its standing and its source."""
+def citation(frame: DataFrame) -> Column:
+    """A figure with what it measures, where and when it holds, its standing and its source.
+
+    Floating-point values are shown in plain decimals, without an exponent.
+    """
+    kinds = dict(frame.dtypes)
 
     def part(concept: str, default: str) -> Column:
-        if concept not in columns:
+        if concept not in kinds:
             return F.lit(default)
-        return F.coalesce(F.col(concept).cast("string"), F.lit(default))
+        shown = plain_number(F.col(concept)) if kinds[concept] in ("double", "float") else F.col(concept).cast("string")
+        return F.coalesce(shown, F.lit(default))
 
-    shown = part("value", "?") if value is None else F.coalesce(value.cast("string"), F.lit("?"))
     return F.concat(
-        part("metric_code", "?"), F.lit("="), shown, F.lit(" "), part("unit", ""),
+        part("metric_code", "?"), F.lit("="), part("value", "?"), F.lit(" "), part("unit", ""),
         F.lit(" ("), part("entity", "?"), F.lit(" "), part("year", "?"),
         F.lit(") [class="), part("data_class", "unclassified"),
         F.lit(", status="), part("verification_status", "unverified"),
@@ -36,10 +37,10 @@ def citation(columns: Sequence[str], value: Column | None = None) -> Column:
     )
 
 
-def cite(bound: BoundPoints, value: Column | None = None) -> DataFrame:
+def cite(bound: BoundPoints) -> DataFrame:
     """Every point with its citation and the store it came from."""
     return bound.frame.select(
-        "record_id", citation(bound.frame.columns, value).alias("citation"), bound.provenance_column().alias("provenance")
+        bound.need("record_id"), citation(bound.frame).alias("citation"), bound.provenance_column().alias("provenance")
     )
 
 
@@ -99,9 +100,11 @@ def _whole_corpus(manifest: DataFrame) -> DataFrame:
 
 
 def skip_by_status(bound: BoundPoints, scopes: DataFrame) -> DataFrame:
-    """(scope, status, n) per asked scope."""
+    """(scope, status, n) per asked scope; without a usable manifest one row that says ABSENT, and no number."""
     asked = scopes.select("scope").dropDuplicates()
-    manifest = read_manifest(bound.manifest)
+    manifest = read_manifest(bound.manifest) if bound.manifest is not None else None
+    if manifest is None:
+        return asked.select("scope", F.lit("ABSENT").alias("status"), F.lit(None).cast("long").alias("n"))
     whole = manifest.groupBy("status").agg(F.count(F.lit(1)).alias("n")).select(F.lit("").alias("scope"), "status", "n")
     held = status_counts(manifest).unionByName(whole).withColumnRenamed("scope", "_scope")
     return asked.join(held, _folded_scope(F.col("scope")) == F.col("_scope"), "inner").select("scope", "status", "n")
@@ -110,22 +113,20 @@ def skip_by_status(bound: BoundPoints, scopes: DataFrame) -> DataFrame:
 def get_source(
     bound: BoundPoints,
     requests: DataFrame,
-    *,
-    value: Column | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per requested ``record_id``: what the document says, where, and what was skipped there.
 
     ``outcome`` is ok, no_evidence (not held) or refused_quarantine (sealed source; no content is
     returned). A request may carry its own ``scope``; otherwise it is the folder of the source.
-    ``record_id`` is the key of the points table.
+    ``record_id`` is the key of the points table; ids are compared as text, whatever type either side has.
     """
     own_scope = "scope" in requests.columns
     asked = requests.select(
-        F.col("record_id").alias("_asked"), *([F.col("scope").alias("_scope_asked")] if own_scope else [])
+        F.col("record_id").cast("string").alias("_asked"), *([F.col("scope").alias("_scope_asked")] if own_scope else [])
     ).dropDuplicates()
     columns = returned(bound, "extract_text", "cell", "locator_path")
-    held = asked.join(bound.frame.select(*columns), F.col("_asked") == F.col("record_id"), "left")
+    points = bound.frame.select(*columns).withColumn("record_id", bound.need("record_id").cast("string"))
+    held = asked.join(points, F.col("_asked") == F.col("record_id"), "left")
 
     sealed = under_any_folder(F.col("source"), bound.sealed)
     outcome = (
@@ -149,7 +150,7 @@ def get_source(
         shown(concept("extract_text")).alias("verbatim"),
         shown(F.nullif(F.col("source").cast("string"), F.lit(""))).alias("locator_path"),
         shown(concept("cell")).alias("cell"),
-        shown(citation(columns, value)).alias("citation"),
+        shown(citation(held)).alias("citation"),
         shown(_folded_scope(folder)).alias("scope"),
     )
     manifest = read_manifest(bound.manifest) if bound.manifest is not None else None
@@ -157,9 +158,8 @@ def get_source(
         unknown = F.lit(None).cast("long")
         return answers.select("*", *[unknown.alias(c) for c in ("in_scope", "done", "not_done")])
     disclosed = disclosure_by_scope(manifest).unionByName(_whole_corpus(manifest))
-    # Most requests can point into one folder, or have none.
-    hot = hot_keys(answers, ["scope"], hot_rows)
-    joined = lookup_join(answers, disclosed, ["scope"], hot, ["record_id"])
+    # Most requests can point into one folder, or have none: the join can split them.
+    joined = lookup_join(answers, disclosed, ["scope"])
     counts = [F.when(ok, F.coalesce(F.col(c), F.lit(0))).alias(c) for c in ("in_scope", "done", "not_done")]
     return joined.select(*answers.columns, *counts)
 
@@ -170,6 +170,6 @@ def get_one_source(bound: BoundPoints, record_id: str, scope: str | None = None)
     request = spark.createDataFrame([(record_id, scope)], "record_id string, scope string")
     row = get_source(bound, request).first()
     if row["outcome"] == "refused_quarantine":
-        path = bound.frame.where(F.col("record_id") == record_id).select("source").first()
+        path = bound.frame.where(F.col("record_id").cast("string") == record_id).select("source").first()
         raise SealedSourceError(path["source"])
     return row

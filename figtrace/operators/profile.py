@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from figtrace.functions import rules as R
 from figtrace.functions.text import BLANK, ilike_any_part, nonblank, or_blank, trim_spaces
 from figtrace.plans.median import grouped_figures
-from figtrace.plans.skew import HOT_ROWS, same
+from figtrace.plans.skew import same
 from figtrace.sources.concepts import BoundPoints
 
 # Concepts whose fill says whether a store is resolved, and the wanted columns by group.
@@ -152,13 +152,13 @@ def context_shape(df: DataFrame) -> DataFrame:
 
 
 def label_profile(
-    df: DataFrame, top: int | None = 400, value: str = "value_num", decimals: int = 3, hot_rows: int = HOT_ROWS
+    df: DataFrame, top: int | None = 400, value: str = "value_num", decimals: int = 3
 ) -> DataFrame:
     """(label, cue, unit, n, n_distinct, n_negative, v_min, v_median, v_max), most points first."""
     keys = ["label", "cue", "unit"]
     rows = df.select(_label().alias("label"), _cue().alias("cue"), _unit().alias("unit"), F.col(value).alias("_v"))
     aggs = {**_spread(decimals), "n_negative": F.count_if(F.col("_v") < 0)}
-    figures = grouped_figures(rows, keys, "_v", aggs, decimals=decimals, hot_rows=hot_rows)
+    figures = grouped_figures(rows, keys, "_v", aggs, decimals=decimals)
     # Counted apart from the rest: next to a median, a distinct count would keep one median state
     # per value. Its shuffle is by label and value, so it spreads however many rows a label has.
     distinct = rows.groupBy(*keys).agg(F.count_distinct("_v").alias("n_distinct"))
@@ -170,12 +170,12 @@ def label_profile(
 
 
 def context_profile(
-    df: DataFrame, top: int | None = 400, value: str = "value_num", decimals: int = 3, hot_rows: int = HOT_ROWS
+    df: DataFrame, top: int | None = 400, value: str = "value_num", decimals: int = 3
 ) -> DataFrame:
     """(unit, context, n, v_min, v_median, v_max) over verbatim contexts, most points first."""
     keys = ["unit", "context"]
     rows = df.select(_unit().alias("unit"), "context", F.col(value).alias("_v"))
-    figures = grouped_figures(rows, keys, "_v", _spread(decimals), decimals=decimals, hot_rows=hot_rows)
+    figures = grouped_figures(rows, keys, "_v", _spread(decimals), decimals=decimals)
     return _top(figures.select(*keys, "n", "v_min", "v_median", "v_max"), top, keys)
 
 
@@ -186,13 +186,12 @@ def value_band(
     top: int | None = 40,
     value: str = "value_num",
     decimals: int = 3,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(label, unit, n, v_median) for values strictly between two limits."""
     v = F.col(value)
     rows = df.where((v > low) & (v < high)).select(_label().alias("label"), _unit().alias("unit"), v.alias("_v"))
     keys = ["label", "unit"]
-    figures = grouped_figures(rows, keys, "_v", {"n": F.count(F.lit(1))}, decimals=decimals, hot_rows=hot_rows)
+    figures = grouped_figures(rows, keys, "_v", {"n": F.count(F.lit(1))}, decimals=decimals)
     return _top(figures, top, keys)
 
 
@@ -202,7 +201,6 @@ def untagged_reclaim(
     top: int | None = 40,
     value: str = "value_num",
     decimals: int = 3,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(label, unit, n, v_min, v_median, v_max) of points without a code whose context has a keyword."""
     mentions = F.contains(F.lower("context"), F.lit(keyword.lower()))
@@ -210,7 +208,7 @@ def untagged_reclaim(
         _label().alias("label"), _unit().alias("unit"), F.col(value).alias("_v")
     )
     keys = ["label", "unit"]
-    figures = grouped_figures(rows, keys, "_v", _spread(decimals), decimals=decimals, hot_rows=hot_rows)
+    figures = grouped_figures(rows, keys, "_v", _spread(decimals), decimals=decimals)
     return _top(figures.select(*keys, "n", "v_min", "v_median", "v_max"), top, keys)
 
 
@@ -221,7 +219,6 @@ def value_spread(
     year: int,
     value: str = "value_num",
     decimals: int | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(unit, n, v_min, v_median, v_max) of one metric of one entity in one year."""
     from figtrace.functions.text import year_number
@@ -230,7 +227,7 @@ def value_spread(
     scope = (F.col("metric_code") == metric) & entity_matches(entity) & stated
     rows = df.where(scope).select(or_blank(F.col("unit")).alias("unit"), F.col(value).alias("_v"))
     aggs = {"n": F.count(F.lit(1)), "v_min": F.min("_v"), "v_max": F.max("_v")}
-    figures = grouped_figures(rows, ["unit"], "_v", aggs, decimals=decimals, hot_rows=hot_rows)
+    figures = grouped_figures(rows, ["unit"], "_v", aggs, decimals=decimals)
     return figures.select("unit", "n", "v_min", "v_median", "v_max")
 
 

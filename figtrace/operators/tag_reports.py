@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from figtrace.functions.text import or_blank
 from figtrace.plans.median import grouped_figures
-from figtrace.plans.skew import HOT_ROWS
 
 NO_MONEY_CODE, NO_CODE = "(no money code)", "(none)"
 
@@ -35,7 +34,7 @@ def _top(df: DataFrame, top: int, *ties: str) -> DataFrame:
 
 
 def tag_claims(
-    points: DataFrame, value: str = "value_num", top: int = 30, decimals: int = 3, hot_rows: int = HOT_ROWS
+    points: DataFrame, value: str = "value_num", top: int = 30, decimals: int = 3
 ) -> DataFrame:
     """What the rules claim: (noun, kind, label_source, code_v2, n, v_median), most points first."""
     claims = _tagged(points).select(
@@ -43,7 +42,7 @@ def tag_claims(
         _raw(NO_MONEY_CODE).alias("code_v2"), F.col(value).alias("_v"),
     )
     keys = ["noun", "kind", "label_source", "code_v2"]
-    figures = grouped_figures(claims, keys, "_v", {"n": _count()}, decimals=decimals, hot_rows=hot_rows)
+    figures = grouped_figures(claims, keys, "_v", {"n": _count()}, decimals=decimals)
     return _top(figures, top, *keys)
 
 
@@ -75,14 +74,13 @@ def gold_by_year(
     years: tuple[int, int] = (2005, 2015),
     value: str = "value_num",
     decimals: int = 2,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """A reference figure by year, in band and read from the row label: (year, n, v_min, v_median, v_max)."""
     held = points.where(
         (F.col("metric_code_v2") == code) & (F.col("label_source") == "row_label") & F.col("year").between(*years)
     ).select("year", F.col(value).alias("_v"))
     aggs = {"n": _count(), "v_min": F.round(F.min("_v"), decimals), "v_max": F.round(F.max("_v"), decimals)}
-    return grouped_figures(held, ["year"], "_v", aggs, decimals=decimals, hot_rows=hot_rows)
+    return grouped_figures(held, ["year"], "_v", aggs, decimals=decimals)
 
 
 def tag_conflicts(points: DataFrame) -> DataFrame:
@@ -130,7 +128,6 @@ def tag_before_after(
     after: str = "rev_aero_per_pax",
     value: str = "value_num",
     decimals: int = 2,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One question under the old code and the new: (which, n, v_min, v_median, v_max), in one pass."""
     asked = points.where(F.col("year") == year)
@@ -138,7 +135,7 @@ def tag_before_after(
     new = F.when((F.col("metric_code_v2") == after) & (F.col("label_source") == "row_label"), F.lit("after"))
     held = asked.select(F.explode(F.array(old, new)).alias("which"), F.col(value).alias("_v")).where("which is not null")
     aggs = {"n": _count(), "v_min": F.round(F.min("_v"), decimals), "v_max": F.round(F.max("_v"), decimals)}
-    figures = grouped_figures(held, ["which"], "_v", aggs, decimals=decimals, hot_rows=hot_rows)
+    figures = grouped_figures(held, ["which"], "_v", aggs, decimals=decimals)
     # A side nothing answers still has its row.
     sides = points.sparkSession.range(1).select(F.explode(F.array(F.lit("before"), F.lit("after"))).alias("_which"))
     joined = sides.join(figures, F.col("_which") == F.col("which"), "left")

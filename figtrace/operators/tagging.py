@@ -14,7 +14,7 @@ from figtrace.functions import rules as R
 from figtrace.functions.dialect import first_match, literal, matches
 from figtrace.functions.text import trim_spaces
 from figtrace.plans.once import computed_once
-from figtrace.plans.skew import HOT_ROWS, hot_keys, lookup_join
+from figtrace.plans.skew import lookup_join
 
 PARSED = ("sheet", "row_label", "cue", "tail", "unit_l")
 TAGS = (
@@ -203,9 +203,6 @@ def tag_points_by_lookup(
     location: str = "location",
     unit: str = "unit",
     value: str = "value_num",
-    *,
-    spread_by: str = "point_id",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The same as ``tag_points``, from a table of ``context_tags``; contexts it lacks stay untagged."""
     names = points.columns
@@ -221,7 +218,7 @@ def tag_points_by_lookup(
         F.col("context").alias("_context"), F.col("sheet").alias("_sheet"), F.col("unit_l").alias("_unit"),
         *TAGS, F.lit(True).alias("_tagged"),
     )
-    joined = lookup_join(keyed, lookup, keys, hot_keys(keyed, keys, hot_rows), [spread_by])
+    joined = lookup_join(keyed, lookup, keys)
     df = _veto(joined, F.coalesce(F.col("_tagged"), F.lit(False)), value)
     return df.select(*names, *TAGS, *VETOED)
 

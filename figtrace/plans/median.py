@@ -1,8 +1,8 @@
-"""Grouped figures with an exact median, for groups of any size.
+"""Grouped figures with an exact median, by one route for groups of any size.
 
-Spark's exact median keeps every distinct value of a group in one task. That is the right plan for
-ordinary groups. Groups above ``hot_rows`` rows take a second route instead: a mergeable sketch
-brackets the middle, rows below the bracket are only counted, and the few inside it are ranked.
+Values are counted first, with partial sums in the map tasks. A bucket scale narrows the middle ranks down
+twice, each time by sums per bucket; only the values of one small bucket are ranked in the end. Buckets of a
+group are bounded in number whatever the group holds, and no group's values meet in one task.
 """
 
 from __future__ import annotations
@@ -12,74 +12,65 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from figtrace.plans.skew import HOT_ROWS, hot_keys, same
+from figtrace.plans.skew import same
 
-# The sketch may misplace a rank by one part in ACCURACY; the bracket is ten times as wide.
-ACCURACY = 10_000
-MARGIN = 10.0 / ACCURACY
+# Steps of the first scale for each factor e of magnitude, and steps a bucket is split into again.
+COARSE, FINE = 1024, 65_536
 
 
 def grouped_figures(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    aggs: Mapping[str, Column],
-    *,
-    median: str = "v_median",
-    decimals: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], value: str, aggs: Mapping[str, Column], *, median: str = "v_median", decimals: int | None = None
 ) -> DataFrame:
-    """``df`` grouped by ``keys`` with ``aggs`` and the exact, interpolated median of ``value``."""
-    hot = hot_keys(df, keys, hot_rows)
-    mirrored = [F.col(f"_k_{k}") for k in keys]
-    named = hot.select([F.col(k).alias(f"_k_{k}") for k in keys] + [F.lit(True).alias("_hot")])
+    """``df`` grouped by ``keys`` with ``aggs`` and the exact, interpolated median of ``value``.
+
+    NULL values are passed over; NaN is greater than every number, as in an ascending sort.
+    """
     columns = [F.col(k) for k in keys]
+    grouped = df.groupBy(*keys)
+    figures = grouped.agg(*[agg.alias(name) for name, agg in aggs.items()]) if aggs else df.select(*keys).distinct()
+    middle = medians(df, keys, value).select([F.col(k).alias(f"_k_{k}") for k in keys] + [F.col("_median")])
+    joined = figures.join(middle, same(columns, [F.col(f"_k_{k}") for k in keys]), "left")
+    shown = F.col("_median") if decimals is None else F.round("_median", decimals)
+    return joined.select(*keys, *aggs, shown.alias(median))
 
-    marked = df.join(F.broadcast(named), same(columns, mirrored), "left")
-    grouped = marked.groupBy(*keys).agg(
-        *[agg.alias(name) for name, agg in aggs.items()],
-        F.median(F.when(F.col("_hot").isNull(), F.col(value))).alias(median),
-    )
-    hot_median = median_of_hot_groups(df, keys, value, hot).select(
-        [F.col(k).alias(f"_k_{k}") for k in keys] + [F.col("_median")]
-    )
-    joined = grouped.join(F.broadcast(hot_median), same(columns, mirrored), "left")
-    middle = F.coalesce(F.col("_median"), F.col(median))
-    if decimals is not None:
-        middle = F.round(middle, decimals)
-    return joined.select(*keys, *aggs, middle.alias(median))
 
+def medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, _median) of every group that has a value."""
+    v = F.col("_v")
+    scaled = F.floor(F.signum(v) * F.log1p(F.abs(v)) * COARSE).cast("long")
+    infinite = F.lit(float("inf"))
+    coarse = (
+        F.when(F.isnan(v), F.lit(2 << 40)).when(v == infinite, F.lit(1 << 40)).when(v == -infinite, F.lit(-(1 << 40))).otherwise(scaled)
+    )
+    counted = (
+        df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ).withColumn("_b", coarse)
 
-def median_of_hot_groups(df: DataFrame, keys: Sequence[str], value: str, hot: DataFrame) -> DataFrame:
-    """(keys, _median) of the ``hot`` groups, no group of which is gathered into one task."""
-    names = [f"_k_{k}" for k in keys]
-    columns, mirrored = [F.col(k) for k in keys], [F.col(n) for n in names]
-    hot = hot.select([F.col(k).alias(n) for k, n in zip(keys, names)])
-    held = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    rows = held.join(F.broadcast(hot), same(columns, mirrored), "inner").drop(*names)
+    sums = counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    every = Window.partitionBy(*keys)
+    up_to = every.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = sums.withColumns({"_n": F.sum("_c").over(every), "_cum": F.sum("_c").over(up_to)})
+    # The one or two middle ranks, each with its bucket and its rank inside it.
+    wanted = [F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)]
+    in_bucket = [
+        F.when((r <= F.col("_cum")) & (r > F.col("_cum") - F.col("_c")), F.struct(F.lit(i).alias("_which"), (r - F.col("_cum") + F.col("_c")).alias("_r")))
+        for i, r in enumerate(wanted)
+    ]
+    first = ranked.select(*keys, "_b", "_lo", "_hi", F.explode(F.array_compact(F.array(*in_bucket))).alias("_t"))
+    first = first.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_tb"), "_lo", "_hi", "_t.*")
 
-    bracket = F.percentile_approx("_v", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY)
-    brackets = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), bracket.alias("_b"))
-        .select([F.col(k).alias(n) for k, n in zip(keys, names)] + [F.col("_n"), F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi")])
-    )
-    near = rows.join(F.broadcast(brackets), same(columns, mirrored), "inner").where(F.col("_v") <= F.col("_hi"))
-    # One row per distinct value in the bracket, and one (NULL) for everything below it.
-    counts = (
-        near.withColumn("_w", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
-        .groupBy(*keys, "_w")
-        .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
-    )
-    running = F.sum("_c").over(
-        Window.partitionBy(*keys).orderBy(F.col("_w").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    ranked = counts.withColumn("_cum", running)
-    picked = ranked.groupBy(*keys).agg(
-        F.min(F.when(F.col("_cum") >= lower, F.struct(F.col("_cum"), F.col("_w")))).alias("_a"),
-        F.min(F.when(F.col("_cum") >= upper, F.struct(F.col("_cum"), F.col("_w")))).alias("_z"),
+    pair = same([F.col(k) for k in keys], [F.col(f"_k_{k}") for k in keys])
+    inside = counted.join(first, pair & (F.col("_b") == F.col("_tb")))
+    step = F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (FINE - 1)).cast("long")
+    fine = F.when(F.col("_lo") == F.col("_hi"), F.lit(0).cast("long")).otherwise(step)
+    inside = inside.select(*keys, "_which", "_r", "_v", "_c", fine.alias("_f"))
+    parts = inside.groupBy(*keys, "_which", "_f").agg(F.sum("_c").alias("_c"), F.max("_r").alias("_r"))
+    up_to = Window.partitionBy(*keys, "_which").orderBy("_f").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("_cum", F.sum("_c").over(up_to)).where("_r <= _cum AND _r > _cum - _c")
+    second = parts.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_which").alias("_w"), F.col("_f").alias("_tf"), (F.col("_r") - F.col("_cum") + F.col("_c")).alias("_q")
     )
-    middle = F.col("_a")["_w"] * 0.5 + F.col("_z")["_w"] * 0.5
-    missed = F.raise_error(F.lit("median bracket missed the middle rank")).cast("double")
-    return picked.select(*keys, F.coalesce(middle, missed).alias("_median"))
+    last = inside.join(second, pair & (F.col("_which") == F.col("_w")) & (F.col("_f") == F.col("_tf"))).select(*keys, "_which", "_v", "_c", "_q")
+    up_to = Window.partitionBy(*keys, "_which").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = last.withColumn("_cum", F.sum("_c").over(up_to)).where("_q <= _cum AND _q > _cum - _c")
+    return found.groupBy(*keys).agg((F.min("_v") * 0.5 + F.max("_v") * 0.5).alias("_median"))

@@ -9,54 +9,20 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more rows than this. Rows divided by this bounds how many keys can be
-# hot, and with it the size of what is broadcast for them.
-HOT_ROWS = 1_000_000
-# Hot rows are spread over this many pieces in the shuffle of the join they skip.
-SPREAD = 4096
-
 
 def same(left: Sequence[Column], right: Sequence[Column]) -> Column:
     """Key equality that also pairs NULL with NULL."""
     return reduce(and_, [a.eqNullSafe(b) for a, b in zip(left, right)])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys holding more than ``hot_rows`` rows; counted with map-side partial sums."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows).select(*keys)
-
-
-def lookup_join(
-    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], hot: DataFrame, spread_by: Sequence[str]
-) -> DataFrame:
-    """Left join ``rows`` to ``lookup`` (one row per key), with ``hot`` keys answered by broadcast.
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join ``rows`` to ``lookup`` (one row per key); NULL keys meet NULL keys.
 
-    ``hot`` must have a bounded number of keys, as ``hot_keys`` gives. Their lookup rows are broadcast;
-    the remaining rows go through an ordinary shuffled join in which hot rows take part under a NULL
-    key, salted by ``spread_by``, so no task receives one key's worth of rows.
+    A join of two shuffles and nothing above it that needs the rows of a key together, so adaptive
+    execution can split the partition of a key that holds many rows, or broadcast a lookup that it has
+    measured to be small. No hint says otherwise.
     """
     values = [c for c in lookup.columns if c not in keys]
-    names = {k: f"_k_{k}" for k in keys}
-    hot = hot.select([F.col(k).alias(names[k]) for k in keys])
-    left = [F.col(k) for k in keys]
-    mirrored = [F.col(names[k]) for k in keys]
-
-    # Only the hot side is ever built into a hash table, so the lookup may be of any size.
-    answers = lookup.join(F.broadcast(hot), same(left, mirrored), "inner").select(
-        *[F.col(names[k]).alias(f"_a_{k}") for k in keys], F.struct(*values).alias("_hot_values")
-    )
-    hot_lookup = hot.join(
-        F.broadcast(answers), same(mirrored, [F.col(f"_a_{k}") for k in keys]), "left"
-    ).select(*mirrored, F.lit(True).alias("_hot"), "_hot_values")
-    marked = rows.join(F.broadcast(hot_lookup), same(left, mirrored), "left").drop(*names.values())
-    is_hot = F.col("_hot").isNotNull()
-    salt = F.when(is_hot, F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)) + 1).otherwise(F.lit(0)).cast("long")
-    marked = marked.withColumn("_salt", salt)
-
-    cold = lookup.select(
-        [F.col(k).alias(names[k]) for k in keys] + [F.struct(*values).alias("_cold_values"), F.lit(0).cast("long").alias("_no_salt")]
-    )
-    on_cold = same([F.when(~is_hot, c) for c in left], mirrored) & (F.col("_salt") == F.col("_no_salt"))
-    joined = marked.join(cold, on_cold, "left")
-    picked = F.when(is_hot, F.col("_hot_values")).otherwise(F.col("_cold_values"))
-    return joined.select(*rows.columns, *[picked[v].alias(v) for v in values])
+    named = lookup.select([F.col(k).alias(f"_k_{k}") for k in keys] + [F.col(v) for v in values])
+    joined = rows.join(named, same([F.col(k) for k in keys], [F.col(f"_k_{k}") for k in keys]), "left")
+    return joined.select(*rows.columns, *values)

@@ -31,10 +31,13 @@ def test_one_path_per_content(spark):
     assert found["/x/Old Project Files/b.xlsx"].copy_penalty == 1 and found["/x/deep/er/b.xlsx"].depth == 4
 
 
-def test_hot_groups_of_copies_take_the_spread_route(spark):
-    fp = D.fingerprint(_points(spark, DOCS))
-    want = sorted(map(tuple, D.canonicalise(fp).collect()))
-    assert sorted(map(tuple, D.canonicalise(fp, hot_copies=2).collect())) == want
+def test_every_text_is_answered(spark):
+    docs = [(1, "a\nb", "/x"), (2, "a\nb", "/x"), (3, None, "/y"), (4, "", None), (5, "b\na", None), (6, None, None), (7, "a\nb", "/old/x")]
+    found = {r.doc_id: r for r in D.text_dedup(spark.createDataFrame(docs, "doc_id long, text string, path string")).collect()}
+    assert {i: (r.canonical_doc_id, r.copies) for i, r in found.items()} == {
+        1: (1, 3), 2: (1, 3), 7: (1, 3), 3: (4, 3), 4: (4, 3), 6: (4, 3), 5: (5, 1)
+    }
+    assert [i for i, r in found.items() if r.is_canonical and i not in (1, 4, 5)] == []
 
 
 def test_the_fingerprint_tells_pairs_apart(spark):

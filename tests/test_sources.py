@@ -10,19 +10,45 @@ from figtrace.sources.tables import read_points, read_store, replace_table, stag
 
 
 def test_the_preferred_table_and_the_manifest_are_bound(store):
-    assert store.columns.table == "ask_points"
+    assert store.table == "ask_points"
     assert store.has("data_class")
     assert store.manifest_name == "harvest_manifest"
 
 
 def test_aliases_bind_in_listed_order_in_any_case():
     m = map_columns(["Amount", "VALUE_NUM", "yr", "Code", "IATA", "uom", "File"])
-    assert m.mapping["value"] == "VALUE_NUM"
-    assert m.mapping["entity"] == m.mapping["entity_id"] == "IATA"
-    assert m.unmapped == ("Amount",)
-    assert not m.has("currency")
-    with pytest.raises(SourceError):
-        m.column("currency")
+    assert m["value"] == "VALUE_NUM"
+    assert m["entity"] == m["entity_id"] == "IATA"
+    assert "Amount" not in m.values() and "currency" not in m
+
+
+def test_a_concept_the_table_lacks_is_named(spark):
+    thin = spark.createDataFrame([(1.0, 2016, "m", "E", "u", "/s")], "value double, year int, metric string, entity string, unit string, source string")
+    asked = spark.createDataFrame([("1",)], "record_id string")
+    from figtrace.operators import compare as C
+    from figtrace.operators import evidence as E
+
+    for question in (lambda: E.get_source(bind(thin), asked), lambda: E.cite(bind(thin)), lambda: C.compare_evidence(bind(thin), asked.withColumn("comparison_id", asked["record_id"]))):
+        with pytest.raises(SourceError, match="record_id"):
+            question()
+
+
+def test_ids_are_compared_as_text(spark):
+    from figtrace.operators import compare as C
+    from figtrace.operators import evidence as E
+
+    fields = "id long, value double, year int, metric string, entity string, unit string, source string"
+    bound = bind(spark.createDataFrame([(7, 12345678.0, 2016, "m", "E", "u", "/a/s"), (8, 1e-4, 2016, "m", "E", "u", "/a/s")], fields))
+    asked = spark.createDataFrame([("c", "7"), ("c", "u9"), ("c", "8")], "comparison_id string, record_id string")
+    found = {r.record_id: r for r in E.get_source(bound, asked.drop("comparison_id")).collect()}
+    assert found["u9"].outcome == "no_evidence" and found["7"].citation.startswith("m=12345678.0 u") and found["8"].citation.startswith("m=0.0001 u")
+    row = C.compare_evidence(bound, asked).first()
+    assert (row.n_held, row.n_missing) == (2, 1)
+    for manifest in (None, spark.createDataFrame([("/a/s",)], "path string")):
+        from dataclasses import replace
+
+        rows = E.skip_by_status(replace(bound, manifest=manifest, manifest_name="m"), spark.createDataFrame([("/a",)], "scope string")).collect()
+        assert [(r.scope, r.status, r.n) for r in rows] == [("/a", "ABSENT", None)]
 
 
 def test_a_missing_required_concept_is_named():
