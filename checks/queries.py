@@ -20,7 +20,7 @@ from figtrace.operators import tagging as T
 from figtrace.operators.filters import EvidenceFilter, apply_filter, unmapped_points
 from figtrace.session import staging_path
 from figtrace.sources.concepts import bind, bind_store
-from figtrace.sources.tables import read_points, replace_table, stage, with_data_class
+from figtrace.sources.tables import read_points, replace_table, with_data_class
 from figtrace.streaming.audit import AuditContext, append_audit, read_audit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -306,19 +306,14 @@ def context_tag(spark: SparkSession, sf: str) -> DataFrame:
 # Tagged points
 
 
-def _tagged(spark: SparkSession, sf: str) -> DataFrame:
-    return T.tag_points(I.points(spark, sf))
-
-
-def _written(spark: SparkSession, sf: str) -> DataFrame:
-    """What the reports with medians read, written once: they pass over their rows twice."""
-    columns = ("year", "metric_code", "value_num", "measure_noun", "measure_kind", "label_source", "metric_code_v2")
-    return stage(_tagged(spark, sf).select(*columns, "metric_code_v2_raw", "magnitude_check"), "tagged")
+def _tagged(spark: SparkSession, sf: str, *tags: str) -> DataFrame:
+    """The tagged points, with only the tags that the question is about."""
+    return T.tag_points(I.points(spark, sf), tags=tags)
 
 
 @query
 def points_tagged(spark: SparkSession, sf: str) -> DataFrame:
-    return _tagged(spark, sf).select("point_id", "metric_code_v2", "metric_code_v2_raw", "magnitude_check", "rule_id")
+    return _tagged(spark, sf, "metric_code_v2", "metric_code_v2_raw", "magnitude_check", "rule_id").select("point_id", "metric_code_v2", "metric_code_v2_raw", "magnitude_check", "rule_id")
 
 
 @query
@@ -330,47 +325,47 @@ def points_tagged_by_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tag_claims(spark: SparkSession, sf: str) -> DataFrame:
-    return TR.tag_claims(_written(spark, sf), decimals=DECIMALS)
+    return TR.tag_claims(_tagged(spark, sf, "measure_noun", "measure_kind", "label_source", "metric_code_v2_raw", "magnitude_check"), decimals=DECIMALS)
 
 
 @query
 def tag_migration(spark: SparkSession, sf: str) -> DataFrame:
-    return TR.tag_migration(_tagged(spark, sf))
+    return TR.tag_migration(_tagged(spark, sf, "metric_code_v2_raw", "measure_kind", "magnitude_check"))
 
 
 @query
 def tag_promotions(spark: SparkSession, sf: str) -> DataFrame:
-    return TR.tag_promotions(_tagged(spark, sf))
+    return TR.tag_promotions(_tagged(spark, sf, "metric_code_v2_raw", "magnitude_check"))
 
 
 @query
 def tag_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    return TR.tag_conflicts(_tagged(spark, sf))
+    return TR.tag_conflicts(_tagged(spark, sf, "measure_kind", "magnitude_check"))
 
 
 @query
 def tag_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return TR.tag_coverage(_tagged(spark, sf))
+    return TR.tag_coverage(_tagged(spark, sf, "label_source", "metric_code_v2_raw"))
 
 
 @query
 def code_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    return TR.code_distribution(T.context_tags(I.points(spark, sf)))
+    return TR.code_distribution(T.context_tags(I.points(spark, sf), tags=["metric_code_v2"]))
 
 
 @query
 def gold_by_year(spark: SparkSession, sf: str) -> DataFrame:
-    return TR.gold_by_year(_written(spark, sf), years=YEARS, decimals=DECIMALS)
+    return TR.gold_by_year(_tagged(spark, sf, "metric_code_v2", "label_source"), years=YEARS, decimals=DECIMALS)
 
 
 @query
 def veto_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return TR.veto_audit(_tagged(spark, sf))
+    return TR.veto_audit(_tagged(spark, sf, "metric_code_v2", "metric_code_v2_raw", "magnitude_check"))
 
 
 @query
 def tag_before_after(spark: SparkSession, sf: str) -> DataFrame:
-    return TR.tag_before_after(_written(spark, sf), YEAR, decimals=DECIMALS)
+    return TR.tag_before_after(_tagged(spark, sf, "metric_code_v2", "label_source"), YEAR, decimals=DECIMALS)
 
 
 # Audit

@@ -44,8 +44,9 @@ def cite(bound: BoundPoints) -> DataFrame:
     )
 
 
-def status_counts(manifest: DataFrame) -> DataFrame:
-    """(scope, status, n) for every folder above a file, and for the file itself.
+def status_counts(manifest: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(scope, status, n) for every folder above a file, and for the file itself; or for the ``asked`` ones
+    of them (a column ``scope``, folded), which are picked before anything is counted.
 
     Folders are unfolded from each path and matched by equality, so ``/a/b`` does not cover ``/a/bc``
     and no prefix has to be compared with every path. The scope keeps no trailing slash and is folded
@@ -58,13 +59,15 @@ def status_counts(manifest: DataFrame) -> DataFrame:
     )
     scope = F.expr("substring_index(_p, '/', _i)")
     counted = scopes.select(scope.alias("scope"), "status").where("scope <> ''")
+    if asked is not None:
+        counted = counted.join(asked, "scope", "left_semi")
     return counted.groupBy("scope", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def disclosure_by_scope(manifest: DataFrame) -> DataFrame:
-    """(scope, in_scope, done, not_done) for every folder of a manifest."""
+def disclosure_by_scope(manifest: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(scope, in_scope, done, not_done) for every folder of a manifest, or for the ``asked`` ones."""
     done = F.sum(F.when(F.col("status") == DONE, F.col("n")).otherwise(F.lit(0)))
-    totals = status_counts(manifest).groupBy("scope").agg(F.sum("n").alias("in_scope"), done.alias("done"))
+    totals = status_counts(manifest, asked).groupBy("scope").agg(F.sum("n").alias("in_scope"), done.alias("done"))
     return totals.withColumn("not_done", F.col("in_scope") - F.col("done"))
 
 
@@ -85,7 +88,8 @@ def skip_disclosure(bound: BoundPoints, scopes: DataFrame) -> DataFrame:
         return asked.select(
             "scope", F.lit(state).alias("manifest"), *[nothing.alias(c) for c in ("in_scope", "done", "not_done")]
         )
-    held = disclosure_by_scope(manifest).unionByName(_whole_corpus(manifest)).withColumnRenamed("scope", "_scope")
+    folded = asked.select(_folded_scope(F.col("scope")).alias("scope"))
+    held = disclosure_by_scope(manifest, folded).unionByName(_whole_corpus(manifest)).withColumnRenamed("scope", "_scope")
     joined = asked.join(held, _folded_scope(F.col("scope")) == F.col("_scope"), "left")
     zero = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("in_scope", "done", "not_done")]
     return joined.select("scope", F.lit(bound.manifest_name).alias("manifest"), *zero)
@@ -106,7 +110,8 @@ def skip_by_status(bound: BoundPoints, scopes: DataFrame) -> DataFrame:
     if manifest is None:
         return asked.select("scope", F.lit("ABSENT").alias("status"), F.lit(None).cast("long").alias("n"))
     whole = manifest.groupBy("status").agg(F.count(F.lit(1)).alias("n")).select(F.lit("").alias("scope"), "status", "n")
-    held = status_counts(manifest).unionByName(whole).withColumnRenamed("scope", "_scope")
+    folded = asked.select(_folded_scope(F.col("scope")).alias("scope"))
+    held = status_counts(manifest, folded).unionByName(whole).withColumnRenamed("scope", "_scope")
     return asked.join(held, _folded_scope(F.col("scope")) == F.col("_scope"), "inner").select("scope", "status", "n")
 
 

@@ -7,6 +7,8 @@ and cannot multiply them. ``context_tags`` gives the distinct classifications fo
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,9 +148,9 @@ def contexts(points: DataFrame, context: str = "context", location: str = "locat
 
 
 def context_tags(
-    points: DataFrame, context: str = "context", location: str = "location", unit: str = "unit"
+    points: DataFrame, context: str = "context", location: str = "location", unit: str = "unit", *, tags: Sequence[str] = TAGS
 ) -> DataFrame:
-    """The tags of every distinct (context, sheet, unit), as ``context, sheet, unit_l`` and 14 tags.
+    """The tags of every distinct (context, sheet, unit), as ``context, sheet, unit_l`` and 14 tags, or those asked for.
 
     Duplicates go before any rule runs, and are dropped within map tasks before the shuffle.
     """
@@ -157,7 +159,7 @@ def context_tags(
         F.lower(F.coalesce(F.col(unit), F.lit(""))).alias("unit"),
     ).dropDuplicates()
     located = inputs.withColumn("location", F.concat(F.lit("sheet="), F.col("_sheet"), F.lit("!")))
-    return computed_once(classify(located).select("context", "sheet", "unit_l", *TAGS), TAGS)
+    return computed_once(classify(located).select("context", "sheet", "unit_l", *tags), tags)
 
 
 def _veto(df: DataFrame, tagged: Column, value: str) -> DataFrame:
@@ -184,16 +186,22 @@ def tag_points(
     location: str = "location",
     unit: str = "unit",
     value: str = "value_num",
+    *,
+    tags: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Every point with its tags and the magnitude veto; one row in, one row out, no shuffle."""
+    """Every point with its tags and the magnitude veto; one row in, one row out, no shuffle.
+
+    With ``tags``, only those: rules and inputs that the others rest on are left out of the plan.
+    """
     names = points.columns
+    asked = [t for t in (*TAGS, *VETOED) if tags is None or t in tags]
     df = classify(points, context, location, unit)
     tagged = F.col(context).isNotNull() & F.col("sheet").isNotNull()
     df = df.select(
         *names, *[F.when(tagged, F.col(t)).alias(t) for t in TAGS], tagged.alias("_tagged")
     )
     df = _veto(df, F.col("_tagged"), value)
-    return computed_once(df.select(*names, *TAGS, *VETOED), (*TAGS, *VETOED))
+    return computed_once(df.select(*names, *asked), asked)
 
 
 def tag_points_by_lookup(

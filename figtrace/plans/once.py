@@ -14,7 +14,8 @@ def computed_once(df: DataFrame, names: Sequence[str]) -> DataFrame:
     Catalyst writes a filter or key over a derived column in terms of what that column was derived
     from. For columns resting on several layers of conditions this repeats every layer below for
     every mention, without end in sight. A one-element unnest is a place where that stops; filters on
-    all other columns still pass it on their way to the scan, and unused columns are still pruned.
+    all other columns still pass it on their way to the scan. The named columns go together: give only
+    those that will be used.
     """
     kept = [c for c in df.columns if c not in names]
     bundle = F.array(F.struct(*[F.col(n) for n in names]))

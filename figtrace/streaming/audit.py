@@ -87,8 +87,12 @@ def audit_entries(calls: DataFrame, context: AuditContext) -> DataFrame:
 
 
 def append_audit(calls: DataFrame, context: AuditContext, folder: str) -> None:
-    """Append a batch of calls to the trail, as JSON lines in one folder per UTC day."""
-    entries = audit_entries(calls, context)
+    """Append a batch of calls to the trail, as JSON lines in one folder per UTC day.
+
+    A day's entries are gathered into few files first; a day that holds most of them is still written by
+    many tasks.
+    """
+    entries = audit_entries(calls, context).hint("rebalance", "day")
     entries.write.mode("append").partitionBy("day").option("ignoreNullFields", "false").json(folder)
 
 
