@@ -8,6 +8,7 @@ an index of those met so far leaves little to encode.
 from __future__ import annotations
 
 import json
+from itertools import islice
 
 import numpy as np
 import regex
@@ -66,7 +67,7 @@ class Chunks:
             numbers.append(n)
         self.parts = np.concatenate([self.parts, np.array(parts, dtype=np.int64)])
         self.sizes = np.concatenate([self.sizes, np.array(sizes, dtype=np.int64)])
-        return anew, numbers, list(self._pretoken)[met:]
+        return anew, numbers, list(islice(self._pretoken, met, None))
 
     def _add(self, piece: bytes, parts: list[int], sizes: list[int]) -> int:
         """The number of a new chunk; -1 for a piece that starts or ends with white space."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from figtrace.llm.chunks import Chunks, byte_letters
-from figtrace.llm.texts import ragged, staged
+from figtrace.llm.texts import ragged, slices, staged
 
 # Pieces that share a length are ranked in shares of about this many.
 SHARE = 20_000
@@ -38,7 +38,7 @@ def token_pieces(
         encode, letters = model.model.tokenize, dict(enumerate(byte_letters()))
         empty = np.zeros(0, dtype=np.uint32)
         token, token_n, of_chunk, of_chunk_n = empty, empty.astype(np.int64), empty, empty.astype(np.int64)
-        for batch in batches:
+        for batch in slices(batches, n_kept):
             texts = batch.column(n_kept).to_pylist()
             anew, numbers, new = chunks.batch(texts)
             if anew:
