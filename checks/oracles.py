@@ -126,11 +126,18 @@ SELECT CASE WHEN source_type_flag IS NULL OR source_type_flag = '' THEN '(blank)
   count(*) AS n
 FROM points GROUP BY 1 ORDER BY n DESC, flag LIMIT 10""")
 
+def cited(value: str) -> str:
+    return f"""coalesce(metric_code, '?') || '=' || coalesce(CAST({value} AS VARCHAR), '?') || ' '
+  || coalesce(unit, '') || ' (' || coalesce(entity, '?') || ' ' || coalesce(CAST(year AS VARCHAR), '?') || ') [class='
+  || data_class || ', status=' || coalesce(review_status, 'unverified') || '] source: ' || coalesce(source_file, 'UNSOURCED')"""
+
+
 # Search and summary
 
 oracle("search_points", *SEARCHED, select=f"""
 SELECT point_id AS record_id, metric_code, entity, entity_id, year, value_num AS value, unit, currency, value_scale,
-  data_class, review_status AS verification_status, source_file AS source, source_type_flag, temporality, project_id
+  data_class, review_status AS verification_status, source_file AS source, source_type_flag, temporality, project_id,
+  {cited('value_num')} AS citation, 'Source: explicit store derived, table points.' AS provenance
 FROM served WHERE metric_code ILIKE '%aero%' AND {IS_ENTITY} AND year BETWEEN 1996 AND 1999
 ORDER BY point_id LIMIT 25""")
 oracle("search_class_status", *SEARCHED, select="""
@@ -151,7 +158,8 @@ KEYS["source_folder"] = "array_to_string(string_split(source_file, '/')[1:5], '/
 oracle("summarise", *SEARCHED, f"""pairs AS (
   SELECT unnest([{{'facet': '_total', 'key': 'all'}}, {', '.join(f"{{'facet': '{f}', 'key': {k}}}" for f, k in KEYS.items())}],
     recursive := true)
-  FROM served WHERE {IS_ENTITY})""", """counts AS (
+  FROM served WHERE {IS_ENTITY}
+  UNION ALL SELECT '_untagged', 'metric_code' FROM served WHERE {IS_ENTITY} AND coalesce(metric_code, '') = '')""", """counts AS (
   SELECT facet, CASE WHEN coalesce(key, '') = '' THEN '(blank)' ELSE key END AS key, count(*) AS n FROM pairs GROUP BY ALL)""", """
 places AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, key) AS place FROM counts)""", select="""
 SELECT facet, key, n FROM places WHERE place <= 15""")
@@ -172,12 +180,6 @@ SCOPE_ROWS = """scopes AS (
 BELOW = "starts_with(path, scope || '/')"
 
 
-def cited(value: str) -> str:
-    return f"""coalesce(metric_code, '?') || '=' || coalesce(CAST({value} AS VARCHAR), '?') || ' '
-  || coalesce(unit, '') || ' (' || coalesce(entity, '?') || ' ' || coalesce(CAST(year AS VARCHAR), '?') || ') [class='
-  || data_class || ', status=' || coalesce(review_status, 'unverified') || '] source: ' || coalesce(source_file, 'UNSOURCED')"""
-
-
 oracle("citation", POINTS, CLASSED, select=f"""
 SELECT point_id AS record_id, {cited('value_num')} AS citation,
   'Source: explicit store derived, table points.' AS provenance
@@ -203,7 +205,11 @@ disclosed AS (
   FROM (SELECT DISTINCT folder FROM foldered WHERE outcome = 'ok'), manifest GROUP BY 1)""", select=f"""
 SELECT record_id, outcome, CASE WHEN outcome = 'ok' THEN context END AS verbatim,
   CASE WHEN outcome = 'ok' THEN nullif(source_file, '') END AS locator_path,
-  CASE WHEN outcome = 'ok' THEN location END AS cell, CASE WHEN outcome = 'ok' THEN {cited('value_num')} END AS citation,
+  CASE WHEN outcome = 'ok' THEN location END AS cell, CASE WHEN outcome = 'ok' THEN metric_code END AS metric_code,
+  CASE WHEN outcome = 'ok' THEN value_num END AS value, CASE WHEN outcome = 'ok' THEN unit END AS unit,
+  CASE WHEN outcome = 'ok' THEN year END AS year, CASE WHEN outcome = 'ok' THEN data_class END AS data_class,
+  CASE WHEN outcome = 'ok' THEN review_status END AS verification_status,
+  CASE WHEN outcome = 'ok' THEN 'Source: explicit store derived, table points.' END AS provenance, CASE WHEN outcome = 'ok' THEN {cited('value_num')} END AS citation,
   CASE WHEN outcome = 'ok' THEN lower(folder) END AS scope,
   CASE WHEN outcome = 'ok' THEN in_scope END AS in_scope, CASE WHEN outcome = 'ok' THEN in_scope - not_done END AS done, CASE WHEN outcome = 'ok' THEN not_done END AS not_done
 FROM foldered LEFT JOIN disclosed USING (folder)""")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figtrace.functions.text import BLANK
-from figtrace.operators.evidence import citation
+from figtrace.operators.citation import citation
 from figtrace.operators.search import returned
 from figtrace.plans.median import grouped_figures
 from figtrace.sources.concepts import BoundPoints

@@ -6,35 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figtrace.errors import SealedSourceError
-from figtrace.functions.text import parent_folder, plain_number, under_any_folder
+from figtrace.functions.text import parent_folder, under_any_folder
+from figtrace.operators.citation import citation
 from figtrace.operators.search import returned
 from figtrace.plans.skew import lookup_join
 from figtrace.sources.concepts import BoundPoints
 from figtrace.sources.manifest import read_manifest
 
 DONE = "done"
-
-
-def citation(frame: DataFrame) -> Column:
-    """A figure with what it measures, where and when it holds, its standing and its source.
-
-    Floating-point values are shown in plain decimals, without an exponent.
-    """
-    kinds = dict(frame.dtypes)
-
-    def part(concept: str, default: str) -> Column:
-        if concept not in kinds:
-            return F.lit(default)
-        shown = plain_number(F.col(concept)) if kinds[concept] in ("double", "float") else F.col(concept).cast("string")
-        return F.coalesce(shown, F.lit(default))
-
-    return F.concat(
-        part("metric_code", "?"), F.lit("="), part("value", "?"), F.lit(" "), part("unit", ""),
-        F.lit(" ("), part("entity", "?"), F.lit(" "), part("year", "?"),
-        F.lit(") [class="), part("data_class", "unclassified"),
-        F.lit(", status="), part("verification_status", "unverified"),
-        F.lit("] source: "), part("source", "UNSOURCED"),
-    )
+# What the answer on a source says about the figure itself.
+RECORD = ("metric_code", "value", "unit", "year", "data_class", "verification_status")
 
 
 def cite(bound: BoundPoints) -> DataFrame:
@@ -119,7 +100,7 @@ def get_source(
     bound: BoundPoints,
     requests: DataFrame,
 ) -> DataFrame:
-    """One row per requested ``record_id``: what the document says, where, and what was skipped there.
+    """One row per requested ``record_id``: the record, what the document says, where, and what was skipped there.
 
     ``outcome`` is ok, no_evidence (not held) or refused_quarantine (sealed source; no content is
     returned). A request may carry its own ``scope``; otherwise it is the folder of the source.
@@ -155,7 +136,9 @@ def get_source(
         shown(concept("extract_text")).alias("verbatim"),
         shown(F.nullif(F.col("source").cast("string"), F.lit(""))).alias("locator_path"),
         shown(concept("cell")).alias("cell"),
+        *[shown(concept(c)).alias(c) for c in RECORD],
         shown(citation(held)).alias("citation"),
+        shown(bound.provenance_column()).alias("provenance"),
         shown(_folded_scope(folder)).alias("scope"),
     )
     manifest = read_manifest(bound.manifest) if bound.manifest is not None else None

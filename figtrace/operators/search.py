@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from figtrace.functions.text import BLANK, leading_folders, or_blank
+from figtrace.operators.citation import citation
 from figtrace.operators.filters import Echo, EvidenceFilter, apply_filter
 from figtrace.sources.concepts import BoundPoints
 
@@ -32,11 +33,12 @@ class SearchResult:
     records: DataFrame
     echo: Echo
     matching: DataFrame
+    bound: BoundPoints
     limit: int
 
     def page(self) -> dict[str, Any]:
         """The page as rows, saying whether more is held. Reads at most ``limit + 1`` rows."""
-        rows = ordered(self.matching, self.records.columns).limit(self.limit + 1).collect()
+        rows = page_of(self.bound, self.matching, self.limit + 1).collect()
         page = {**self.echo.as_dict(), "records": rows[: self.limit], "returned": min(len(rows), self.limit)}
         page["truncated"] = len(rows) > self.limit
         if not rows:
@@ -52,15 +54,23 @@ def ordered(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns).orderBy(*[F.col(c).asc_nulls_last() for c in order])
 
 
+def page_of(bound: BoundPoints, matching: DataFrame, limit: int) -> DataFrame:
+    """The first points, each with its citation and the store it came from."""
+    rows = ordered(matching, returned(bound)).limit(limit)
+    return rows.withColumns({"citation": citation(rows), "provenance": bound.provenance_column()})
+
+
 def search(bound: BoundPoints, wanted: EvidenceFilter = EvidenceFilter(), limit: int = DEFAULT_LIMIT) -> SearchResult:
-    """The first ``limit`` points a filter selects, each with its provenance."""
+    """The first ``limit`` points a filter selects, each with its citation and provenance."""
     df, echo = apply_filter(bound, wanted)
     echo.limit = int(limit)
-    return SearchResult(ordered(df, returned(bound)).limit(int(limit)), echo, df, int(limit))
+    return SearchResult(page_of(bound, df, int(limit)), echo, df, bound, int(limit))
 
 
 def summarise(bound: BoundPoints, wanted: EvidenceFilter, top: int = TOP) -> tuple[DataFrame, Echo]:
-    """(facet, key, n): exact counts per facet value, the ``top`` of each, and ``_total``.
+    """(facet, key, n): exact counts per facet value, the ``top`` of each, ``_total`` and ``_untagged``.
+
+    ``_untagged`` counts the points that do not say what they measure; no metric code answers for them.
 
     Rows are first counted by all facets together, so what is unfolded into one row per facet is the
     few combinations that occur, and it happens in one pass over the points.
@@ -83,11 +93,15 @@ def summarise(bound: BoundPoints, wanted: EvidenceFilter, top: int = TOP) -> tup
     )
     pairs = [F.struct(F.lit("_total").alias("facet"), F.lit("all").alias("key"))]
     pairs += [F.struct(F.lit(name).alias("facet"), F.col(name).alias("key")) for name in columns]
-    unfolded = combined.select(F.explode(F.array(*pairs)).alias("p"), "n").select("p.facet", "p.key", "n")
-    # The total is reported even where nothing matches.
-    zero = df.sparkSession.range(1).select(
-        F.lit("_total").alias("facet"), F.lit("all").alias("key"), F.lit(0).cast("long").alias("n")
-    )
+    always = [pairs[0]]
+    if "metric_code" in columns:
+        untagged = F.struct(F.lit("_untagged").alias("facet"), F.lit("metric_code").alias("key"))
+        always.append(untagged)
+        pairs.append(F.when(F.col("metric_code") == BLANK, untagged))
+    unfolded = combined.select(F.explode(F.array_compact(F.array(*pairs))).alias("p"), "n").select("p.facet", "p.key", "n")
+    # Both are reported even where nothing matches.
+    zero = df.sparkSession.range(1).select(F.explode(F.array(*always)).alias("p"), F.lit(0).cast("long").alias("n"))
+    zero = zero.select("p.facet", "p.key", "n")
     counts = unfolded.unionByName(zero).groupBy("facet", "key").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), F.asc("key")))
     return counts.withColumn("_rank", rank).where(F.col("_rank") <= int(top)).drop("_rank"), echo

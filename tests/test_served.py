@@ -19,6 +19,7 @@ def test_filters_apply_and_are_echoed(store):
     found = S.search(store, EvidenceFilter(metric="opex", entity="NGT", year_from=2016, year_to=2018))
     rows = {r["record_id"]: r for r in found.records.collect()}
     assert sorted(rows) == ["d01", "d02"]
+    assert "opex_total=31.4 EUR" in rows["d01"]["citation"] and "fixture" in rows["d01"]["provenance"]
     assert rows["d01"]["data_class"] == "fact" and rows["d02"]["data_class"] == "forecast"
     assert found.echo.understood_as == {"metric_code": "opex", "entity": "NGT", "year_from": 2016, "year_to": 2018}
     assert found.echo.not_applicable == [] and found.echo.deduplication == "unavailable"
@@ -95,7 +96,7 @@ def test_a_summary_counts_what_a_search_finds(store):
     for facet in (*S.FACETS, "source_folder"):
         assert sum(n for (f, _), n in by.items() if f == facet) == 4
     nothing = S.summarise(store, EvidenceFilter(metric="nothing"))[0].collect()
-    assert [tuple(r) for r in nothing] == [("_total", "all", 0)]
+    assert sorted(tuple(r) for r in nothing) == [("_total", "all", 0), ("_untagged", "metric_code", 0)]
 
 
 def test_a_summary_needs_a_filter(store):
@@ -106,7 +107,7 @@ def test_a_summary_needs_a_filter(store):
 def test_the_source_of_a_record(store):
     row = E.get_one_source(store, "d01")
     assert row["outcome"] == "ok" and row["cell"] == "Costs!F7" and row["locator_path"].endswith("Ledger.xlsx")
-    assert row["verbatim"].startswith("Total operating")
+    assert row["verbatim"].startswith("Total operating") and (row["value"], row["year"], row["data_class"]) == (31.4, 2016, "fact")
     assert (row["in_scope"], row["done"], row["not_done"]) == (6, 2, 4)
     assert row["citation"].startswith("opex_total=31.4 EUR (Northgate 2016) [class=fact, status=accepted] source: /Shared")
     assert E.get_one_source(store, "d01", "/Shared/Vault")["in_scope"] == 8
