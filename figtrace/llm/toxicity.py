@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +103,7 @@ def train(
     total = {r[0]: r[1:] for r in totals}
     if WORD not in total or not total[WORD][0] or not total[WORD][1]:
         return Model({}, None)
-    evident = counts.where(F.greatest("c0", "c1") > min(DISCOUNTS)).collect()
+    evident = counts.where(F.greatest("c0", "c1") > min(DISCOUNTS)).toArrow()
 
     models = [_ratios(evident, total, i) for i in range(len(DISCOUNTS))]
     sent = spark.sparkContext.broadcast(models)
@@ -115,6 +117,7 @@ def train(
     seen = np.array(
         from_texts(probes, ", ".join(f"{n} double" for n in names), make, text="_text", keep=["_y"]).collect(), dtype=float
     ).reshape(-1, 1 + len(names))
+    sent.destroy()
     y = seen[:, 0]
     best = (np.inf, models[0], (1.0, 4.0, -8.0))
     for i, m in enumerate(models):
@@ -126,29 +129,29 @@ def train(
     return Model(best[1], best[2])
 
 
-def _ratios(evident: Sequence, total: dict, which: int) -> dict[int, dict[bytes, float]]:
+def _ratios(evident: pa.Table, total: dict, which: int) -> dict[int, dict[bytes, float]]:
     """The ratios under one discount, level by level from the shortest stem up to the word."""
     d = DISCOUNTS[which]
-    n = np.array(total[WORD][:2], dtype=float)
-    by_level: dict[int, list] = {}
-    for r in evident:
-        by_level.setdefault(r["level"], []).append((bytes(r["key"]), np.array([r["c0"], r["c1"]], dtype=float)))
-    mass: dict[int, dict[bytes, tuple]] = {}
-    below: list[int] = []
+    n0, n1 = map(float, total[WORD][:2])
+    mass: dict[int, dict[bytes, tuple[float, float, float]]] = {}
     ratios: dict[int, dict[bytes, float]] = {}
     for level in [*reversed(STEMS), WORD]:
         if level not in total:
             continue
+        below = [(k, held) for k, held in reversed(mass.items())]
         share = total[level][2 + which]
-        mass[level], ratios[level] = {}, {}
-        for key, c in by_level.get(level, ()):
-            if c.max() <= d:
+        at, known = {}, {}
+        own = evident.filter(pc.equal(evident["level"], level))
+        for key, c0, c1 in zip(own["key"].to_pylist(), own["c0"].to_pylist(), own["c1"].to_pylist()):
+            if max(c0, c1) <= d:
                 continue
-            parent = next((mass[k][key[:k]] for k in reversed(below) if len(key) >= k and key[:k] in mass[k]), (np.ones(2), n.sum()))
-            p = (1 - share) * np.maximum(c - d, 0) / n + share * parent[0] * c.sum() / parent[1]
-            mass[level][key] = (p, c.sum())
-            ratios[level][key] = float(np.log(p[1] / p[0]))
-        below.append(level)
+            p0, p1, both = next((held[key[:k]] for k, held in below if len(key) >= k and key[:k] in held), (1.0, 1.0, n0 + n1))
+            part = share * (c0 + c1) / both
+            p0 = (1 - share) * max(c0 - d, 0.0) / n0 + part * p0
+            p1 = (1 - share) * max(c1 - d, 0.0) / n1 + part * p1
+            at[key] = (p0, p1, float(c0 + c1))
+            known[key] = math.log(p1 / p0)
+        mass[level], ratios[level] = at, known
     return ratios
 
 
