@@ -42,9 +42,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents alike in their five-word shingles, the one with the least id."""
-    named = _whole(docs).withColumn("_id", F.col("_else.doc_id"))
-    return _back(minhash.groups(named, doc_id="_id").where("kept"), docs)
+    """Of each group of documents alike in their five-word shingles, the one with the least id.
+
+    Texts stay where they are while groups are found; a document is known again by its id and text.
+    """
+    key = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")]
+    gone = minhash.groups(docs.select(*key, "text"), doc_id="_id", keep=["_id", "_hash"]).where("NOT kept")
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), *key)
+    same = marked["_id"].eqNullSafe(gone["_id"]) & (marked["_hash"] == gone["_hash"])
+    return marked.join(gone, same, "left_anti").select("_row.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

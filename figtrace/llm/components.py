@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figtrace.llm.texts import staged
+from figtrace.llm.texts import release, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         wide = _edges(wide)
         least = wide.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m"))
         near = wide.join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("a"), F.col("_m").alias("b"))
-        edges = staged(_edges(near.union(least)), "edges")
+        old, edges = edges, staged(_edges(near.union(least)), "edges")
+        release(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from figtrace.llm.components import components
-from figtrace.llm.texts import from_texts, slices, staged, words
+from figtrace.llm.texts import from_texts, release, slices, staged, words
 
 HASHES, ROWS = 125, 5  # 25 bands of 5: a pair of similarity 0.8 shares no band once in 20,000
 BATCH = 25  # hashes compared before each decision
@@ -179,7 +179,9 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (class_id, root) after joining what ``links`` between roots join."""
     moved = components(links).select(F.col("id").alias("_id"), F.col("root").alias("_to"))
     joined = labels.join(moved, F.col("root") == F.col("_id"), "left")
-    return staged(joined.select("class_id", F.coalesce("_to", "root").alias("root")), "labels")
+    changed = staged(joined.select("class_id", F.coalesce("_to", "root").alias("root")), "labels")
+    release(labels, links)
+    return changed
 
 
 def classes(described: DataFrame, *, percent: int) -> DataFrame:
@@ -197,7 +199,8 @@ def classes(described: DataFrame, *, percent: int) -> DataFrame:
     buckets = staged(keys.join(shared.select("band"), "band"), "buckets")
     named = staged(buckets.select("class_id").distinct().join(first, "class_id"), "candidates")
     members = staged(_rows_of(described.select("row", "signature", "members"), named), "members")
-    labels = named.select("class_id", F.col("class_id").alias("root"))
+    labels = staged(named.select("class_id", F.col("class_id").alias("root")), "labels")
+    release(named)
 
     for star in range(STARS):
         placed = buckets.join(labels, "class_id")
@@ -209,11 +212,13 @@ def classes(described: DataFrame, *, percent: int) -> DataFrame:
         pairs = placed.join(center, "band").where("root != _root").select(F.col("class_id").alias("a"), "b").distinct()
         links = staged(_links(pairs, members, percent), "links")
         if not links.isEmpty():
-            labels = _relabel(labels, _of_roots(links, labels))
+            labels = _relabel(labels, staged(_of_roots(links, labels), "root_links"))
+        release(links)
     apart = _apart(buckets, labels)
     links = staged(_compare_blocks(apart, members, percent), "links")
     if not links.isEmpty():
         labels = _relabel(labels, links)
+    release(buckets, members, links)
     return labels
 
 
@@ -328,6 +333,8 @@ def groups(
     numbered = docs.select(F.struct(*carried).alias("carried"), F.col(doc_id).alias("id"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("row"))
     held = staged(describe(numbered, size=size, text="_text", keep=["carried", "id", "row"]), "described")
     labels = classes(held, percent=percent)
+    described, held = held, staged(held.select("carried", "id", "n_shingles", "class_id"), "documents")
+    release(described)
     least = held.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("id").alias("id"))
     root = F.coalesce("root", "class_id")
     rooted = least.join(labels, "class_id", "left").select("class_id", "id", root.alias("_root"))

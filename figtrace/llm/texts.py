@@ -101,7 +101,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and safe from lost executors."""
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._staged = path
+    return held
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; frames that were not staged stay as they are."""
+    for df in frames:
+        if path := getattr(df, "_staged", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from figtrace.llm import chat_format, minhash, vector_dedup
+from figtrace.llm import chat_format, vector_dedup
 from figtrace.llm.queries import ORACLES, QUERIES
 from tests.llm.conftest import SF, rows
 from tests.llm.test_documents import plain_groups, plain_hits, plain_spans
@@ -170,5 +170,5 @@ def test_stages_of_odd_texts(spark, odd, none):
 
 
 def test_a_row_is_kept_whole(odd):
-    whole = corpus_pipeline._back(minhash.groups(corpus_pipeline._whole(odd).withColumn("_id", F.col("_else.doc_id")), doc_id="_id"), odd)
+    whole = corpus_pipeline._back(corpus_pipeline._whole(odd), odd)
     assert sorted(map(str, whole.collect())) == sorted(map(str, odd.collect()))
