@@ -16,6 +16,9 @@ from figtrace.llm import decontaminate, minhash, packing, pii, toxicity
 from figtrace.llm.queries import END, LIMIT, vocabulary
 from figtrace.llm.texts import fold, read, staged
 
+# Executors still hold what the stages before needed; the last one makes do with fewer remembered words.
+REMEMBERED = 100_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -65,7 +68,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1,024 tokens with their sequence and place in it."""
-    pieces = packing.token_pieces(docs, vocabulary(), size=LIMIT, end=END)
+    pieces = packing.token_pieces(docs, vocabulary(), size=LIMIT, end=END, remembered=REMEMBERED)
     return packing.best_fit(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), size=LIMIT, order=["doc_id", "piece"])
 
 

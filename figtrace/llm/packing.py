@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from figtrace.llm.chunks import Chunks, byte_letters
+from figtrace.llm.chunks import REMEMBERED, Chunks, byte_letters
 from figtrace.llm.texts import ragged, slices, staged
 
 # Pieces that share a length are ranked in shares of about this many.
@@ -18,14 +18,15 @@ SHARE = 20_000
 
 
 def token_pieces(
-    docs: DataFrame, vocabulary: str, *, size: int, end: int, text: str = "text", keep: Sequence[str] = ("doc_id",)
+    docs: DataFrame, vocabulary: str, *, size: int, end: int, text: str = "text", keep: Sequence[str] = ("doc_id",), remembered: int = REMEMBERED
 ) -> DataFrame:
     """One row per piece of a document: the kept columns, piece, start, length, ids.
 
     A document is its text's tokens, then ``end``. Documents of more than ``size`` tokens are cut into pieces
     of ``size``, of which the first may be shorter. ``ids`` are the piece's token ids as little-endian
     unsigned 32-bit numbers. A null or empty text is the end alone. ``vocabulary`` is a byte-level BPE file of
-    the tokenizers library, which encodes the pre-tokens; every executor must be able to read it.
+    the tokenizers library, which encodes the pre-tokens; every executor must be able to read it. A task
+    remembers about ``remembered`` distinct words: fewer take less memory and more time.
     """
     out = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL("piece int, start long, length long, ids binary").fields])
     n_kept = len(keep)
@@ -34,7 +35,7 @@ def token_pieces(
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(vocabulary)
-        chunks = Chunks({t.content: i for i, t in model.get_added_tokens_decoder().items()})
+        chunks = Chunks({t.content: i for i, t in model.get_added_tokens_decoder().items()}, remembered)
         encode, letters = model.model.tokenize, dict(enumerate(byte_letters()))
         empty = np.zeros(0, dtype=np.uint32)
         token, token_n, of_chunk, of_chunk_n = empty, empty.astype(np.int64), empty, empty.astype(np.int64)
