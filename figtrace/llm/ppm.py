@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,20 +10,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figtrace.llm.texts import LOWER, from_texts, slices, staged, words
+from figtrace.llm.texts import LOWER, from_texts, release, slices, staged, words
 from figtrace.llm.word_counts import Hashes, add_up, word_counts
 
 ORDER = 5
-# A context stays in the trie when it precedes at least one in so many symbols; no more than this many
-# contexts of one length can.
-CONTEXTS = 1 << 15
+# What a symbol costs after the ORDER before it is sent to all tasks for the most frequent cases, no more than
+# this many. The others are joined.
+CONTEXTS = 1 << 22
 # A word's count is sent to all tasks when it is at least one in so many of all tokens; no more than this
 # many words can be. The others are joined.
 COMMON = 1 << 20
 EDGE = 256  # stands before and after every text
 SYMBOLS = 257
 _BITS = 9
-_STEP = 256
 
 
 def _flat(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -37,130 +37,141 @@ def _flat(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else edge[:0]), np.array(starts, dtype=np.int64)
 
 
-def _scored(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which symbols of ``_flat`` are predicted: all but the edges before the texts."""
+def _grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Every predicted symbol (all but the edges before the texts) with the ``ORDER`` before it, as one number,
+    and where each text's first one is."""
+    flat, starts = _flat(texts)
+    code = np.zeros(len(flat), dtype=np.int64)
     mask = np.ones(len(flat), dtype=bool)
-    for k in range(1, ORDER + 1):
-        mask[starts - k] = False
-    return mask
+    for k in range(ORDER + 1):
+        code[k:] |= flat[: len(flat) - k] << (_BITS * k)
+        if k:
+            mask[starts - k] = False
+    return code[mask], starts - ORDER * np.arange(1, len(starts) + 1)
 
 
-def byte_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """How often each symbol follows each ``ORDER`` symbols, in all texts: gram, n."""
+def byte_counts(docs: DataFrame, training: Column, *, text: str = "text") -> DataFrame:
+    """How often each symbol follows each ``ORDER`` symbols: gram, n in all texts, t in those to learn from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list] = ([], [])
+        held: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
+
+        def given(learn: bool) -> Iterator[pa.RecordBatch]:
+            grams, n = add_up(*held[learn])
+            for a in range(0, len(grams), 100_000):
+                part = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams[part]), pa.array(n[part]), pa.array(n[part] if learn else np.zeros_like(n[part]))], ["gram", "n", "t"]
+                )
+
         size = 0
         for b in slices(batches, 0):
-            flat, starts = _flat(b.column(0).to_pylist())
-            code = np.zeros(len(flat), dtype=np.int64)
-            for k in range(ORDER + 1):
-                code[k:] |= flat[: len(flat) - k] << (_BITS * k)
-            grams, n = np.unique(code[_scored(flat, starts)], return_counts=True)
-            held[0].append(grams)
-            held[1].append(n)
-            size += len(grams)
+            texts, learned = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for learn in (True, False):
+                some = [t for t, y in zip(texts, learned) if y == learn]
+                if some:
+                    grams, n = np.unique(_grams(some)[0], return_counts=True)
+                    held[learn][0].append(grams)
+                    held[learn][1].append(n)
+                    size += len(grams)
             if size > 4_000_000:
-                grams, n = add_up(*held)
-                held, size = ([grams], [n]), len(grams)
-        if held[0]:
-            grams, n = add_up(*held)
-            for a in range(0, len(grams), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(grams[a : a + 100_000]), pa.array(n[a : a + 100_000])], ["gram", "n"])
+                size = 0
+                for learn, (grams, n) in held.items():
+                    if grams:
+                        k, m = add_up(grams, n)
+                        held[learn] = ([k], [m])
+                        size += len(k)
+        for learn in (True, False):
+            if held[learn][0]:
+                yield from given(learn)
+
+    source = docs.select(F.col(text).cast("binary").alias("_text"), F.coalesce(training, F.lit(False)).alias("_learn"))
+    return source.mapInArrow(run, "gram long, n long, t long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
-    source = docs.select(F.col(text).cast("binary").alias("_text"))
-    return source.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
+def _last(gram: Column, symbols: int) -> Column:
+    return gram.bitwiseAND((1 << _BITS * symbols) - 1)
 
-class Trie:
-    """The contexts of a byte model with the cost (log10 probability) of every next symbol, as tables.
 
-    A row of ``cost`` is a context; ``next`` is the row of the longest context after one more symbol.
+def costs(grams: DataFrame) -> DataFrame:
+    """gram, n and the cost (log10 probability) of the gram's last symbol after the others, for all of ``byte_counts``.
+
+    Escapes by method C (as many as distinct symbols seen), and symbols seen in a longer context are excluded
+    from the shorter ones. Every context that the texts to learn from have counts, however rare. Without any
+    text all symbols are alike.
     """
+    learned = [grams.where("t > 0").select(F.col("gram").alias("g"), F.col("t").alias("c"))]
+    for k in range(ORDER, 0, -1):
+        learned.insert(0, staged(learned[0].groupBy(_last(F.col("g"), k).alias("g")).agg(F.sum("c").alias("c")), f"grams{k}"))
+    # Of every context: its symbols' number and counts, and their counts in the context one shorter.
+    contexts: list[DataFrame] = []
+    for k in range(1, ORDER + 1):
+        shorter = learned[k - 1].select(F.col("g").alias("_g"), F.col("c").alias("_c"))
+        both = learned[k].join(shorter, _last(F.col("g"), k) == F.col("_g"))
+        sums = both.groupBy(F.shiftright("g", _BITS).alias("h")).agg(F.sum("c").alias("m"), F.count("c").alias("q"), F.sum("_c").alias("a"))
+        contexts.append(staged(sums, f"contexts{k}"))
+    m0, q0 = learned[0].agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
 
-    def __init__(self, cost: np.ndarray, following: np.ndarray):
-        self.cost, self.next = cost, following
-
-    def logs(self, texts: list[bytes | None]) -> np.ndarray:
-        """log10 probability of each text, its end included."""
-        if not texts:
-            return np.zeros(0)
-        flat, starts = _flat(texts)
-        # Contexts reach back ORDER symbols at most, so the symbols are followed in many short columns at once.
-        columns = -(-len(flat) // _STEP)
-        padded = np.full(ORDER + columns * _STEP, EDGE, dtype=np.int64)
-        padded[ORDER : ORDER + len(flat)] = flat
-        grid = np.lib.stride_tricks.as_strided(
-            padded, (columns, ORDER + _STEP), (padded.strides[0] * _STEP, padded.strides[0])
-        ).T.copy()
-        state = np.zeros(columns, dtype=np.int64)
-        cost = np.zeros((_STEP, columns), dtype=np.float64)
-        for i, symbols in enumerate(grid):
-            at = state * SYMBOLS + symbols
-            if i >= ORDER:
-                cost[i - ORDER] = self.cost[at]
-            state = self.next[at].astype(np.int64)
-        each = cost.T.reshape(-1)[: len(flat)]
-        each[~_scored(flat, starts)] = 0
-        return np.add.reduceat(each, starts - ORDER)
-
-
-def trie(grams: DataFrame) -> Trie:
-    """The model of ``byte_counts``: escapes by method C (as many as distinct symbols seen), and symbols seen
-    in a longer context are excluded from the shorter ones. Without any text all symbols are alike."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    codes: list[np.ndarray] = [np.zeros(1, dtype=np.int64)]
-    counts: list[np.ndarray] = [np.zeros((1, SYMBOLS))]
-    for k in range(ORDER + 1):
-        last = grams.groupBy(F.col("gram").bitwiseAND((1 << _BITS * (k + 1)) - 1).alias("g")).agg(F.sum("n").alias("n"))
-        rows = last.select(F.shiftright("g", _BITS).alias("c"), F.col("g").bitwiseAND((1 << _BITS) - 1).alias("x"), "n")
-        kept = rows.groupBy("c").agg(F.sum("n").alias("m")).where(F.col("m") * CONTEXTS >= total).select("c")
-        held = rows.join(F.broadcast(kept), "c").toPandas()  # at most CONTEXTS contexts
-        if not len(held):
-            break
-        names, at = np.unique(held["c"].to_numpy(), return_inverse=True)
-        table = np.zeros((len(names), SYMBOLS))
-        table[at, held["x"].to_numpy()] = held["n"].to_numpy()
+    longest = contexts[-1].select("h", (F.col("m") + F.col("q")).alias("room"))
+    seen = grams.where("t > 0").join(longest, F.shiftright("gram", _BITS) == F.col("h")).select("gram", "n", F.log10(F.col("t") / F.col("room")).alias("cost"))
+
+    rest = grams.where("t = 0").select(
+        "gram", "n", F.lit(None).cast("double").alias("cost"), F.lit(0.0).alias("escape"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("q")
+    )
+    for k in range(ORDER, -1, -1):
+        small = k < 2  # at most SYMBOLS**2 rows
         if k:
-            codes.append(names)
-            counts.append(table)
+            of = contexts[k - 1].select("h", F.col("m").alias("_m"), F.col("q").alias("_q"), F.col("a").alias("_a"))
+            rest = rest.join(F.broadcast(of) if k < 3 else of, _last(F.shiftright("gram", _BITS), k) == F.col("h"), "left").drop("h")
         else:
-            counts[0] = table
-    first = np.cumsum([0, *map(len, codes)])
-    parents = [np.zeros(1, dtype=np.int64)]
-    for k in range(1, len(codes)):
-        short = codes[k] & ((1 << _BITS * (k - 1)) - 1)
-        parents.append(np.searchsorted(codes[k - 1], short))
-    cost = np.zeros((first[-1], SYMBOLS), dtype=np.float32)
-    following = np.zeros((first[-1], SYMBOLS), dtype=np.int32)
-    for k in range(len(codes)):
-        own = slice(first[k], first[k + 1])
-        if k:
-            following[own] = following[first[k - 1] + parents[k]]
-        if k + 1 < len(codes):
-            before = np.minimum(np.searchsorted(codes[k], codes[k + 1] >> _BITS), len(codes[k]) - 1)
-            real = codes[k][before] == codes[k + 1] >> _BITS
-            following[first[k] + before[real], (codes[k + 1] & ((1 << _BITS) - 1))[real]] = first[k + 1] + np.flatnonzero(real)
-        for a in range(0, len(codes[k]), 1024):
-            cost[first[k] + a : first[k] + min(a + 1024, len(codes[k]))] = _costs(counts, parents, k, np.arange(a, min(a + 1024, len(codes[k]))))
-    return Trie(cost.reshape(-1), following.reshape(-1))
-
-
-def _costs(counts: list[np.ndarray], parents: list[np.ndarray], order: int, rows: np.ndarray) -> np.ndarray:
-    p = np.zeros((len(rows), SYMBOLS))
-    out = np.zeros((len(rows), SYMBOLS), dtype=bool)
-    escape = np.ones(len(rows))
-    for k in range(order, -1, -1):
-        c = np.where(out, 0, counts[k][rows])
-        n, q = c.sum(1), (c > 0).sum(1)
-        room = np.maximum(n + q, 1)
-        p += escape[:, None] * c / room[:, None]
-        escape = np.where(n > 0, escape * q / room, escape)
-        out |= c > 0
-        rows = parents[k][rows]
-    left = (~out).sum(1)
-    p += (escape / np.maximum(left, 1))[:, None] * ~out
-    return np.log10(p / p.sum(1, keepdims=True))
+            rest = rest.withColumns({"_m": F.lit(m0), "_q": F.lit(q0), "_a": F.lit(0)})
+        if k < ORDER:
+            of = learned[k].select("g", F.col("c").alias("_c"))
+            rest = rest.join(F.broadcast(of) if small else of, _last(F.col("gram"), k + 1) == F.col("g"), "left").drop("g")
+        else:
+            rest = rest.withColumn("_c", F.lit(None).cast("long"))
+        m, q, a = (F.coalesce(c, F.lit(0)).cast("long") for c in ("_m", "_q", "_a"))
+        left, symbols = m - F.col("a"), q - F.col("q")
+        some = (m > 0) & (left > 0)
+        rest = rest.select(
+            "gram", "n", F.coalesce("cost", F.when(some, F.col("escape") + F.log10(F.col("_c") / (left + symbols)))).alias("cost"),
+            (F.col("escape") + F.when(some, F.log10(symbols / (left + symbols))).otherwise(0.0)).alias("escape"), a.alias("a"), q.alias("q"),
+        )
+    unseen = rest.select("gram", "n", F.coalesce("cost", F.col("escape") - math.log10(SYMBOLS - q0)).alias("cost"))
+    out = staged(seen.union(unseen).withColumn("cost", F.col("cost").cast("float")), "costs")
+    release(*learned, *contexts)
+    return out
+
+
+def _bar(priced: DataFrame) -> tuple[float, bool]:
+    """From which eighth of a power of two on a gram is frequent: at most CONTEXTS are. And whether others are not."""
+    bar, n = float("inf"), 0
+    for r in priced.groupBy(_rung(F.col("n")).alias("r")).count().orderBy(F.desc("r")).collect():
+        n += r["count"]
+        if n > CONTEXTS:
+            return bar, True
+        bar = r["r"]
+    return bar, False
+
+
+def _rung(n: Column) -> Column:
+    return F.floor(F.log2(n) * 8).cast("double")
+
+
+def _priced(texts: list[bytes | None], held: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, list, list]:
+    """log10 probability of each text, its end included, without the grams that are not held; those, and how often."""
+    code, starts = _grams(texts)
+    grams, of = np.unique(code, return_inverse=True)
+    at = np.minimum(np.searchsorted(held, grams), max(len(held) - 1, 0))
+    met = held[at] == grams if len(held) else np.zeros(len(grams), dtype=bool)
+    each = np.zeros(len(grams))
+    each[met] = cost[at[met]]
+    other, times = [np.zeros(0, dtype=np.int64)] * len(texts), [np.zeros(0, dtype=np.int64)] * len(texts)
+    if not met.all():
+        for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(code)])):
+            part = of[a:b]
+            other[i], times[i] = np.unique(code[a:b][~met[part]], return_counts=True)
+    return np.add.reduceat(each[of], starts), other, times
 
 
 def score(docs: DataFrame, training: Column, *, text: str = "text", keep: list[str]) -> DataFrame:
@@ -174,18 +185,21 @@ def score(docs: DataFrame, training: Column, *, text: str = "text", keep: list[s
     spark = docs.sparkSession
     keep = [c for c in keep if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
     learned = docs.where(training)
-    grams = staged(byte_counts(learned, text=text), "grams")
+    grams = staged(byte_counts(docs, training, text=text), "grams")
     counted = staged(word_counts(learned, split=words, text=text), "word_counts")
-    model = trie(grams)
+    priced = costs(grams)
+    release(grams)
+    bar, more = _bar(priced)
+    model = priced.where(_rung(F.col("n")) >= bar).select("gram", "cost").orderBy("gram").toArrow()  # at most CONTEXTS rows
     n_texts = learned.count()
     n_words, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("h")).first()
     total, room = n_words + n_texts, n_words + n_texts + distinct + (n_texts > 0) + 1
     common = counted.where(F.col("n") * COMMON >= n_words).toPandas().sort_values("h")  # at most COMMON rows
-    sent = spark.sparkContext.broadcast((model.cost, model.next, common["h"].to_numpy(), common["n"].to_numpy()))
+    sent = spark.sparkContext.broadcast((model["gram"].to_numpy(), model["cost"].to_numpy(), common["h"].to_numpy(), common["n"].to_numpy()))
 
     def make():
-        cost, following, held, n_held = sent.value
-        bytes_model, hashes = Trie(cost, following), Hashes()
+        grams_held, cost, held, n_held = sent.value
+        hashes = Hashes()
         logs = np.log10((n_held + 1) / room)
         end = np.log10((n_texts + 1) / room)
 
@@ -201,11 +215,11 @@ def score(docs: DataFrame, training: Column, *, text: str = "text", keep: list[s
                 other, n = np.unique(h[~met], return_counts=True)
                 rare.append(other)
                 rare_n.append(n)
-            return n_tokens, known, base, bytes_model.logs(texts), rare, rare_n
+            return n_tokens, known, base, *_priced(texts, grams_held, cost), rare, rare_n
 
         return compute
 
-    fields = "_n_tokens long, _known long, _base double, _score double, _rare array<long>, _rare_n array<long>"
+    fields = "_n_tokens long, _known long, _base double, _score double, _grams array<long>, _grams_n array<long>, _rare array<long>, _rare_n array<long>"
     numbered = docs.select(*keep, F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
     first = staged(from_texts(numbered, fields, make, text="_text", keep=[*keep, "_row"]), "scored")
 
@@ -217,11 +231,20 @@ def score(docs: DataFrame, training: Column, *, text: str = "text", keep: list[s
     of_row = rest.join(counts, "h", "left").groupBy(F.col("_row").alias("_r")).agg(
         F.sum(F.when(c > 0, F.col("_times")).otherwise(0)).alias("_k"), F.sum(F.col("_times") * F.log10((c + 1) / F.lit(float(room)))).alias("_b")
     )
-    return first.join(of_row, F.col("_row") == F.col("_r"), "left").select(
+    scored = first.join(of_row, F.col("_row") == F.col("_r"), "left")
+    by_grams = F.lit(0.0)
+    if more:
+        asked = first.select(F.col("_row").alias("_g"), F.explode(F.arrays_zip("_grams", "_grams_n")).alias("_z")).select(
+            "_g", F.col("_z._grams").alias("gram"), F.col("_z._grams_n").alias("_times")
+        )
+        of_grams = asked.join(priced.where(_rung(F.col("n")) < bar), "gram").groupBy("_g").agg(F.sum(F.col("_times") * F.col("cost")).alias("_s"))
+        scored = scored.join(of_grams, F.col("_row") == F.col("_g"), "left")
+        by_grams = F.coalesce("_s", F.lit(0.0))
+    return scored.select(
         *keep,
         F.col("_n_tokens").alias("n_tokens"),
         (F.col("_known") + F.coalesce("_k", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("_base") + F.coalesce("_b", F.lit(0.0))).alias("base_score"),
-        F.col("_score").alias("score"),
+        (F.col("_score") + by_grams).alias("score"),
     )

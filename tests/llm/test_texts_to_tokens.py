@@ -193,6 +193,20 @@ def test_byte_model_is_ppm(spark):
         assert got[t] == pytest.approx(plain_ppm(training, t), rel=1e-4), t
 
 
+@pytest.mark.parametrize("sent", [0, 3, 20])
+def test_rare_contexts_count(spark, monkeypatch, sent):
+    """What is not sent to all tasks is joined: no context is dropped, and unrelated data change nothing."""
+    training = ["banana bandana", "an apple and a band", "", "annabel"] + ["0123456789" * 40] * 3
+    probes = ["banana", "zebra", "", "an\x00", "bandé", "0123 and"]
+    want = {t: plain_ppm(training, t) for t in probes + training}
+    monkeypatch.setattr(ppm, "CONTEXTS", sent)
+    df = spark.createDataFrame([(t, True) for t in training] + [(t, False) for t in probes], "text string, learn boolean")
+    got = ppm.score(df, F.col("learn"), keep=["text"]).collect()
+    assert len(got) == len(df.collect())
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["text"]], rel=1e-4), r["text"]
+
+
 def test_score_of_odd_texts(odd, none):
     got = rows(ppm.score(odd, F.col("doc_id") > 0, keep=["doc_id", "score"]))
     assert len(got) == odd.count() and all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (3, 4, 5))
