@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figtrace.llm.texts import LOWER, from_texts, plain_words, staged
-from figtrace.llm.word_counts import word_counts
+from figtrace.llm.word_counts import Hashes, word_counts
 
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = KINDS.index("term")
@@ -20,12 +21,11 @@ PATTERNS = (
     re.compile(r"[0-9]([\x20-]?[0-9])+"),
     re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
-CONTEXT = 8  # words to either side of an entity that count as said together with it
-REACH = 400  # characters searched for them
-SUPPORT = 3  # documents in which a word must stand by an entity before it can disclose it
+SMOOTH = 2  # documents without any evidence that every word is given when what it discloses is estimated
+BITS = 1 << 24  # of the table that drops most of the words that disclose nothing before the join
 GENERALISE, REMOVE = 0.9, 0.98  # parts of the entity's information that a word may disclose
 
-_PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # words before they are lower-cased
 _NOT_DIGITS = bytes(c for c in range(256) if not 48 <= c <= 57)
 
 
@@ -60,17 +60,16 @@ def _key(*parts: str) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest("\0".join(parts).encode()), "little", signed=True)
 
 
-def context(text: str, found: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, word hash, entity hash) of the words around each entity that are no part of one."""
-    near = set()
-    for kind, start, end in found:
-        entity = _key(KINDS[kind], text[start:end].lower())
-        left = [m.span() for m in _PLAIN.finditer(text, max(0, start - REACH), start)][-CONTEXT:]
-        right = [m.span() for m in _PLAIN.finditer(text, end, end + REACH)][:CONTEXT]
-        for a, b in (*left, *right):
-            if not any(s < b and a < e for _, s, e in found):
-                near.add((a, b, entity))
-    return [(a, b, _word_hash(text[a:b].encode()), e) for a, b, e in sorted(near)]
+def others(text: str, found: Sequence[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the words of the whole text that overlap no entity."""
+    spans = sorted((s, e) for _, s, e in found)
+    i = end = 0
+    for m in _PLAIN.finditer(text):
+        while i < len(spans) and spans[i][0] < m.end():
+            end = max(end, spans[i][1])
+            i += 1
+        if end <= m.start():
+            yield m.span()
 
 
 def _word_hash(word: bytes) -> int:
@@ -80,44 +79,44 @@ def _word_hash(word: bytes) -> int:
 def find(docs: DataFrame, *, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with ``spans``: array of (kind, start, end, removed) in code points, kinds numbered as ``KINDS``.
 
-    Pattern spans always stay. A word within ``CONTEXT`` words of an entity is a span of kind term when it
-    discloses the entity: the corpus tells, over all texts, how often the word stands by the entity, c(e, t),
-    and at all, c(t). PMI = log(c(e, t) / c(t) / p(e)) over the entity's information log(1 / p(e)) is the part
-    disclosed; from ``GENERALISE`` on the word is to be generalised, from ``REMOVE`` on to be removed
-    (``removed``). Pairs met in fewer than ``SUPPORT`` documents tell nothing. A null or empty text has no spans. Rows
-    stay as they are, repeated ones too.
+    Pattern spans always stay. A word is a span of kind term, wherever it stands in any text, when it discloses
+    an entity: the corpus tells in how many documents it occurs with the entity, c(e, t), and at all, c(t). With
+    c(e, t) / c(t) smoothed by ``SMOOTH`` documents in which e is as likely as anywhere, p(e), PMI =
+    log(c(e, t) / c(t) / p(e)) over the entity's information log(1 / p(e)) is the part disclosed; from
+    ``GENERALISE`` on the word is to be generalised, from ``REMOVE`` on to be removed (``removed``). A null or
+    empty text has no spans. Rows stay as they are, repeated ones too.
     """
     keep = docs.columns if keep is None else list(keep)
+    telling = staged(_telling(docs, text), "telling")
+    sent = docs.sparkSession.sparkContext.broadcast(_bits(telling))
 
     def make():
+        bits, hashes = sent.value, Hashes()
+
         def compute(texts):
             spans, near = [], []
             for t in texts:
                 found = entities(t)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-                near.append([dict(zip(("start", "end", "term", "entity"), c)) for c in context(t.decode("utf-8"), found)] if found else [])
+                h = hashes.of(plain_words(t))
+                some = set(h[bits[h & (BITS - 1)]].tolist())
+                near.append([])
+                if some:
+                    whole = t.decode("utf-8")
+                    for a, b in others(whole, found):
+                        term = hashes[whole[a:b].encode().translate(LOWER)]
+                        if term in some:
+                            near[-1].append({"start": a, "end": b, "term": term})
             return spans, near
 
         return compute
 
     carried = [c for c in keep if c != "spans"]
     numbered = docs.select(F.struct(*carried).alias("carried"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("row"))
-    fields = "base array<struct<kind: int, start: long, end: long>>, near array<struct<start: long, end: long, term: long, entity: long>>"
+    fields = "base array<struct<kind: int, start: long, end: long>>, near array<struct<start: long, end: long, term: long>>"
     held = staged(from_texts(numbered, fields, make, text="_text", keep=["carried", "row"]), "entities")
-
-    words = word_counts(docs, split=plain_words, text=text).select(F.col("h").alias("term"), F.col("n").alias("_t"))
-    words = staged(words, "term_counts")
-    total = words.agg(F.sum("_t")).first()[0] or 1
-    said = held.select("row", F.explode("near").alias("c")).select("row", "c.*")
-    in_row = said.groupBy("entity", "term", "row").agg(F.count(F.lit(1)).alias("_n"))
-    pairs = in_row.groupBy("entity", "term").agg(F.sum("_n").alias("_et"), F.count(F.lit(1)).alias("_rows"))
-    # An entity's count: at least as often as any word stands by it.
-    often = pairs.groupBy(F.col("entity").alias("_e")).agg(F.max("_et").alias("_n"))
-    joined = pairs.where(F.col("_rows") >= SUPPORT).join(words, "term").join(often, F.col("entity") == F.col("_e"))
-    disclosed = 1 + F.log(F.least(F.lit(1.0), F.col("_et") / F.col("_t"))) / F.log(F.lit(float(total) + 1) / F.col("_n"))
-    telling = joined.select("entity", "term", disclosed.alias("part")).where(F.col("part") >= GENERALISE)
-    marked = said.join(staged(telling, "telling"), ["entity", "term"]).groupBy(F.col("row").alias("_row"), "start", "end").agg(F.max("part").alias("part"))
-    terms = marked.groupBy("_row").agg(
+    said = held.select("row", F.explode("near").alias("c")).select(F.col("row").alias("_row"), "c.*")
+    terms = said.join(telling, "term").groupBy("_row").agg(
         F.array_sort(F.collect_list(F.struct(F.lit(TERM).alias("kind"), "start", "end", (F.col("part") >= REMOVE).alias("removed")))).alias("terms")
     )
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(False).alias("removed")))
@@ -127,6 +126,55 @@ def find(docs: DataFrame, *, text: str = "text", keep: Sequence[str] | None = No
     )
 
 
+def _telling(docs: DataFrame, text: str) -> DataFrame:
+    """Words that disclose an entity, by hash, and the largest part of one that each discloses: term, part."""
+
+    def make():
+        def compute(texts):
+            met, terms = [], []
+            for t in texts:
+                found = entities(t)
+                whole = t.decode("utf-8") if found else ""
+                met.append(list({_key(KINDS[k], whole[a:b].lower()) for k, a, b in found}))
+                words = {whole[a:b] for a, b in others(whole, found)} if found else set()
+                terms.append(list({_word_hash(w.encode()) for w in words}))
+            return met, terms
+
+        return compute
+
+    numbered = docs.select(F.col(text).alias("_text"), F.monotonically_increasing_id().alias("row"))
+    found = from_texts(numbered, "met array<long>, terms array<long>", make, text="_text", keep=["row"])
+    found = staged(found.where(F.size("met") > 0), "disclosing")
+    counted = staged(word_counts(docs, split=lambda t: list(set(plain_words(t))), text=text), "term_counts")
+    words = counted.select(F.col("h").alias("term"), F.col("n").alias("_t"))
+    total = F.lit(float(docs.count() + 1))
+    in_row = found.select("row", F.explode("met").alias("entity"))
+    often = in_row.groupBy(F.col("entity").alias("_entity")).agg(F.count(F.lit(1)).alias("_e"))
+    # Entities of one document only are all alike there: one stands for all of them.
+    alike = F.when(F.col("_e") == 1, F.xxhash64("row")).otherwise(F.col("entity"))
+    of_row = in_row.join(often, F.col("entity") == F.col("_entity")).select(F.col("row").alias("_row"), alike.alias("entity"), "_e").distinct()
+
+    def part(together):
+        p = F.col("_e") / total
+        return 1 + F.log((together + SMOOTH * p) / (F.col("_t") + SMOOTH)) / F.log(1 / p)
+
+    # Words too frequent to disclose the entity even if they stood in all of its documents make no pair.
+    pairs = found.select("row", F.explode("terms").alias("term")).join(words, "term").join(
+        of_row, (F.col("row") == F.col("_row")) & (part(F.least("_e", "_t")) >= GENERALISE)
+    )
+    joined = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_et"), F.first("_e").alias("_e"), F.first("_t").alias("_t"))
+    parts = joined.select("term", part(F.col("_et")).alias("part")).where(F.col("part") >= GENERALISE)
+    return parts.groupBy("term").agg(F.max("part").alias("part"))
+
+
+def _bits(telling: DataFrame) -> np.ndarray:
+    """Which last bits of a hash any of the words has."""
+    bits = np.zeros(BITS, dtype=bool)
+    for r in telling.select(F.col("term").bitwiseAND(BITS - 1).alias("s")).distinct().toLocalIterator():
+        bits[r["s"]] = True
+    return bits
+
+
 def count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
 

@@ -278,3 +278,18 @@ def test_words_that_disclose(spark, odd, none):
     kept = {(r["doc_id"], r["text"]) for r in odd.where("doc_id != 9").collect()}
     assert kept <= {(r["doc_id"], r["text"]) for r in pii.clean(odd).collect()} and pii.find(odd).count() == odd.count()
     assert pii.find(odd).columns == [c for c in odd.columns if c != "spans"] + ["spans"] and pii.clean(none).count() == 0
+
+
+def test_disclosing_words_go_everywhere(spark):
+    """Far from the entity, and in a text without it; a word inside an entity stays part of that."""
+    far = "the common words go on here " * 40
+    said = [(i, f"write to a.b@mail.example.com {far} said zorblat") for i in range(8)] + [(50, f"{far} and Zorblat again")]
+    docs = spark.createDataFrame(said + [(100 + i, far + "said and write to again") for i in range(3000)], "doc_id long, text string")
+    cleaned = {r["doc_id"]: r["text"] for r in pii.clean(docs).collect()}
+    assert not any("zorblat" in t.lower() for t in cleaned.values())
+    assert cleaned[0].startswith("write to [EMAIL] the common") and cleaned[100] == far + "said and write to again"
+
+
+def test_words_around_entities_are_whole():
+    text = "é" * 500 + " a.b@c.de " + "x" * 900 + " end"
+    assert [text[a:b] for a, b in pii.others(text, pii.entities(text.encode()))] == ["é" * 500, "x" * 900, "end"]
