@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from figtrace.llm.fitting import log_loss, logistic, probability
 from figtrace.llm.texts import from_texts, plain_words, staged
+from figtrace.llm.word_counts import Hashes
 
 # Labelled documents a model is fitted on at most: those with the least hash of their id.
 SAMPLE = 20_000
@@ -28,17 +29,20 @@ WINDOW = 2
 
 @dataclass
 class Model:
-    """Log-likelihood ratio, toxic over ordinary, of each expression with evidence; calibration weights."""
+    """Log-likelihood ratio, toxic over ordinary, of each expression with evidence, and of each word after the
+    one before, by hash; calibration weights."""
 
     ratios: dict[int, dict[bytes, float]]
     weights: tuple[float, ...] | None  # of document ratio, passage ratio, one; None: no examples of both
+    pairs: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, np.int64), np.zeros(0, np.float32)))
 
 
 class _Ratio(dict):
     """Word -> ratio of the longest of its expressions that has one."""
 
-    def __init__(self, ratios: dict[int, dict[bytes, float]]):
+    def __init__(self, ratios: dict[int, dict[bytes, float]], pairs: tuple[np.ndarray, np.ndarray], hashes: Hashes):
         super().__init__()
+        self.pairs, self.hashes = pairs, hashes
         self.words = ratios.get(WORD, {})
         self.stems = [(n, ratios[n]) for n in STEMS if ratios.get(n)]
 
@@ -52,13 +56,19 @@ class _Ratio(dict):
         return found
 
 
+def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One hash of two words' hashes, in order."""
+    return before * np.int64(-7046029254386353131) + (word ^ (word >> 29))
+
+
 def train(
     docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE
 ) -> Model:
     """Fit on labelled documents: ``labels`` has ``doc_id`` and 0 or 1; rows with a null in either are skipped.
 
     Per class, an expression's count is the number of distinct words it follows (its continuation count).
-    Every level takes a discount off the counts and gives it to the level below by a weight that both classes
+    Above these levels stands the word after the one before, by the number of documents that hold both in a row;
+    its discount goes to the word's continuation counts. Every level takes a discount off the counts and gives it to the level below by a weight that both classes
     share, in proportion to counts of both classes together. An expression whose counts stay under the
     discount therefore has the ratio of the level below, and need not be held. The discount is the one of
     ``DISCOUNTS`` that does best on the calibration documents.
@@ -78,20 +88,24 @@ def train(
             pairs: list[list[np.ndarray]] = [[], []]
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = np.array([0, *[number.setdefault(w, len(number)) for w in plain_words(t)]], dtype=np.int64)
-                pairs[y].append(ids[:-1] << 32 | ids[1:])
+                pairs[y].append(np.unique(ids[:-1] << 32 | ids[1:]))
             words = pa.array(list(number), pa.binary())
+            hashed = Hashes().of(list(number))
             for y in (0, 1):
                 if pairs[y]:
-                    p = np.unique(np.concatenate(pairs[y]))
+                    p, n = np.unique(np.concatenate(pairs[y]), return_counts=True)
+                    a, b = p >> 32, p & 0xFFFFFFFF
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(p), y, dtype=np.int32)), words.take(pa.array(p >> 32)), words.take(pa.array(p & 0xFFFFFFFF))],
-                        ["y", "before", "word"],
+                        [pa.array(np.full(len(p), y, dtype=np.int32)), words.take(pa.array(a)), words.take(pa.array(b)), pa.array(_pair(hashed[a], hashed[b])), pa.array(n)],
+                        ["y", "before", "word", "h", "n"],
                     )
 
     followed = labelled.where(~calibrates).select("_y", F.col("_text").cast("binary").alias("_text")).mapInArrow(
-        expressions, "y int, before binary, word binary"
+        expressions, "y int, before binary, word binary, h long, n long"
     )
-    per_word = followed.distinct().groupBy("word").agg(*[F.count(F.when(F.col("y") == c, 1)).alias(f"c{c}") for c in (0, 1)])
+    in_class = [F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in (0, 1)]
+    pairs = staged(followed.groupBy("before", "word").agg(F.first("h").alias("h"), *in_class), "pairs")
+    per_word = pairs.groupBy("word").agg(*[F.count(F.when(F.col(f"c{c}") > 0, 1)).alias(f"c{c}") for c in (0, 1)])
     level = F.explode(F.array(F.lit(WORD), *[F.when(F.length("word") >= n, F.lit(n)) for n in STEMS])).alias("level")
     keyed = per_word.select("word", "c0", "c1", level).where("level IS NOT NULL")
     key = F.when(F.col("level") == WORD, F.col("word")).otherwise(F.col("word").substr(F.lit(1), F.col("level")))
@@ -105,13 +119,23 @@ def train(
         return Model({}, None)
     evident = counts.where(F.greatest("c0", "c1") > min(DISCOUNTS)).toArrow()
 
-    models = [_ratios(evident, total, i) for i in range(len(DISCOUNTS))]
+    heads = pairs.groupBy("before").agg(
+        F.sum("c0").alias("v0"), F.sum("c1").alias("v1"), *[(F.sum(F.least(both, F.lit(d))) / F.sum(both)).alias(f"s{i}") for i, d in enumerate(DISCOUNTS)]
+    )
+    after = pairs.where(F.greatest("c0", "c1") > min(DISCOUNTS)).join(heads, "before").join(per_word.select("word", both.alias("both")), "word")
+    after = after.select("h", "word", *[F.col(c).cast("float").alias(c) for c in ("c0", "c1", "v0", "v1", "both", *[f"s{i}" for i in range(len(DISCOUNTS))])]).toArrow()
+
+    models = []
+    for i in range(len(DISCOUNTS)):
+        ratios, mass = _ratios(evident, total, i)
+        models.append((ratios, _after(after, mass, total, i)))
     sent = spark.sparkContext.broadcast(models)
     probes = labelled.where(calibrates).select("_y", F.col("_text"))
     names = [f"{n}{i}" for i in range(len(models)) for n in ("m", "p")]
 
     def make():
-        tables = [_Ratio(m) for m in sent.value]
+        hashes = Hashes()
+        tables = [_Ratio(*m, hashes) for m in sent.value]
         return lambda texts: [list(c) for c in zip(*[[v for t in tables for v in features(t, x)] for x in texts])]
 
     seen = np.array(
@@ -126,11 +150,11 @@ def train(
         loss = log_loss(probability(x @ w[:-1] + w[-1]), y) if len(y) else np.inf
         if loss < best[0]:
             best = (loss, m, tuple(w))
-    return Model(best[1], best[2])
+    return Model(best[1][0], best[2], best[1][1])
 
 
-def _ratios(evident: pa.Table, total: dict, which: int) -> dict[int, dict[bytes, float]]:
-    """The ratios under one discount, level by level from the shortest stem up to the word."""
+def _ratios(evident: pa.Table, total: dict, which: int) -> tuple[dict[int, dict[bytes, float]], dict]:
+    """The ratios under one discount, level by level from the shortest stem up to the word; the probabilities."""
     d = DISCOUNTS[which]
     n0, n1 = map(float, total[WORD][:2])
     mass: dict[int, dict[bytes, tuple[float, float, float]]] = {}
@@ -152,7 +176,26 @@ def _ratios(evident: pa.Table, total: dict, which: int) -> dict[int, dict[bytes,
             at[key] = (p0, p1, float(c0 + c1))
             known[key] = math.log(p1 / p0)
         mass[level], ratios[level] = at, known
-    return ratios
+    return ratios, mass
+
+
+def _after(after: pa.Table, mass: dict, total: dict, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of pairs of words, in order, and the ratio of the second word after the first."""
+    d = DISCOUNTS[which]
+    c0, c1, v0, v1, both, share = (after[c].to_numpy().astype(np.float64) for c in ("c0", "c1", "v0", "v1", "both", f"s{which}"))
+    coded = after["word"].combine_chunks().dictionary_encode()
+    below = np.ones((len(coded.dictionary), 3))  # both classes' probabilities, of how large a count
+    for i, word in enumerate(coded.dictionary.to_pylist()):
+        held = next((mass[n][k] for n in (WORD, *STEMS) if (k := word if n == WORD else word[:n]) in mass.get(n, ()) and len(word) >= n), None)
+        below[i] = held or (1.0, 1.0, total[WORD][0] + total[WORD][1])
+    below = below[coded.indices.to_numpy()]
+    part = share * np.minimum(both / below[:, 2], 1.0)
+    p0 = (1 - share) * np.maximum(c0 - d, 0) / np.maximum(v0, 1) + part * below[:, 0]
+    p1 = (1 - share) * np.maximum(c1 - d, 0) / np.maximum(v1, 1) + part * below[:, 1]
+    some = np.flatnonzero((np.maximum(c0, c1) > d) & (p0 > 0) & (p1 > 0))
+    h = after["h"].to_numpy()[some]
+    order = np.argsort(h)
+    return h[order], np.log(p1 / p0)[some][order].astype(np.float32) if len(some) else np.zeros(0, np.float32)
 
 
 def features(ratio: _Ratio, text: bytes | None) -> tuple[float, float]:
@@ -161,6 +204,12 @@ def features(ratio: _Ratio, text: bytes | None) -> tuple[float, float]:
     if not w:
         return 0.0, 0.0
     r = np.fromiter(map(ratio.__getitem__, w), np.float64, len(w))
+    held, known = ratio.pairs
+    if len(held):
+        h = ratio.hashes.of([b"", *w])
+        pair = _pair(h[:-1], h[1:])
+        at = np.minimum(np.searchsorted(held, pair), len(held) - 1)
+        r = np.where(held[at] == pair, known[at], r)
     size = min(WINDOW, len(r))
     sums = np.concatenate([[0.0], np.cumsum(r)])
     return float(r.mean()), float((sums[size:] - sums[:-size]).max() / size)
@@ -172,11 +221,11 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: Sequence[s
     A null or empty text, or one of unknown words only, has equal likelihoods and gets the score of that. A
     model without examples of both classes scores 0. Rows stay as they are, repeated ones too.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.ratios, model.weights))
+    sent = docs.sparkSession.sparkContext.broadcast((model.ratios, model.pairs, model.weights))
 
     def make():
-        ratios, weights = sent.value
-        table = _Ratio(ratios)
+        ratios, pairs, weights = sent.value
+        table = _Ratio(ratios, pairs, Hashes())
 
         def compute(texts):
             if weights is None:

@@ -54,6 +54,21 @@ def test_toxic_words_tell(spark):
     assert score[1] > 0.5 > score[2] and score[3] == score[4] == score[5] < 0.5
 
 
+def test_toxic_phrases_tell(spark):
+    """Ordinary words that are toxic only in one order: single words say nothing."""
+    draw = random.Random(12)
+    neutral = [f"w{i}" for i in range(40)]
+    said = []
+    for i in range(600):
+        w = draw.choices(neutral, k=30)
+        w[10:12] = ["get", "lost"] if i % 3 == 0 else ["lost", "get"]
+        said.append((i, " ".join(w), int(i % 3 == 0)))
+    docs = spark.createDataFrame([x[:2] for x in said], "doc_id long, text string")
+    model = toxicity.train(docs, labels_of(spark, [(i, y, 1) for i, _, y in said if i < 400]))
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert auc(np.array([score[i] for i in range(400, 600)]), np.array([y for i, _, y in said if i >= 400])) > 0.9
+
+
 def test_scores_of_odd_texts(spark, odd, none):
     one_class = labels_of(spark, [(1, 0, 1), (None, 1, 1), (2, None, None)])
     for docs in (odd, none):
