@@ -67,12 +67,18 @@ def spherical_cells(sample: np.ndarray, n: int) -> np.ndarray:
     return centres
 
 
+def _reach(threshold: float, dim: int) -> float:
+    distance = np.sqrt(2 - 2 * threshold)
+    return max(SIGMAS * distance / np.sqrt(dim), distance / 2)
+
+
 def _cells_of(x: np.ndarray, centres: np.ndarray, between: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """Each unit vector's home cell, and which cells (its own too) it must be compared in.
 
     A vector within the threshold of x that lives in another cell c is nearer to c. Seen along the line
     between both centres, the two vectors differ by a random part of their distance, with a deviation of
-    distance / sqrt(dimensions); x goes to every cell whose border is within ``SIGMAS`` deviations.
+    distance / sqrt(dimensions); x goes to every cell whose border is within ``SIGMAS`` deviations, and within
+    half the distance at least: one of both vectors is that near, in whatever direction they differ.
     """
     near = x @ centres.T
     home = near.argmax(1)
@@ -108,7 +114,7 @@ def linked(vectors: DataFrame, *, threshold: float = 0.95, vec_id: str = "vec_id
     drawn = valid.where(F.col("dim") == dim).orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("raw").collect()
     sample = _unit(_numbers([r[0] for r in drawn], dtype)) if drawn else np.eye(1)
     centres = spherical_cells(sample, int(np.clip(n // PER_CELL, 1, CELLS)))
-    reach = SIGMAS * np.sqrt(2 - 2 * threshold) / np.sqrt(dim)
+    reach = _reach(threshold, dim)
     sent = spark.sparkContext.broadcast(centres)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,6 +103,19 @@ def test_vectors(spark, monkeypatch, element):
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got.collect()} == plain_links(vectors, 0.95)
 
 
+def test_borders_are_exact_in_many_dimensions():
+    """Two linked vectors that differ straight across a border meet in the cell of one of them."""
+    centres = np.eye(768)[:2]
+    half = np.arcsin(np.sqrt(2 - 2 * 0.951) / 2)
+    angles = np.pi / 4 + np.array([-half, half])
+    x = np.zeros((2, 768))
+    x[:, 0], x[:, 1] = np.cos(angles), np.sin(angles)
+    between = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
+    home, visits = vector_dedup._cells_of(x, centres, between, vector_dedup._reach(0.95, 768))
+    assert x[0] @ x[1] > 0.95 and home.tolist() == [0, 1] and (visits[0, 1] or visits[1, 0])
+    assert vector_dedup._reach(0.95, 64) == pytest.approx(4 * np.sqrt(0.1) / 8)
+
+
 def test_repeated_and_missing_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.01]), (None, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in vector_dedup.linked(df).collect())
