@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figtrace.llm import chat_format, decontaminate, minhash, packing, pii, ppm, quality, token_count, toxicity, vector_dedup
+from figtrace.llm import align, chat_format, decontaminate, minhash, packing, pii, ppm, quality, sharding, token_count, toxicity, vector_dedup
 from figtrace.llm.texts import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ ORACLES: dict[str, str] = {}
 
 LIMIT = 1024
 END = 2
+SHARDS = 24
 
 
 def query(f: Query) -> Query:
@@ -23,11 +24,11 @@ def query(f: Query) -> Query:
     return f
 
 
-def vocabulary() -> str:
-    """The public vocabulary file that the queries use."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary file that the queries use."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 @query
@@ -138,3 +139,18 @@ def op9_lm_score(spark: SparkSession, sf: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     counted = token_count.count_tokens(read(spark, sf, "documents"), vocabulary(), keep=["doc_id"])
     return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT)
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return align.align(read(spark, sf, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"), keep=["doc_id"], digest=True)
+
+
+@query
+def op12_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    """By the law ``rows``: a uniform shuffle deals out rows one by one, so equal texts are not kept together."""
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    docs = read(spark, sf, "documents").select(
+        "doc_id", (F.octet_length(content).cast("long") + 8).alias("size"), F.crc32(content).alias("text_crc32"), F.lit("rows").alias("law")
+    )
+    return sharding.shuffled(docs, SHARDS).withColumn("grown_shard", F.lit(None).cast("int"))

@@ -82,11 +82,11 @@ def from_texts(
     return source.mapInArrow(run, out)
 
 
-def slices(batches: Batches, column: int) -> Batches:
-    """The same rows in batches of about ``SLICE`` bytes of text, so that what is made of them stays small."""
+def slices(batches: Batches, column: int, size: int = SLICE) -> Batches:
+    """The same rows in batches of about ``size`` bytes of text, so that what is made of them stays small."""
     for batch in batches:
         sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)).astype(np.int64)
-        share = (np.cumsum(sizes) - sizes) // SLICE
+        share = (np.cumsum(sizes) - sizes) // size
         cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(sizes)]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
