@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figtrace.llm import align, chat_format, decontaminate, minhash, packing, pii, ppm, quality, sharding, token_count, toxicity, vector_dedup
+from figtrace.llm import align, chat_format, decontaminate, lexical, minhash, packing, pii, ppm, quality, sharding, token_count, toxicity, vector_dedup
 from figtrace.llm.texts import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,32 @@ def op12_sharding(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", (F.octet_length(content).cast("long") + 8).alias("size"), F.crc32(content).alias("text_crc32"), F.lit("rows").alias("law")
     )
     return sharding.shuffled(docs, SHARDS).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(read(spark, sf, "documents"), read(spark, sf, "benchmark"), k=10)
+
+
+ORACLES["op13_lexical_search"] = r"""
+WITH cut AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, CAST(doc_id AS VARCHAR) AS id, text FROM documents
+  UNION ALL SELECT 'i', row_number() OVER (), CAST(item_id AS VARCHAR), text FROM benchmark),
+said AS (
+  SELECT side, r, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM cut),
+counted AS (SELECT side, r, id, term, count(*) AS times FROM said GROUP BY ALL),
+docs AS (SELECT r, sum(times)::BIGINT AS n FROM counted WHERE side = 'd' GROUP BY r),
+whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_all FROM docs),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counted, whole WHERE side = 'd' GROUP BY term),
+scored AS (
+  SELECT i.r AS item, CAST(i.id AS BIGINT) AS item_id, d.r AS doc, CAST(d.id AS BIGINT) AS doc_id,
+    CAST(sum(i.times * w * ((1000000000 * d.times) // (1000 * d.times + 8 * (25 + (75 * n * n_docs) // n_all)))) AS BIGINT) AS score
+  FROM counted i JOIN counted d ON i.term = d.term AND i.side = 'i' AND d.side = 'd' JOIN weights ON weights.term = d.term
+    JOIN docs ON docs.r = d.r, whole
+  GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
