@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from figtrace.functions.text import BLANK
 from figtrace.operators.citation import citation
 from figtrace.operators.search import returned
-from figtrace.plans.median import grouped_figures
+from figtrace.plans.figures import grouped_figures, rounded
 from figtrace.sources.concepts import BoundPoints
 
 # Axes that must agree, and axes whose difference is only disclosed.
@@ -63,16 +63,16 @@ def compare_evidence(bound: BoundPoints, pairs: DataFrame) -> DataFrame:
     An axis agrees when its least and greatest value are the same, so no set of values is gathered.
     """
     records = held_records(bound, pairs)
-    records = records.withColumn("_value", F.when(F.col("_held"), _number(records)))
-    held = F.col("_held")
-    aggs = {"n_held": F.count_if(held), "n_missing": F.count_if(~held)}
-    aggs |= {"n": F.count("_value"), "v_min": F.min("_value"), "v_max": F.max("_value")}
-    for axis in HARD_AXES:
-        text = F.when(held, _axis(records.columns, axis))
-        aggs[f"_{axis}_agrees"] = F.min(text).eqNullSafe(F.max(text))
-    figures = grouped_figures(records, ["comparison_id"], "_value", aggs, decimals=4)
-
-    agrees = reduce(and_, [F.col(f"_{axis}_agrees") for axis in HARD_AXES])
+    held, axes = F.col("_held"), {f"_on_{axis}": F.when(F.col("_held"), _axis(records.columns, axis)) for axis in HARD_AXES}
+    records = records.select("comparison_id", "_held", F.when(held, _number(records)).alias("_value"), *[c.alias(name) for name, c in axes.items()])
+    counted = {"n_held": held, "n_missing": ~held}
+    also = {name: (F.sum(F.when(c, F.col("_c")).otherwise(0)), F.sum) for name, c in counted.items()}
+    for name in axes:
+        also |= {f"{name}_lo": (F.min(name), F.min), f"{name}_hi": (F.max(name), F.max)}
+    figures = grouped_figures(records, ["comparison_id"], "_value", details=["_held", *axes], also=also)
+    figures = rounded(figures, 4, "v_median").drop("n").withColumnRenamed("n_values", "n")
+
+    agrees = reduce(and_, [F.col(f"{name}_lo").eqNullSafe(F.col(f"{name}_hi")) for name in axes])
     verdict = (
         F.when(F.col("n_held") < 2, INSUFFICIENT).when(agrees, COMPARABLE).otherwise(NOT_COMPARABLE)
     )

@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 
 from figtrace.functions import rules as R
 from figtrace.functions.text import BLANK, ilike_any_part, nonblank, or_blank, trim_spaces
-from figtrace.plans.median import grouped_figures
-from figtrace.plans.skew import same
+from figtrace.plans.figures import grouped_figures, rounded
 from figtrace.sources.concepts import BoundPoints
 
 # Concepts whose fill says whether a store is resolved, and the wanted columns by group.
@@ -126,14 +125,6 @@ def _unit() -> Column:
     return F.coalesce(F.nullif(trim_spaces(F.col("unit")), F.lit("")), F.lit(BLANK))
 
 
-def _spread(decimals: int) -> dict[str, Column]:
-    return {
-        "n": F.count(F.lit(1)),
-        "v_min": F.round(F.min("_v"), decimals),
-        "v_max": F.round(F.max("_v"), decimals),
-    }
-
-
 def _top(df: DataFrame, top: int | None, ties: Sequence[str]) -> DataFrame:
     if top is None:
         return df
@@ -157,16 +148,8 @@ def label_profile(
     """(label, cue, unit, n, n_distinct, n_negative, v_min, v_median, v_max), most points first."""
     keys = ["label", "cue", "unit"]
     rows = df.select(_label().alias("label"), _cue().alias("cue"), _unit().alias("unit"), F.col(value).alias("_v"))
-    aggs = {**_spread(decimals), "n_negative": F.count_if(F.col("_v") < 0)}
-    figures = grouped_figures(rows, keys, "_v", aggs, decimals=decimals)
-    # Counted apart from the rest: next to a median, a distinct count would keep one median state
-    # per value. Its shuffle is by label and value, so it spreads however many rows a label has.
-    distinct = rows.groupBy(*keys).agg(F.count_distinct("_v").alias("n_distinct"))
-    mirrored = distinct.select([F.col(k).alias(f"_k_{k}") for k in keys] + [F.col("n_distinct")])
-    on = same([F.col(k) for k in keys], [F.col(f"_k_{k}") for k in keys])
-    joined = figures.join(mirrored, on, "inner")
-    columns = [*keys, "n", "n_distinct", "n_negative", "v_min", "v_median", "v_max"]
-    return _top(joined.select(*columns), top, keys)
+    figures = rounded(grouped_figures(rows, keys, "_v"), decimals)
+    return _top(figures.select(*keys, "n", "n_distinct", "n_negative", "v_min", "v_median", "v_max"), top, keys)
 
 
 def context_profile(
@@ -175,7 +158,7 @@ def context_profile(
     """(unit, context, n, v_min, v_median, v_max) over verbatim contexts, most points first."""
     keys = ["unit", "context"]
     rows = df.select(_unit().alias("unit"), "context", F.col(value).alias("_v"))
-    figures = grouped_figures(rows, keys, "_v", _spread(decimals), decimals=decimals)
+    figures = rounded(grouped_figures(rows, keys, "_v"), decimals)
     return _top(figures.select(*keys, "n", "v_min", "v_median", "v_max"), top, keys)
 
 
@@ -191,8 +174,8 @@ def value_band(
     v = F.col(value)
     rows = df.where((v > low) & (v < high)).select(_label().alias("label"), _unit().alias("unit"), v.alias("_v"))
     keys = ["label", "unit"]
-    figures = grouped_figures(rows, keys, "_v", {"n": F.count(F.lit(1))}, decimals=decimals)
-    return _top(figures, top, keys)
+    figures = rounded(grouped_figures(rows, keys, "_v"), decimals, "v_median")
+    return _top(figures.select(*keys, "n", "v_median"), top, keys)
 
 
 def untagged_reclaim(
@@ -208,7 +191,7 @@ def untagged_reclaim(
         _label().alias("label"), _unit().alias("unit"), F.col(value).alias("_v")
     )
     keys = ["label", "unit"]
-    figures = grouped_figures(rows, keys, "_v", _spread(decimals), decimals=decimals)
+    figures = rounded(grouped_figures(rows, keys, "_v"), decimals)
     return _top(figures.select(*keys, "n", "v_min", "v_median", "v_max"), top, keys)
 
 
@@ -226,8 +209,7 @@ def value_spread(
     stated = year_number(F.col("year"), dict(df.dtypes)["year"]) == year
     scope = (F.col("metric_code") == metric) & entity_matches(entity) & stated
     rows = df.where(scope).select(or_blank(F.col("unit")).alias("unit"), F.col(value).alias("_v"))
-    aggs = {"n": F.count(F.lit(1)), "v_min": F.min("_v"), "v_max": F.max("_v")}
-    figures = grouped_figures(rows, ["unit"], "_v", aggs, decimals=decimals)
+    figures = rounded(grouped_figures(rows, ["unit"], "_v"), decimals, "v_median")
     return figures.select("unit", "n", "v_min", "v_median", "v_max")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figtrace.functions.text import or_blank
-from figtrace.plans.median import grouped_figures
+from figtrace.plans.figures import grouped_figures, rounded
 
 NO_MONEY_CODE, NO_CODE = "(no money code)", "(none)"
 
@@ -42,8 +42,8 @@ def tag_claims(
         _raw(NO_MONEY_CODE).alias("code_v2"), F.col(value).alias("_v"),
     )
     keys = ["noun", "kind", "label_source", "code_v2"]
-    figures = grouped_figures(claims, keys, "_v", {"n": _count()}, decimals=decimals)
-    return _top(figures, top, *keys)
+    figures = rounded(grouped_figures(claims, keys, "_v"), decimals, "v_median")
+    return _top(figures.select(*keys, "n", "v_median"), top, *keys)
 
 
 def tag_migration(points: DataFrame, code: str = "rev_aero", top: int = 25) -> DataFrame:
@@ -79,8 +79,7 @@ def gold_by_year(
     held = points.where(
         (F.col("metric_code_v2") == code) & (F.col("label_source") == "row_label") & F.col("year").between(*years)
     ).select("year", F.col(value).alias("_v"))
-    aggs = {"n": _count(), "v_min": F.round(F.min("_v"), decimals), "v_max": F.round(F.max("_v"), decimals)}
-    return grouped_figures(held, ["year"], "_v", aggs, decimals=decimals)
+    return rounded(grouped_figures(held, ["year"], "_v"), decimals).select("year", "n", "v_min", "v_median", "v_max")
 
 
 def tag_conflicts(points: DataFrame) -> DataFrame:
@@ -134,8 +133,7 @@ def tag_before_after(
     old = F.when(F.col("metric_code") == before, F.lit("before"))
     new = F.when((F.col("metric_code_v2") == after) & (F.col("label_source") == "row_label"), F.lit("after"))
     held = asked.select(F.explode(F.array(old, new)).alias("which"), F.col(value).alias("_v")).where("which is not null")
-    aggs = {"n": _count(), "v_min": F.round(F.min("_v"), decimals), "v_max": F.round(F.max("_v"), decimals)}
-    figures = grouped_figures(held, ["which"], "_v", aggs, decimals=decimals)
+    figures = rounded(grouped_figures(held, ["which"], "_v"), decimals)
     # A side nothing answers still has its row.
     sides = points.sparkSession.range(1).select(F.explode(F.array(F.lit("before"), F.lit("after"))).alias("_which"))
     joined = sides.join(figures, F.col("_which") == F.col("which"), "left")

@@ -9,10 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import inputs as I
+from checks.queries import QUERIES
 from figtrace.operators import filters as FL
 from figtrace.operators import search as S
 from figtrace.operators import tagging as T
-from figtrace.plans.median import grouped_figures
+from figtrace.plans import figures
+from figtrace.plans.figures import grouped_figures
 from figtrace.plans.skew import lookup_join
 
 SF = "/root/testdata/sf0.001"
@@ -26,7 +28,7 @@ def test_medians_are_exact(spark, parts):
     nan, inf = float("nan"), float("inf")
     rows += [("nan", 1.0)] * 50 + [("nan", nan)] * 60 + [("some", 1.0)] * 60 + [("some", nan)] * 50 + [("inf", -inf), ("inf", inf), ("inf", inf)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(parts)
-    found = grouped_figures(df, ["k"], "v", {"n": F.count(F.lit(1)), "v_max": F.max("v")})
+    found = grouped_figures(df, ["k"], "v")
     groups = defaultdict(list)
     for k, v in rows:
         groups[k].append(v)
@@ -34,14 +36,55 @@ def test_medians_are_exact(spark, parts):
     assert set(got) == set(groups)
     for k, held in groups.items():
         numbers = sorted((v for v in held if v is not None), key=lambda v: (v != v, v))
-        assert got[k].n == len(held)
+        distinct = {"nan" if v != v else v for v in numbers}
+        assert (got[k].n, got[k].n_values, got[k].n_distinct) == (len(held), len(numbers), len(distinct))
+        assert got[k].n_negative == sum(v < 0 for v in numbers)
+        ends = (numbers[0], numbers[-1]) if numbers else (None, None)
+        assert (got[k].v_min, got[k].v_max) == (pytest.approx(ends, nan_ok=True) if numbers else ends)
         middle = (numbers[(len(numbers) - 1) // 2] * 0.5 + numbers[len(numbers) // 2] * 0.5) if numbers else None
         assert got[k].v_median == (pytest.approx(middle, nan_ok=True) if numbers else None), k
 
 
 def test_a_median_over_many_values(spark):
     df = spark.range(200_000).select(F.lit("k").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 7).alias("v"))
-    assert grouped_figures(df, ["k"], "v", {}).first()["v_median"] == df.agg(F.median("v")).first()[0]
+    assert grouped_figures(df, ["k"], "v").first()["v_median"] == df.agg(F.median("v")).first()[0]
+
+
+def test_tiny_values_beside_a_larger_one(spark):
+    """A million values below 1e-9 and one of 9e-4: each step still narrows them down."""
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("k").alias("k"), ((F.pmod(F.xxhash64("id"), F.lit(10**9)) + 1) * 1e-18).alias("v"))
+    df = df.unionByName(spark.createDataFrame([("k", 9e-4)], "k string, v double"))
+    got = grouped_figures(df, ["k"], "v").first()
+    assert (got.n, got.v_max) == (n + 1, 9e-4) and got.v_median == df.agg(F.median("v")).first()[0]
+    counted = df.groupBy("k", F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", figures._coarse(F.col("_v")))
+    assert counted.groupBy("_b").count().agg(F.max("count")).first()[0] < n / 500
+
+
+def test_groups_by_details_and_no_keys(spark):
+    rows = [("a", 1.0, True), ("a", 1.0, False), ("a", 4.0, True), ("a", None, True), ("b", None, False)]
+    df = spark.createDataFrame(rows, "k string, v double, f boolean")
+    also = {"n_f": (F.sum(F.when(F.col("f"), F.col("_c")).otherwise(0)), F.sum), "all_f": (F.min("f"), F.min)}
+    got = {r.k: (r.n, r.n_values, r.v_median, r.n_f, r.all_f) for r in grouped_figures(df, ["k"], "v", details=["f"], also=also).collect()}
+    assert got == {"a": (4, 3, 1.0, 3, False), "b": (1, 0, None, 0, False)}
+    assert grouped_figures(df, [], "v").first()["v_median"] == 1.0
+
+
+ONE_SCAN = (
+    "label_profile", "context_profile", "value_band", "untagged_reclaim", "value_spread", "tag_claims", "gold_by_year", "tag_before_after",
+    "compare_evidence",
+)
+
+
+@pytest.mark.parametrize("name", ONE_SCAN)
+def test_figures_read_the_points_once(spark, name):
+    """As run, after adaptive execution: every other use of the counted table reads its shuffle again."""
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    seen = final.count("orders.parquet")
+    # Comparisons read the points once more, to say which records are compared.
+    assert seen == (2 if name == "compare_evidence" else 1)
 
 
 def test_lookup_join_is_a_left_join(spark):
