@@ -60,6 +60,7 @@ FROM (
 """
 
 # One nation, by name and by code, stands for the entity a question is about; scopes are metric and entity.
+LOOKED_UP = ["p1", "p7", "p32", "p196", "p199", "xp4", "xp100", "yp10", "yp1000", "p598", "p1409", "nobody", "p0", *[f"p{n}" for n in range(960, 1000)]]
 ENTITY, ENTITY_CODE, OTHER_ENTITY = "NATION_7", "N7", "NATION_3"
 
 

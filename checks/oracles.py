@@ -7,7 +7,7 @@ themselves are shared.
 
 from __future__ import annotations
 
-from checks.inputs import ENTITY, OTHER_ENTITY, POINT_BASE, PROJECT_FOLDER, SEALED
+from checks.inputs import ENTITY, LOOKED_UP, OTHER_ENTITY, POINT_BASE, PROJECT_FOLDER, SEALED
 from checks.queries import SCOPES, TABLES, YEAR, YEARS
 from figtrace.functions import rules as R
 from figtrace.operators.profile import CONTRACT
@@ -80,6 +80,7 @@ IS_ENTITY = f"(entity ILIKE '%{ENTITY}%' OR entity_id ILIKE '%{ENTITY}%')"
 # Sources and binding
 
 oracle("scan_points", POINTS, select="SELECT entity_id, count(*) AS n_rows FROM points GROUP BY 1")
+oracle("replaced_table", POINTS, select="SELECT entity_id, count(*) AS n_rows, count(year) AS n_years FROM points GROUP BY 1")
 oracle("bind_columns", POINTS, select="""
 SELECT point_id AS record_id, CAST(value_num AS DECIMAL(18,7)) AS value, year, metric_code, entity_id AS entity, entity_id,
   unit, source_file AS source, location AS cell, context AS qualifiers, context AS extract_text
@@ -184,13 +185,12 @@ oracle("citation", POINTS, CLASSED, select=f"""
 SELECT point_id AS record_id, {cited('value_num')} AS citation,
   'Source: explicit store derived, table points.' AS provenance
 FROM classed""")
-oracle("get_source", POINTS.replace("points AS", "homed AS"), """points AS (
+SOURCES = (POINTS.replace("points AS", "homed AS"), """points AS (
   SELECT * REPLACE (CASE WHEN starts_with(source_file, '/Shared/Archive/')
     THEN '/Shared/src' || (n % 20) || '/' || (CASE n % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END)
       || '/' || string_split(source_file, '/')[-1]
     ELSE source_file END AS source_file)
-  FROM (SELECT *, CAST(regexp_extract(location, '([0-9]+)$', 1) AS BIGINT) AS n FROM homed))""", CLASSED, MANIFEST, """
-asked AS (SELECT DISTINCT (CASE event_type WHEN 'error' THEN 'u' ELSE 'p' END) || event_id AS record_id FROM events)""", f"""
+  FROM (SELECT *, CAST(regexp_extract(location, '([0-9]+)$', 1) AS BIGINT) AS n FROM homed))""", CLASSED, MANIFEST, f"""
 held AS (
   SELECT a.record_id, c.*, {NORMAL.replace('lower', '')} AS clean,
     CASE WHEN c.point_id IS NULL THEN 'no_evidence' WHEN coalesce({OPEN}, true) THEN 'ok' ELSE 'refused_quarantine' END AS outcome
@@ -202,7 +202,13 @@ foldered AS (
 disclosed AS (
   SELECT folder, count(*) FILTER (WHERE folder = '' OR starts_with(path, folder || '/')) AS in_scope,
     count(*) FILTER (WHERE (folder = '' OR starts_with(path, folder || '/')) AND status <> 'done') AS not_done
-  FROM (SELECT DISTINCT folder FROM foldered WHERE outcome = 'ok'), manifest GROUP BY 1)""", select=f"""
+  FROM (SELECT DISTINCT folder FROM foldered WHERE outcome = 'ok'), manifest GROUP BY 1)""", """
+told AS (
+  SELECT folder, string_agg(status || ' ' || n, ', ' ORDER BY n DESC, status) AS by_status
+  FROM (SELECT folder, status, count(*) AS n FROM (SELECT DISTINCT folder FROM foldered WHERE outcome = 'ok'), manifest
+        WHERE folder = '' OR starts_with(path, folder || '/') GROUP BY 1, 2)
+  GROUP BY 1)""")
+SOURCED = f"""
 SELECT record_id, outcome, CASE WHEN outcome = 'ok' THEN context END AS verbatim,
   CASE WHEN outcome = 'ok' THEN nullif(source_file, '') END AS locator_path,
   CASE WHEN outcome = 'ok' THEN location END AS cell, CASE WHEN outcome = 'ok' THEN metric_code END AS metric_code,
@@ -211,12 +217,19 @@ SELECT record_id, outcome, CASE WHEN outcome = 'ok' THEN context END AS verbatim
   CASE WHEN outcome = 'ok' THEN review_status END AS verification_status,
   CASE WHEN outcome = 'ok' THEN 'Source: explicit store derived, table points.' END AS provenance, CASE WHEN outcome = 'ok' THEN {cited('value_num')} END AS citation,
   CASE WHEN outcome = 'ok' THEN lower(folder) END AS scope,
-  CASE WHEN outcome = 'ok' THEN in_scope END AS in_scope, CASE WHEN outcome = 'ok' THEN in_scope - not_done END AS done, CASE WHEN outcome = 'ok' THEN not_done END AS not_done
-FROM foldered LEFT JOIN disclosed USING (folder)""")
-oracle("skip_disclosure", MANIFEST, SCOPE_ROWS, select=f"""
-SELECT scope, 'harvest_manifest' AS manifest, count(*) AS in_scope, count(*) FILTER (WHERE status = 'done') AS done,
-  count(*) FILTER (WHERE status <> 'done') AS not_done
-FROM scopes JOIN manifest ON {BELOW} GROUP BY 1""")
+  CASE WHEN outcome = 'ok' THEN in_scope END AS in_scope, CASE WHEN outcome = 'ok' THEN in_scope - not_done END AS done, CASE WHEN outcome = 'ok' THEN not_done END AS not_done,
+  CASE WHEN outcome = 'ok' THEN coalesce(by_status, '') END AS by_status
+FROM foldered LEFT JOIN disclosed USING (folder) LEFT JOIN told USING (folder)"""
+oracle("get_source", """
+asked AS (SELECT DISTINCT (CASE event_type WHEN 'error' THEN 'u' ELSE 'p' END) || event_id AS record_id FROM events)""", *SOURCES, select=SOURCED)
+oracle("point_lookup", f"asked AS (SELECT unnest({LOOKED_UP}) AS record_id)", *SOURCES, select=SOURCED)
+oracle("skip_disclosure", MANIFEST, SCOPE_ROWS, f"""counted AS (
+  SELECT scope, status, count(*) AS n FROM scopes JOIN manifest ON {BELOW} GROUP BY 1, 2)""", select="""
+SELECT scope, 'harvest_manifest' AS manifest, CAST(sum(n) AS BIGINT) AS in_scope,
+  CAST(coalesce(sum(n) FILTER (WHERE status = 'done'), 0) AS BIGINT) AS done,
+  CAST(coalesce(sum(n) FILTER (WHERE status <> 'done'), 0) AS BIGINT) AS not_done,
+  string_agg(status || ' ' || n, ', ' ORDER BY n DESC, status) AS by_status
+FROM counted GROUP BY 1""")
 oracle("skip_by_status", MANIFEST, SCOPE_ROWS, select=f"""
 SELECT scope, status, count(*) AS n FROM scopes JOIN manifest ON {BELOW} GROUP BY 1, 2""")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,8 @@ from figtrace.operators import tagging as T
 from figtrace.operators.filters import EvidenceFilter, apply_filter, unmapped_points
 from figtrace.session import staging_path
 from figtrace.sources.concepts import bind, bind_store
-from figtrace.sources.tables import read_points, replace_table, with_data_class
+from figtrace.sources.keyed import write_keyed
+from figtrace.sources.tables import create_table_view, read_points, read_table, replace_table, with_data_class
 from figtrace.streaming.audit import AuditContext, append_audit, read_audit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +67,24 @@ def scan_points(spark: SparkSession, sf: str) -> DataFrame:
     return held.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query
+def replaced_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A table replaced once, then by a write that fails half-way: the table and a view over it have the second rows."""
+    path, p = staging_path(spark, "replaced"), I.points(spark, sf)
+    replace_table(p.select("entity_id", "year").limit(0), path, ["entity_id"])
+    replace_table(p.select("entity_id", "year"), path, ["entity_id"])
+    broken = F.when(F.col("year") == YEAR, F.raise_error(F.lit("this row cannot be written"))).otherwise(F.col("year"))
+    try:
+        replace_table(p.select("entity_id", broken.cast("int").alias("year")), path, ["entity_id"])
+    except PySparkException:
+        pass
+    create_table_view(spark, path, "replaced_points")
+    n = F.count(F.lit(1))
+    held = read_table(spark, path).groupBy("entity_id").agg(n.alias("n_rows"))
+    seen = spark.sql("SELECT entity_id AS _e, count(year) AS n_years FROM replaced_points GROUP BY 1")
+    return held.join(seen, F.col("entity_id") == F.col("_e")).drop("_e")
+
+
 @query
 def bind_columns(spark: SparkSession, sf: str) -> DataFrame:
     p = I.points(spark, sf).select(
@@ -170,10 +190,23 @@ def summarise_untagged(spark: SparkSession, sf: str) -> DataFrame:
 # Sources of figures
 
 
+def _told(answers: DataFrame) -> DataFrame:
+    """Counts by status as a text, most frequent first."""
+    said = F.transform("by_status", lambda s: F.concat(s["status"], F.lit(" "), s["n"].cast("string")))
+    return answers.withColumn("by_status", F.array_join(said, ", "))
+
+
 @query
 def get_source(spark: SparkSession, sf: str) -> DataFrame:
     bound = I.bound(spark, sf, with_data_class(I.points_in_documents(spark, sf)), with_canonical=False)
-    return E.get_source(bound, I.requests(spark, sf))
+    return _told(E.get_source(bound, I.requests(spark, sf)))
+
+
+@query
+def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """A few ids from a store that is sorted by id, and from the written scope tree."""
+    keyed = write_keyed(with_data_class(I.points_in_documents(spark, sf)), staging_path(spark, "keyed"), "point_id")
+    return _told(E.get_sources(E.with_scope_tree(I.bound(spark, sf, keyed, with_canonical=False)), I.LOOKED_UP))
 
 
 @query
@@ -183,7 +216,7 @@ def citation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def skip_disclosure(spark: SparkSession, sf: str) -> DataFrame:
-    return E.skip_disclosure(I.bound(spark, sf, with_canonical=False), I.scopes(spark, sf))
+    return _told(E.skip_disclosure(I.bound(spark, sf, with_canonical=False), I.scopes(spark, sf)))
 
 
 @query
