@@ -481,4 +481,6 @@ oracle("audit_redact", select="""
 SELECT event_id, '{"k":' || (props ->> '$.k') || ',"Api_Key":"[redacted]","client":{"kind":"basic","token":"[redacted]"},'
   || '"calls":[{"name":"' || event_type || '","password":"[redacted]"}],"auth":"[redacted]"}' AS props_redacted
 FROM events""")
+oracle("audit_stream", select="""
+SELECT CAST(ts AS DATE) AS day, 2 * count(*) AS n, CAST(0 AS BIGINT) AS n_leaked, true AS few_files FROM events GROUP BY 1""")
 oracle("audit_log", select="SELECT CAST(ts AS DATE) AS day, count(*) AS n, CAST(0 AS BIGINT) AS n_leaked FROM events GROUP BY 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
@@ -23,7 +24,7 @@ from figtrace.session import staging_path
 from figtrace.sources.concepts import bind, bind_store
 from figtrace.sources.keyed import write_keyed
 from figtrace.sources.tables import create_table_view, read_points, read_table, replace_table, with_data_class
-from figtrace.streaming.audit import AuditContext, append_audit, read_audit
+from figtrace.streaming.audit import AuditContext, append_audit, compact_audit, read_audit, stream_audit
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -351,8 +352,10 @@ def points_tagged(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def points_tagged_by_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    p = I.points(spark, sf)
-    tagged = T.tag_points_by_lookup(p, T.context_tags(p))
+    """Over points and tags in the same buckets: no point is shuffled by the join."""
+    name, path = f"points_{uuid.uuid4().hex}", staging_path(spark, "bucketed")
+    held = T.bucket_points(I.points(spark, sf), name, path, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tagged = T.tag_bucketed_points(held, T.context_tags(held.frame()), f"tags_{name}")
     return tagged.select("point_id", "metric_code_v2", "metric_code_v2_raw", "magnitude_check", "rule_id")
 
 
@@ -419,18 +422,47 @@ def audit_redact(spark: SparkSession, sf: str) -> DataFrame:
     return redact(events, "props").select("event_id", F.to_json("props").alias("props_redacted"))
 
 
-@query
-def audit_log(spark: SparkSession, sf: str) -> DataFrame:
+CONTEXT = AuditContext("explicit", "derived", "0.1.0")
+
+
+def _calls(events: DataFrame) -> DataFrame:
     event = F.col("event_id").cast("string")
-    calls = I.table(spark, sf, "events").select(
+    return events.select(
         "ts",
         F.col("user_id").cast("string").alias("user"),
         F.col("event_type").alias("tool"),
         F.create_map(F.lit("record_id"), event, F.lit("session_token"), F.col("props")).alias("filters"),
         F.array(F.concat(F.lit("p"), event)).alias("record_ids"),
     )
+
+
+@query
+def audit_log(spark: SparkSession, sf: str) -> DataFrame:
+    calls = _calls(I.table(spark, sf, "events"))
     folder = staging_path(spark, "audit")
-    append_audit(calls, AuditContext("explicit", "derived", "0.1.0"), folder)
+    append_audit(calls, CONTEXT, folder)
+    return _by_day(read_audit(spark, folder))
+
+
+@query
+def audit_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same calls as a stream, and as a batch that is written twice under one name and then compacted; each call counts
+    once for either, and each day has few files."""
+    folder = staging_path(spark, "audit_stream")
+    events = I.table(spark, sf, "events")
+    # A stream reads what a pattern finds, be it a file or a folder.
+    arriving = spark.readStream.schema(events.schema).parquet(f"{sf}/event[s].parquet")
+    stream_audit(_calls(arriving), CONTEXT, folder, staging_path(spark, "audit_checkpoint")).awaitTermination()
+    for _ in range(2):
+        append_audit(_calls(events), CONTEXT, folder, "replayed")
+    compact_audit(spark, folder)
+    append_audit(_calls(events), CONTEXT, folder, "replayed")
     entries = read_audit(spark, folder)
+    files = entries.select("day", F.input_file_name().alias("_file")).distinct()
+    few = files.groupBy("day").agg((F.count(F.lit(1)) <= 4).alias("few_files"))
+    return _by_day(entries).join(few, "day")
+
+
+def _by_day(entries: DataFrame) -> DataFrame:
     leaked = F.count_if(F.col("filters")["session_token"] != "[redacted]")
     return entries.groupBy("day").agg(F.count(F.lit(1)).alias("n"), leaked.alias("n_leaked"))

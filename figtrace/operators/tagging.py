@@ -17,6 +17,7 @@ from figtrace.functions.dialect import first_match, literal, matches
 from figtrace.functions.text import trim_spaces
 from figtrace.plans.once import computed_once
 from figtrace.plans.skew import lookup_join
+from figtrace.sources.bucketed import KEY, BucketedTable, join_lookup, write_bucketed, write_lookup
 
 PARSED = ("sheet", "row_label", "cue", "tail", "unit_l")
 TAGS = (
@@ -214,13 +215,7 @@ def tag_points_by_lookup(
 ) -> DataFrame:
     """The same as ``tag_points``, from a table of ``context_tags``; contexts it lacks stay untagged."""
     names = points.columns
-    keyed = points.withColumns(
-        {
-            "_context": F.col(context),
-            "_sheet": F.regexp_extract(F.col(location), R.SHEET, 1),
-            "_unit": F.lower(F.coalesce(F.col(unit), F.lit(""))),
-        }
-    )
+    keyed = points.withColumns(_keys(context, location, unit))
     keys = ["_context", "_sheet", "_unit"]
     lookup = tags.where("context is not null and sheet is not null").select(
         F.col("context").alias("_context"), F.col("sheet").alias("_sheet"), F.col("unit_l").alias("_unit"),
@@ -231,6 +226,32 @@ def tag_points_by_lookup(
     return df.select(*names, *TAGS, *VETOED)
 
 
+def _keys(context: str, location: str, unit: str) -> dict[str, Column]:
+    """What a context is classified by."""
+    return {
+        "_context": F.col(context),
+        "_sheet": F.regexp_extract(F.col(location), R.SHEET, 1),
+        "_unit": F.lower(F.coalesce(F.col(unit), F.lit(""))),
+    }
+
+
+def bucket_points(
+    points: DataFrame, name: str, path: str, *, buckets: int = 64, context: str = "context", location: str = "location", unit: str = "unit"
+) -> BucketedTable:
+    """Write points bucketed by what their context is classified by, for any number of tag tables to be joined."""
+    return write_bucketed(points, _keys(context, location, unit), name, path, buckets=buckets)
+
+
+def tag_bucketed_points(points: BucketedTable, tags: DataFrame, name: str, value: str = "value_num") -> DataFrame:
+    """``tag_points_by_lookup`` over bucketed points: the tags are written in the same buckets, under ``name``, and
+    joined without shuffling a point."""
+    held = tags.where("context is not null and sheet is not null").withColumn("_tagged", F.lit(True))
+    lookup = write_lookup(held, points, {"_context": "context", "_sheet": "sheet", "_unit": "unit_l"}, name)
+    names = [c for c in points.frame().columns if c not in (*points.keys, *KEY)]
+    joined = join_lookup(points, lookup, [*TAGS, "_tagged"], names)
+    return _veto(joined, F.coalesce(F.col("_tagged"), F.lit(False)), value).select(*names, *TAGS, *VETOED)
+
+
 def in_scope(points: DataFrame, entity: str | None = None, canonical: DataFrame | None = None) -> DataFrame:
     """One entity or the whole store, with or without the copies of documents."""
     from figtrace.operators.filters import keep_canonical

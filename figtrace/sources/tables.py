@@ -81,14 +81,8 @@ def current_version(spark: SparkSession, path: str) -> str | None:
 
 
 def _current(spark: SparkSession, path: str) -> dict | None:
-    fs, pointer = _file_system(spark, f"{path}/{CURRENT}")
-    if not fs.exists(pointer):
-        return None
-    stream = fs.open(pointer)
-    try:
-        return json.loads(bytes(stream.readAllBytes()))
-    finally:
-        stream.close()
+    text = read_text(spark, f"{path}/{CURRENT}")
+    return text and json.loads(text)
 
 
 def expire_versions(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
@@ -99,7 +93,7 @@ def expire_versions(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
     current = current_version(spark, path)
     if current is None:
         return []
-    fs, folder = _file_system(spark, f"{path}/{VERSIONS}")
+    fs, folder = file_system(spark, f"{path}/{VERSIONS}")
     older = sorted(v for v in (s.getPath().getName() for s in fs.listStatus(folder)) if v < current)
     gone = older[: max(0, len(older) - (keep - 1))]
     for version in gone:
@@ -108,25 +102,42 @@ def expire_versions(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    fs, at = _file_system(spark, path)
+    fs, at = file_system(spark, path)
     fs.delete(at, True)
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, whatever it is, and the path in it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def _point(spark: SparkSession, path: str, held: dict) -> None:
-    """Make a version the current one: the pointer is written aside and renamed over the old one, which is atomic."""
-    fs, pointer = _file_system(spark, f"{path}/{CURRENT}")
-    _, aside = _file_system(spark, f"{path}/{CURRENT}.{held['version']}")
-    stream = fs.create(aside, True)
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, None where there is no such file."""
+    fs, at = file_system(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, at = file_system(spark, path)
+    stream = fs.create(at, True)
     try:
-        stream.write(bytearray(json.dumps(held).encode()))
+        stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    jvm = spark._jvm
+
+
+def _point(spark: SparkSession, path: str, held: dict) -> None:
+    """Make a version the current one: the pointer is written aside and renamed over the old one, which is atomic."""
+    written = f"{path}/{CURRENT}.{held['version']}"
+    write_text(spark, written, json.dumps(held))
+    jvm, (_, pointer), (_, aside) = spark._jvm, file_system(spark, f"{path}/{CURRENT}"), file_system(spark, written)
     rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     options = spark.sparkContext._gateway.new_array(rename, 1)
     options[0] = rename.OVERWRITE

@@ -6,6 +6,8 @@ record ids and filters, never what a record said.
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from figtrace.errors import SourceError
 from figtrace.functions.redact import redacted
+from figtrace.sources.tables import delete_path, file_system, read_text, write_text
+
+# How folders of compacted batches begin, and the file in them that lists what they replace; Spark passes over it.
+COMPACTED, COVERS = "batch=compacted-", "_covers"
 
 FILTERS = T.MapType(T.StringType(), T.StringType())
 ENTRY = T.StructType(
@@ -86,24 +93,99 @@ def audit_entries(calls: DataFrame, context: AuditContext) -> DataFrame:
     )
 
 
-def append_audit(calls: DataFrame, context: AuditContext, folder: str) -> None:
-    """Append a batch of calls to the trail, as JSON lines in one folder per UTC day.
+def append_audit(calls: DataFrame, context: AuditContext, folder: str, batch: str | None = None) -> None:
+    """Append a batch of calls to the trail, as JSON lines in one folder per UTC day and batch.
 
-    A day's entries are gathered into few files first; a day that holds most of them is still written by
-    many tasks.
+    A batch that is written again under its name replaces what it wrote, so it counts once. A day's entries are
+    gathered into few files first; a day that holds most of them is still written by many tasks.
     """
-    entries = audit_entries(calls, context).hint("rebalance", "day")
-    entries.write.mode("append").partitionBy("day").option("ignoreNullFields", "false").json(folder)
+    _write(audit_entries(calls, context), folder, batch or uuid.uuid4().hex)
+
+
+def _write(entries: DataFrame, folder: str, batch: str) -> None:
+    named = entries.withColumn("batch", F.lit(batch)).hint("rebalance", "day")
+    writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch")
+    writer.option("ignoreNullFields", "false").json(folder)
 
 
 def stream_audit(calls: DataFrame, context: AuditContext, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep appending a stream of calls to the trail. Nothing is held between rows, so no state or
-    watermark is needed; the checkpoint makes each call land once."""
-    writer = audit_entries(calls, context).writeStream.format("json").outputMode("append")
-    writer = writer.partitionBy("day").option("path", folder).option("checkpointLocation", checkpoint)
-    return writer.option("ignoreNullFields", "false").trigger(**(trigger or {"availableNow": True})).start()
+    """Keep appending a stream of calls to the trail.
+
+    Each micro-batch is gathered by day like a batch. It is named by the query's id, which the checkpoint keeps, and
+    its number, so one that is run again after a failure counts once. Nothing is held between rows: no state or
+    watermark is needed.
+    """
+
+    def append(entries: DataFrame, number: int) -> None:
+        query = entries.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        _write(entries, folder, f"{query}-{number}")
+
+    writer = audit_entries(calls, context).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """The trail; a filter on ``day`` reads only those days."""
-    return spark.read.schema(ENTRY).json(folder)
+    """The trail as it is now; a filter on ``day`` reads only those days.
+
+    Batches that were compacted are read from the compacted one. What is listed are folders, one for each day and
+    batch, of which ``compact_audit`` leaves one a day.
+    """
+    paths = [f"{folder}/{day}/{batch}" for day, held in _batches(spark, folder).items() for batch in held]
+    if not paths:
+        return spark.createDataFrame([], ENTRY)
+    return spark.read.schema(ENTRY).option("basePath", folder).json(paths).drop("batch")
+
+
+def compact_audit(spark: SparkSession, folder: str, before: str | None = None) -> list[str]:
+    """Rewrite each day (before a day, ``YYYY-MM-DD``) that has several batches as one, in few files; the days done.
+
+    The new batch names those it replaces and appears by one rename; from then on readers pass over them, and over a
+    replay of one of them. ``expire_audit`` deletes them once no reader is left.
+    """
+    fs, _ = file_system(spark, folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    todo = {d: held for d, held in _batches(spark, folder).items() if len(held) > 1 and (before is None or d < f"day={before}")}
+    if not todo:
+        return []
+    paths = [f"{folder}/{d}/{b}" for d, held in todo.items() for b in held]
+    entries = spark.read.schema(ENTRY).option("basePath", folder).json(paths).drop("batch")
+    name = f"{COMPACTED}{uuid.uuid4().hex}"
+    aside = f"{folder}/_aside/{name}"
+    entries.hint("rebalance", "day").write.partitionBy("day").option("ignoreNullFields", "false").json(aside)
+    for day, held in todo.items():
+        fs.mkdirs(at(f"{aside}/{day}"))  # a day without entries has no folder yet
+        write_text(spark, f"{aside}/{day}/{COVERS}", json.dumps(held))
+        if not fs.rename(at(f"{aside}/{day}"), at(f"{folder}/{day}/{name}")):
+            raise SourceError(f"the compacted entries of {day} could not be put in place")
+    delete_path(spark, aside)
+    return [d.removeprefix("day=") for d in todo]
+
+
+def expire_audit(spark: SparkSession, folder: str) -> int:
+    """Delete the batches that a compacted one replaces; how many. Readers that listed them before must be done."""
+    gone = 0
+    for day, held in _batches(spark, folder).items():
+        for batch in _folders(spark, f"{folder}/{day}"):
+            if batch not in held:
+                delete_path(spark, f"{folder}/{day}/{batch}")
+                gone += 1
+    return gone
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    fs, at = file_system(spark, path)
+    if not fs.exists(at):
+        return []
+    names = (s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory())
+    return sorted(n for n in names if "=" in n)
+
+
+def _batches(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """The folders of every day that count: all but those a compacted one covers."""
+    held = {}
+    for day in _folders(spark, folder):
+        batches = _folders(spark, f"{folder}/{day}")
+        covers = (read_text(spark, f"{folder}/{day}/{b}/{COVERS}") for b in batches if b.startswith(COMPACTED))
+        covered = {b for text in covers if text for b in json.loads(text)}
+        held[day] = [b for b in batches if b not in covered]
+    return held

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from figtrace.functions.redact import REDACTED, redact
-from figtrace.streaming.audit import AuditContext, append_audit, read_audit, stream_audit
+from figtrace.streaming.audit import ENTRY, AuditContext, append_audit, compact_audit, expire_audit, read_audit, stream_audit
 
 CONTEXT = AuditContext("explicit", "/store", "1", "host", 7)
 FIELDS = "ts timestamp, user string, tool string, filters map<string,string>, record_ids array<string>"
@@ -48,7 +48,7 @@ def test_entries_are_appended_by_day(spark, tmp_path):
     first = rows.where("day = '2024-01-01'").first()
     assert first.ts == "2024-01-01T23:59:59.005+00:00" and first.record_ids == ["p1", "p2"] and first.record_count == 2
     assert first.filters == {"metric": "aero", "API_Key": REDACTED}
-    line = next((tmp_path / "log" / "day=2024-01-02").glob("*.json")).read_text().splitlines()[0]
+    line = next((tmp_path / "log" / "day=2024-01-02").glob("batch=*/*.json")).read_text().splitlines()[0]
     entry = json.loads(line)
     assert list(entry) == [
         "ts", "user", "tool", "filters", "record_ids", "record_count", "outcome", "detail", "skipped", "store_kind",
@@ -69,3 +69,43 @@ def test_a_stream_writes_the_same_entries(spark, tmp_path):
     append_audit(_calls(spark), CONTEXT, batch)
     a, b = (sorted(map(str, read_audit(spark, f).collect())) for f in (folder, batch))
     assert a == b and len(a) == 2
+
+
+def test_a_batch_written_again_counts_once(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    for _ in range(2):
+        append_audit(_calls(spark), CONTEXT, folder, "b1")
+    append_audit(_calls(spark), CONTEXT, folder, "b2")
+    assert read_audit(spark, folder).count() == 2 * _calls(spark).count()
+    assert read_audit(spark, str(tmp_path / "nothing")).collect() == []
+
+
+def test_compacted_days_read_the_same(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    for i in range(3):
+        append_audit(_calls(spark), CONTEXT, folder, f"b{i}")
+    before = read_audit(spark, folder)
+    want = sorted(map(str, before.collect()))
+    assert compact_audit(spark, folder, before="2024-01-02") == ["2024-01-01"]
+    assert sorted(map(str, read_audit(spark, folder).collect())) == sorted(map(str, before.collect())) == want
+    append_audit(_calls(spark), CONTEXT, folder, "b1")  # run again after it was compacted
+    assert sorted(map(str, read_audit(spark, folder).collect())) == want
+    append_audit(_calls(spark), CONTEXT, folder, "b3")
+    assert sorted(compact_audit(spark, folder)) == ["2024-01-01", "2024-01-02"] and compact_audit(spark, folder) == []
+    now = sorted(map(str, read_audit(spark, folder).collect()))
+    assert len(now) == len(want) // 3 * 4
+    assert expire_audit(spark, folder) == 9 and expire_audit(spark, folder) == 0
+    assert sorted(map(str, read_audit(spark, folder).collect())) == now
+    assert read_audit(spark, folder).schema == ENTRY
+    for day in (tmp_path / "log").glob("day=*"):
+        assert len(list(day.glob("batch=*/*.json"))) == 1
+
+
+def test_two_streams_do_not_replace_each_other(spark, tmp_path):
+    source = str(tmp_path / "in")
+    _calls(spark).write.parquet(source)
+    stream = spark.readStream.schema(_calls(spark).schema).parquet(source)
+    folder = str(tmp_path / "log")
+    for checkpoint in ("one", "two"):
+        stream_audit(stream, CONTEXT, folder, str(tmp_path / checkpoint)).awaitTermination(60)
+    assert read_audit(spark, folder).count() == 2 * _calls(spark).count()
