@@ -7,7 +7,7 @@ themselves are shared.
 
 from __future__ import annotations
 
-from checks.inputs import ENTITY, LOOKED_UP, OTHER_ENTITY, POINT_BASE, PROJECT_FOLDER, SEALED
+from checks.inputs import ENTITY, ENTITY_CODE, LOOKED_UP, OTHER_ENTITY, POINT_BASE, PROJECT_FOLDER, SEALED
 from checks.queries import SCOPES, TABLES, YEAR, YEARS
 from figtrace.functions import rules as R
 from figtrace.operators.profile import CONTRACT
@@ -475,6 +475,37 @@ UNION ALL
 SELECT 'after', count(*), {spread()} FROM tagged
 WHERE metric_code_v2 = 'rev_aero_per_pax' AND label_source = 'row_label' AND year = {YEAR}""")
 
+# Reports on one scope
+
+SCOPE = [POINTS.replace("points AS", "every_point AS"), canonical("every_point"), f"""points AS (
+  SELECT * FROM every_point WHERE entity_id = '{ENTITY_CODE}' AND {CANONICAL_ONLY})"""]
+SCOPE_TAGGED = [*SCOPE, *TAGGED_CTES[1:]]
+CODED = """coded AS (SELECT * FROM labelled WHERE metric_code = 'rev_aero')"""
+oracle("scope_shape", *SCOPE, select="""
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE metric_code = 'rev_aero') AS n_metric,
+  count(*) FILTER (WHERE coalesce(trim(metric_code), '') = '') AS n_blank
+FROM points""")
+oracle("scope_labels", *SCOPE, LABELLED, CODED, select=f"""
+SELECT label, cue_text AS cue, unit_name AS unit, count(*) AS n, count(DISTINCT value_num) AS n_distinct,
+  count(*) FILTER (WHERE value_num < 0) AS n_negative, {spread()}
+FROM coded GROUP BY 1, 2, 3 ORDER BY n DESC, label, cue, unit LIMIT 100""")
+oracle("scope_contexts", *SCOPE, LABELLED, CODED, select=f"""
+SELECT unit_name AS unit, context, count(*) AS n, {spread()}
+FROM coded GROUP BY 1, 2 ORDER BY n DESC, unit, context LIMIT 100""")
+oracle("scope_band", *SCOPE, LABELLED, CODED, select="""
+SELECT label, unit_name AS unit, count(*) AS n, round(median(value_num), 4) AS v_median
+FROM coded WHERE value_num > 0 AND value_num < 50 GROUP BY 1, 2 ORDER BY n DESC, label, unit LIMIT 40""")
+for ours, theirs in {"scope_untagged": "untagged_reclaim", "scope_claims": "tag_claims", "scope_gold": "gold_by_year", "scope_veto": "veto_audit",
+                     "scope_before_after": "tag_before_after"}.items():
+    ORACLES[ours] = ORACLES[theirs].replace(POINTS, ",\n".join(SCOPE), 1)
+oracle("scope_money", *SCOPE_TAGGED, select="""
+SELECT nullif(currency_v2, '') AS currency, nullif(price_basis, '') AS price_basis, count(*) AS n FROM tagged GROUP BY 1, 2""")
+oracle("scope_run", POINTS, LABELLED, CODED, """grouped AS (
+  SELECT label, cue_text, unit_name, count(*) AS n FROM coded GROUP BY 1, 2, 3 ORDER BY n DESC, label, cue_text, unit_name LIMIT 100)""",
+  select="""
+SELECT nullif(label, '') AS label, nullif(cue_text, '') AS cue, unit_name AS unit, n, (SELECT count(*) FROM points) AS n_points
+FROM grouped""")
+
 # Audit
 
 oracle("audit_redact", select="""

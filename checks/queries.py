@@ -16,6 +16,7 @@ from figtrace.operators import dedup as D
 from figtrace.operators import evidence as E
 from figtrace.operators import profile as P
 from figtrace.operators import repetition as RP
+from figtrace.operators import scope_run as SR
 from figtrace.operators import search as S
 from figtrace.operators import tag_reports as TR
 from figtrace.operators import tagging as T
@@ -23,7 +24,7 @@ from figtrace.operators.filters import EvidenceFilter, apply_filter, unmapped_po
 from figtrace.session import staging_path
 from figtrace.sources.concepts import bind, bind_store
 from figtrace.sources.keyed import write_keyed
-from figtrace.sources.tables import create_table_view, read_points, read_table, replace_table, with_data_class
+from figtrace.sources.tables import create_table_view, read_points, read_table, read_tsv, replace_table, with_data_class
 from figtrace.streaming.audit import AuditContext, append_audit, compact_audit, read_audit, stream_audit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -404,6 +405,38 @@ def tag_before_after(spark: SparkSession, sf: str) -> DataFrame:
     return TR.tag_before_after(_tagged(spark, sf, "metric_code_v2", "label_source"), YEAR, decimals=DECIMALS)
 
 
+# Reports on one scope: an entity's points in canonical documents, staged once
+
+
+WANTED = SR.Wanted(years=YEARS, year=YEAR, top=100, decimals=DECIMALS, rate_decimals=DECIMALS)
+
+
+def scope_query(name: str, report: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        scope = SR.stage_scope(I.points(spark, sf), entity=I.ENTITY_CODE, canonical=I.canonical(spark, sf))
+        return (SR.context_reports(scope, WANTED) | SR.tag_reports(scope, WANTED))[report]
+
+    QUERIES[name] = run
+
+
+SCOPE_REPORTS = {
+    "scope_shape": "scope_shape", "scope_labels": "context_by_label", "scope_contexts": "context_verbatim", "scope_band": "context_band",
+    "scope_untagged": "context_untagged", "scope_claims": "tag_claims", "scope_money": "tag_money", "scope_gold": "gold_by_year",
+    "scope_veto": "veto_audit", "scope_before_after": "before_after",
+}
+for key, report in SCOPE_REPORTS.items():
+    scope_query(key, report)
+
+
+@query
+def scope_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole run over all documents, written as TSV, and its counts by label read back."""
+    folder = staging_path(spark, "reports")
+    told = SR.run_scope(I.points(spark, sf), folder, wanted=WANTED, kinds={"contexts": SR.context_reports})
+    back = read_tsv(spark, f"{folder}/context_by_label.tsv")
+    return back.select("label", "cue", "unit", F.col("n").cast("long").alias("n"), F.lit(told["n_points"]).cast("long").alias("n_points"))
+
+
 # Audit
 
 

@@ -87,6 +87,12 @@ def tag_conflicts(points: DataFrame) -> DataFrame:
     return points.where(_vetoed()).groupBy(F.col("measure_kind").alias("kind")).agg(_count().alias("n"))
 
 
+def tag_money(points: DataFrame) -> DataFrame:
+    """(currency, price_basis, n): the money tags as the view shows them, NULL where a context states none."""
+    counts = points.groupBy(F.col("currency_v2").alias("currency"), "price_basis")
+    return counts.agg(_count().alias("n"))
+
+
 def tag_coverage(tags: DataFrame) -> DataFrame:
     """How many rows took their noun from where, and how many carry a code."""
     code = "metric_code_v2_raw" if "metric_code_v2_raw" in tags.columns else "metric_code_v2"

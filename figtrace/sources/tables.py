@@ -172,6 +172,11 @@ def create_table_view(spark: SparkSession, path: str, name: str) -> DataFrame:
     return create_view(read_table(spark, path), name)
 
 
+def read_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """A report as text columns; an empty cell is NULL."""
+    return spark.read.csv(path, sep="\t", header=True, quote="", encoding="UTF-8")
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     """A tab-separated report with a header: NULL is empty and tabs inside values become spaces."""
     cells = [
