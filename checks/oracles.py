@@ -269,6 +269,7 @@ FROM points LEFT JOIN canon USING (source_file)""")
 oracle("doc_fingerprint", POINTS, select="""
 SELECT source_file, count(*) AS n_points FROM points WHERE source_file <> '' GROUP BY 1""")
 oracle("doc_canonical", POINTS, CANON, select="SELECT * FROM canon")
+oracle("doc_canonical_updated", POINTS, CANON, select="SELECT * FROM canon")
 oracle("dedup_report", POINTS, CANON, select="""
 SELECT count(*) AS docs, count(*) FILTER (WHERE is_canonical) AS canonical_docs,
   count(*) FILTER (WHERE NOT is_canonical) AS duplicate_docs, CAST(sum(n_points) AS BIGINT) AS points,

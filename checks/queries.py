@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs as I
 from figtrace.functions.redact import redact
+from figtrace.operators import builds as B
 from figtrace.operators import compare as C
 from figtrace.operators import dedup as D
 from figtrace.operators import evidence as E
@@ -254,6 +255,16 @@ def doc_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return I.canonical(spark, sf)
 
 
+@query
+def doc_canonical_updated(spark: SparkSession, sf: str) -> DataFrame:
+    """Built from the points of every other order, with some that are then removed, and the rest added."""
+    folder, p = staging_path(spark, "documents"), I.points(spark, sf)
+    order = F.regexp_extract("location", r"([0-9]+)\z", 1).cast("bigint")
+    twice = p.where(order % 14 == 0).withColumn("location", F.lit("gone"))
+    B.build_document_tables(p.where(order % 2 == 0).unionByName(twice), folder)
+    return B.update_document_tables(folder, added=p.where(order % 2 == 1), removed=twice)[1]
+
+
 @query
 def dedup_report(spark: SparkSession, sf: str) -> DataFrame:
     return D.dedup_report(I.canonical(spark, sf))

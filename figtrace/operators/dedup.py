@@ -12,16 +12,17 @@ from figtrace.functions.text import matches_count, nonblank, path_depth
 from figtrace.plans.skew import lookup_join
 
 FINGERPRINT = ("n_points", "h_sum", "h_xor")
+SUMS = ("n_points", "_p0", "_p1", "_p2")
 # A 64-bit hash is summed in three parts of at most 22 bits, each in a long: exact for 2^41 points
 # in one document, and without decimal arithmetic per row.
 _PART_BITS = 22
 _PART_MASK = (1 << _PART_BITS) - 1
 
 
-def fingerprint(
+def fingerprint_state(
     points: DataFrame, source: str = "source_file", cell: str = "location", value: str = "value_num"
 ) -> DataFrame:
-    """(source_file, n_points, h_sum, h_xor), one row per document with a path.
+    """What a fingerprint is made of, one row per document with a path; states of parts of a document add up.
 
     The hashes aggregate over (cell, value) pairs in any order, so a document holding most of the
     points still reduces to one small row per map task. The path is not part of it.
@@ -39,17 +40,59 @@ def fingerprint(
         "_p1": F.shiftrightunsigned(h, _PART_BITS).bitwiseAND(F.lit(_PART_MASK)),
         "_p2": F.shiftrightunsigned(h, 2 * _PART_BITS),
     }
-    sums = pairs.groupBy("source_file").agg(
+    return pairs.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("n_points"),
         *[F.sum(c).alias(name) for name, c in parts.items()],
         F.bit_xor(h).alias("h_xor"),
     )
 
+
+def fingerprint(
+    points: DataFrame, source: str = "source_file", cell: str = "location", value: str = "value_num"
+) -> DataFrame:
+    """(source_file, n_points, h_sum, h_xor), one row per document with a path."""
+    return finished(fingerprint_state(points, source, cell, value))
+
+
+def finished(state: DataFrame) -> DataFrame:
+    """The fingerprints of states."""
+
     def weighted(name: str, weight: int) -> Column:
         return F.col(name).cast("decimal(20,0)") * F.lit(weight).cast("decimal(17,0)")
 
     total = weighted("_p0", 1) + weighted("_p1", 1 << _PART_BITS) + weighted("_p2", 1 << 2 * _PART_BITS)
-    return sums.select("source_file", "n_points", total.cast("decimal(38,0)").alias("h_sum"), "h_xor")
+    return state.select("source_file", "n_points", total.cast("decimal(38,0)").alias("h_sum"), "h_xor")
+
+
+def changed_state(state: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """The new state of every document that parts were added to or removed from; without points where none are left."""
+    parts = []
+    if added is not None:
+        parts.append(added)
+    if removed is not None:
+        # Sums are taken off again, and a second xor undoes the first.
+        parts.append(removed.select("source_file", *[(-F.col(c)).alias(c) for c in SUMS], "h_xor"))
+    change = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # Rows of documents that nothing happened to are left out before anything is shuffled for sums.
+    touched = state.join(change.select("source_file"), "source_file", "left_semi")
+    return touched.unionByName(change).groupBy("source_file").agg(
+        *[F.sum(c).alias(c) for c in SUMS], F.bit_xor("h_xor").alias("h_xor")
+    )
+
+
+def renominated(canonical: DataFrame, before: DataFrame, after: DataFrame, changed: DataFrame, markers: Sequence[str] = COPY_MARKERS) -> DataFrame:
+    """The canonical map after some documents changed; only groups that one left or joined are nominated again.
+
+    ``before`` and ``after`` are the fingerprints of all documents, ``changed`` has the paths of those that changed.
+    """
+    paths = changed.select("source_file")
+    keys = list(FINGERPRINT)
+    was, now = (x.join(paths, "source_file", "left_semi").select(*keys) for x in (before, after))
+    groups = was.unionByName(now).dropDuplicates()
+    again = after.join(groups, keys, "left_semi")
+    # A document that lost all its points is in no group any more.
+    settled = canonical.join(again.select("source_file").unionByName(paths), "source_file", "left_anti")
+    return settled.unionByName(canonicalise(again, markers))
 
 
 def canonicalise(fingerprints: DataFrame, markers: Sequence[str] = COPY_MARKERS) -> DataFrame:
