@@ -10,6 +10,7 @@ from __future__ import annotations
 from checks.inputs import ENTITY, ENTITY_CODE, LOOKED_UP, OTHER_ENTITY, POINT_BASE, PROJECT_FOLDER, SEALED
 from checks.queries import SCOPES, TABLES, YEAR, YEARS
 from figtrace.functions import rules as R
+from figtrace.operators.compare import MESSAGES
 from figtrace.operators.profile import CONTRACT
 
 ORACLES: dict[str, str] = {}
@@ -111,8 +112,16 @@ COLUMNS = {
     "labels": "doc_id quality toxic",
     "conversations": "conv_id turn role text",
 }
+TYPE = """CASE any_value(typeof({})) WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+  ELSE lower(any_value(typeof({}))) END AS data_type"""
+oracle("points_tables", POINTS, select=" UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, {'true' if t in ('points', 'events') else 'false'} AS holds_points, count(*) AS n_rows FROM {t}" for t in (*TABLES, "points")))
+oracle("fill_pct", POINTS, select=" UNION ALL ".join(
+    f"SELECT '{c}' AS concept, count(nullif({c}, '')) AS filled, count(*) AS total, "
+    f"round(count(nullif({c}, '')) * 100.0::DOUBLE / count(*), 6) AS pct FROM points"
+    for c in ("metric_code", "temporality", "project_id", "entity")))
 oracle("table_profile", select=" UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(nullif(CAST({c} AS VARCHAR), '')) AS n_nonblank, "
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, {TYPE.format(c, c)}, count(nullif(CAST({c} AS VARCHAR), '')) AS n_nonblank, "
     f"count(*) AS n_rows FROM {t}"
     for t in TABLES for c in COLUMNS[t].split()))
 
@@ -170,6 +179,32 @@ SELECT count(*) AS n_total, count(*) FILTER (WHERE coalesce(metric_code, '') = '
     AS DECIMAL(4,1)) AS blank_pct
 FROM served WHERE year >= 1996""")
 
+AEROS = f"metric_code ILIKE '%aero%' AND {IS_ENTITY}"
+PAGES = {  # filter, what it is understood as, what was done about copies
+    "cut": (f"served WHERE {AEROS} AND year BETWEEN 1996 AND 1999", f"metric_code=aero, entity={ENTITY}, year_from=1996, year_to=1999", "applied"),
+    "whole": (f"served WHERE {AEROS} AND year = 1998 AND review_status = 'queued' AND data_class = 'fact'",
+              f"metric_code=aero, entity={ENTITY}, year_from=1998, year_to=1998, data_class=fact, verification_status=queued", "applied"),
+    "nothing": ("served WHERE false", "metric_code=no such metric", "applied"),
+    "ignored": ("points WHERE metric_code ILIKE '%aero%'", "metric_code=aero", "unavailable"),
+}
+IGNORED = "not applied, because the table has no such concept: ['verification_status']; results are unfiltered on them"
+oracle("page_notes", *SEARCHED, select=" UNION ALL ".join(f"""
+SELECT CAST(least(count(*), 25) AS INTEGER) AS returned, count(*) > 25 AS truncated,
+  CASE WHEN count(*) = 0 THEN 'no evidence held for these filters' END AS note,
+  {lit(IGNORED if page == 'ignored' else None)} AS warning, '{said}' AS understood_as, '{copies}' AS deduplication, '{page}' AS page
+FROM {rows}""" for page, (rows, said, copies) in PAGES.items()))
+oracle("summary_notes", *SEARCHED, f"""scopes AS (
+  SELECT 'some' AS scope, 'entity={ENTITY}' AS understood_as, count(*) AS matching, count(*) FILTER (WHERE coalesce(metric_code, '') = '') AS untagged
+  FROM served WHERE {IS_ENTITY}
+  UNION ALL SELECT 'coded', 'entity={ENTITY}, require_metric_code=True', count(*), 0 FROM served WHERE {IS_ENTITY} AND metric_code <> '')""",
+  """shared AS (SELECT *, CAST(round(CAST(100 * untagged AS DECIMAL(18,0)) / matching, 1) AS DECIMAL(4,1)) AS untagged_pct FROM scopes)""",
+  select="""
+SELECT matching, untagged, untagged_pct, CASE WHEN untagged > 0 THEN untagged || ' of ' || matching || ' points (' || untagged_pct ||
+  '%) state no metric code, so what they measure is not known' END AS caveat, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS VARCHAR) AS warning,
+  understood_as, 'applied' AS deduplication, scope
+FROM shared
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'a summary needs at least one filter', NULL, '', 'applied', 'none'""")
+
 # Sources of figures
 
 MANIFEST = """manifest AS (
@@ -230,6 +265,10 @@ SELECT scope, 'harvest_manifest' AS manifest, CAST(sum(n) AS BIGINT) AS in_scope
   CAST(coalesce(sum(n) FILTER (WHERE status <> 'done'), 0) AS BIGINT) AS not_done,
   string_agg(status || ' ' || n, ', ' ORDER BY n DESC, status) AS by_status
 FROM counted GROUP BY 1""")
+oracle("skip_absent", SCOPE_ROWS, select="""
+SELECT scope, 'ABSENT' AS manifest, CAST(NULL AS BIGINT) AS in_scope, CAST(NULL AS BIGINT) AS done, CAST(NULL AS BIGINT) AS not_done,
+  CAST(NULL AS VARCHAR) AS by_status
+FROM scopes""")
 oracle("skip_by_status", MANIFEST, SCOPE_ROWS, select=f"""
 SELECT scope, status, count(*) AS n FROM scopes JOIN manifest ON {BELOW} GROUP BY 1, 2""")
 
@@ -256,9 +295,19 @@ FROM spreads""")
 oracle("compare_flags", POINTS, COMPARISONS, RECORDS, "axes AS (" + " UNION ".join(
     f"SELECT comparison_id, '{a}' AS axis, '{'hard' if a in HARD else 'soft'}' AS severity, "
     f"coalesce(nullif({a}, ''), '(blank)') AS value FROM records WHERE held"
-    for a in [*HARD, "temporality", "entity", "year"]) + ")", select="""
-SELECT comparison_id, axis, severity, count(*) OVER (PARTITION BY comparison_id, axis) AS n_values, value FROM axes
+    for a in [*HARD, "temporality", "entity", "year"]) + ")",
+    "messages(axis, message) AS (VALUES " + ", ".join(f"({lit(a)}, {lit(m)})" for a, m in MESSAGES.items()) + ")", select="""
+SELECT comparison_id, axis, severity, count(*) OVER (PARTITION BY comparison_id, axis) AS n_values, value, message
+FROM axes LEFT JOIN messages USING (axis)
 QUALIFY n_values > 1""")
+oracle("compare_aligned", POINTS, COMPARISONS, RECORDS, "agreed AS (" + " UNION ALL ".join(
+    f"SELECT comparison_id, '{a}' AS axis, any_value(coalesce({a}, '')) AS value FROM records WHERE held "
+    f"GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT coalesce({a}, '')) = 1" for a in HARD) + ")", select="SELECT * FROM agreed")
+oracle("compare_components", POINTS, CLASSED, COMPARISONS, RECORDS, select=f"""
+SELECT r.comparison_id, r.record_id, r.held, c.metric_code, c.unit, c.value_num AS value,
+  CASE WHEN r.held THEN {cited('value_num').replace('year', 'c.year').replace('metric_code', 'c.metric_code').replace('(unit', '(c.unit').replace('entity', 'c.entity')
+                         .replace('CAST(value_num', 'CAST(c.value_num')} END AS citation
+FROM records r LEFT JOIN classed c ON r.record_id = c.point_id""")
 
 # De-duplication
 
@@ -276,6 +325,15 @@ SELECT count(*) AS docs, count(*) FILTER (WHERE is_canonical) AS canonical_docs,
   CAST(sum(n_points) FILTER (WHERE is_canonical) AS BIGINT) AS canonical_points,
   CAST(sum(n_points) FILTER (WHERE NOT is_canonical) AS BIGINT) AS copied_points
 FROM canon""")
+oracle("dedup_reduction", POINTS, CANON, """totals AS (
+  SELECT count(*) AS docs, count(*) FILTER (WHERE is_canonical) AS canonical_docs,
+    count(*) FILTER (WHERE NOT is_canonical) AS duplicate_docs, CAST(sum(n_points) AS BIGINT) AS points,
+    CAST(sum(n_points) FILTER (WHERE is_canonical) AS BIGINT) AS canonical_points,
+    CAST(sum(n_points) FILTER (WHERE NOT is_canonical) AS BIGINT) AS copied_points
+  FROM canon)""", select="""
+SELECT *, CAST(round(CAST(copied_points * 100 AS DECIMAL(18,1)) / points, 1) AS DOUBLE) AS copied_pct,
+  CAST(round(CAST(points AS DECIMAL(18,1)) / canonical_points, 1) AS DOUBLE) AS reduction
+FROM totals""")
 oracle("most_copied", POINTS, CANON, select="""
 SELECT canonical_source_file, copies, n_points FROM canon WHERE is_canonical AND copies > 1
 ORDER BY copies DESC, n_points DESC, canonical_source_file LIMIT 10""")
@@ -298,6 +356,10 @@ SELECT metric, scope_entity AS entity, count(point_id) AS n_rows, count(DISTINCT
   count(DISTINCT source_file) AS n_files,
   count(DISTINCT array_to_string(string_split(source_file, '/')[1:5], '/')) AS n_folders
 FROM scoped GROUP BY ALL""")
+oracle("repetition_ratio", POINTS, SCOPE_LIST, SCOPED, f"""counted AS (
+  SELECT metric, scope_entity, count(point_id) AS n_rows, count(DISTINCT {FIGURE}) AS n_distinct FROM scoped GROUP BY ALL)""", select=f"""
+SELECT metric, scope_entity AS entity, CASE WHEN n_distinct = 0 THEN 0.0::DOUBLE ELSE round(n_rows::DOUBLE / n_distinct, 6) END AS repetition
+FROM counted UNION ALL SELECT 'no such metric', '{ENTITY}', 0.0::DOUBLE""")
 oracle("repetition_by_doc", POINTS, select=f"""
 SELECT source_file, count(*) AS n_rows, count(DISTINCT {{'y': year, 'v': value_num, 'u': unit}}) AS n_distinct
 FROM points WHERE metric_code = 'rev_aero' AND {IS_ENTITY} GROUP BY 1 ORDER BY n_rows DESC, source_file LIMIT 10""")

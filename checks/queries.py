@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -117,9 +119,23 @@ def fill_rate(spark: SparkSession, sf: str) -> DataFrame:
     return P.fill_rate(I.bound(spark, sf, with_canonical=False))
 
 
+@query
+def fill_pct(spark: SparkSession, sf: str) -> DataFrame:
+    return P.with_fill_pct(P.fill_rate(I.bound(spark, sf, with_canonical=False))).withColumn("pct", F.round("pct", 6))
+
+
 @query
 def table_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return P.store_profile({t: I.table(spark, sf, t) for t in TABLES}).drop("data_type")
+    return P.store_profile({t: I.table(spark, sf, t) for t in TABLES})
+
+
+@query
+def points_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Which tables hold figures at all, and how many rows each has."""
+    tables = {t: I.table(spark, sf, t) for t in TABLES} | {"points": I.points(spark, sf)}
+    n = F.count(F.lit(1)).alias("n_rows")
+    parts = [df.agg(n).select(F.lit(t).alias("table_name"), F.lit(P.looks_like_points(df)).alias("holds_points"), "n_rows") for t, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -190,6 +206,28 @@ def summarise_untagged(spark: SparkSession, sf: str) -> DataFrame:
     return S.untagged_share(I.bound(spark, sf), EvidenceFilter(year_from=1996))[0]
 
 
+@query
+def page_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Of a page that is cut off, one that is whole, one with nothing on it, and one whose filter cannot be applied."""
+    bound = I.bound(spark, sf)
+    thin = bind(I.points(spark, sf).select("point_id", "value_num", "year", "metric_code", "entity_id", "unit", "source_file"))
+    asked = {
+        "cut": (bound, SEARCH), "whole": (bound, replace(SEARCH, year_from=1998, year_to=1998, status="queued", data_class="fact")),
+        "nothing": (bound, EvidenceFilter(metric="no such metric")), "ignored": (thin, EvidenceFilter(metric="aero", status="accepted")),
+    }
+    notes = [S.page_notes(S.search(b, f, limit=25)).withColumn("page", F.lit(name)) for name, (b, f) in asked.items()]
+    return reduce(DataFrame.unionByName, notes)
+
+
+@query
+def summary_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Of a scope with untagged points, of one without, and of a question without a filter, which is refused."""
+    bound = I.bound(spark, sf)
+    asked = {"some": EvidenceFilter(entity=I.ENTITY), "coded": EvidenceFilter(entity=I.ENTITY, require_metric_code=True), "none": EvidenceFilter()}
+    notes = [S.summary_notes(bound, f).withColumn("scope", F.lit(name)) for name, f in asked.items()]
+    return reduce(DataFrame.unionByName, notes)
+
+
 # Sources of figures
 
 
@@ -222,6 +260,13 @@ def skip_disclosure(spark: SparkSession, sf: str) -> DataFrame:
     return _told(E.skip_disclosure(I.bound(spark, sf, with_canonical=False), I.scopes(spark, sf)))
 
 
+@query
+def skip_absent(spark: SparkSession, sf: str) -> DataFrame:
+    """Without a manifest nothing is known of any scope, and that is not zero."""
+    bound = replace(I.bound(spark, sf, with_canonical=False), manifest=None)
+    return _told(E.skip_disclosure(bound, I.scopes(spark, sf)))
+
+
 @query
 def skip_by_status(spark: SparkSession, sf: str) -> DataFrame:
     return E.skip_by_status(I.bound(spark, sf, with_canonical=False), I.scopes(spark, sf))
@@ -234,7 +279,18 @@ def compare_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def compare_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return C.compare_flags(I.bound(spark, sf, with_canonical=False), I.comparisons(spark, sf)).drop("message")
+    return C.compare_flags(I.bound(spark, sf, with_canonical=False), I.comparisons(spark, sf))
+
+
+@query
+def compare_aligned(spark: SparkSession, sf: str) -> DataFrame:
+    return C.aligned_on(I.bound(spark, sf, with_canonical=False), I.comparisons(spark, sf))
+
+
+@query
+def compare_components(spark: SparkSession, sf: str) -> DataFrame:
+    found = C.components(I.bound(spark, sf, with_canonical=False), I.comparisons(spark, sf))
+    return found.select("comparison_id", "record_id", "held", "metric_code", "unit", "value", "citation")
 
 
 # De-duplication
@@ -270,6 +326,11 @@ def dedup_report(spark: SparkSession, sf: str) -> DataFrame:
     return D.dedup_report(I.canonical(spark, sf))
 
 
+@query
+def dedup_reduction(spark: SparkSession, sf: str) -> DataFrame:
+    return D.with_reduction(D.dedup_report(I.canonical(spark, sf)))
+
+
 @query
 def most_copied(spark: SparkSession, sf: str) -> DataFrame:
     return D.most_copied(I.canonical(spark, sf))
@@ -290,6 +351,12 @@ def repetition_scope(spark: SparkSession, sf: str) -> DataFrame:
     return RP.repetition_scope(I.points(spark, sf), SCOPES)
 
 
+@query
+def repetition_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    ratios = RP.with_ratio(RP.repetition_scope(I.points(spark, sf), [*SCOPES, ("no such metric", I.ENTITY)]))
+    return ratios.select("metric", "entity", F.round("repetition", 6).alias("repetition"))
+
+
 @query
 def repetition_by_doc(spark: SparkSession, sf: str) -> DataFrame:
     return RP.repetition_by_doc(I.points(spark, sf), "rev_aero", I.ENTITY)

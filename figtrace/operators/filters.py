@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figtrace.functions.text import ilike_any_part, nonblank, under_any_folder, year_number
@@ -128,9 +128,12 @@ def unmapped_points(bound: BoundPoints) -> DataFrame:
     """(n_all, n_canonical, n_unmatched): how many points canonical-only keeps, and how many have a
     source the canonical map does not know, which canonical-only drops."""
     known = bound.canonical.select(F.col("source_file").alias("_known"), "is_canonical")
-    joined = bound.frame.select("source").join(known, F.col("source") == F.col("_known"), "left")
+    per_source = bound.frame.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
+    joined = per_source.join(known, F.col("source") == F.col("_known"), "left")
+
+    def points(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("_n")).otherwise(0)), F.lit(0))
+
     return joined.agg(
-        F.count(F.lit(1)).alias("n_all"),
-        F.count_if(F.col("is_canonical")).alias("n_canonical"),
-        F.count_if(F.col("_known").isNull()).alias("n_unmatched"),
+        points(F.lit(True)).alias("n_all"), points(F.col("is_canonical")).alias("n_canonical"), points(F.col("_known").isNull()).alias("n_unmatched")
     )

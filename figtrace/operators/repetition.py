@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from figtrace.operators.profile import entity_matches
 from figtrace.operators.search import FOLDER_DEPTH
 
 Scope = tuple[str, str]
+# Scopes counted by one pass over the points.
+TOGETHER = 24
 
 
 def _key(value: str) -> Column:
@@ -44,18 +48,43 @@ def _all_scopes(points: DataFrame, scopes: Sequence[Scope], measured: DataFrame,
 
 
 def repetition_scope(points: DataFrame, scopes: Sequence[Scope], value: str = "value_num") -> DataFrame:
-    """(metric, entity, n_rows, n_distinct, n_files, n_folders): all scopes in one job."""
-    rows = in_scopes(points, scopes).select(
-        "metric", "scope_entity", _key(value).alias("_key"), "source_file",
-        leading_folders(F.col("source_file"), FOLDER_DEPTH).alias("_folder"),
+    """(metric, entity, n_rows, n_distinct, n_files, n_folders): one scan and one shuffle for up to ``TOGETHER`` scopes.
+
+    What is shuffled are the distinct figures and documents of all scopes, each once with its count in every scope; how
+    many a scope has of them, and of the folders, follows from these counts.
+    """
+    parts = [_scope_counts(points, scopes[i : i + TOGETHER], value) for i in range(0, len(scopes), TOGETHER)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _scope_counts(points: DataFrame, scopes: Sequence[Scope], value: str) -> DataFrame:
+    inside = [(F.col("metric_code") == m) & entity_matches(e) for m, e in scopes]
+    columns = [f"_in{i}" for i in range(len(scopes))]
+    rows = points.where(reduce(or_, inside)).select(
+        F.explode(F.array(*[F.struct(F.lit(f).alias("figure"), v.alias("value")) for f, v in ((True, _key(value)), (False, F.col("source_file")))])).alias("_x"),
+        *[c.alias(name) for c, name in zip(inside, columns)],
     )
-    measured = rows.groupBy("metric", "scope_entity").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct("_key").alias("n_distinct"),
-        F.count_distinct("source_file").alias("n_files"),
-        F.count_distinct("_folder").alias("n_folders"),
+    figure, x = F.col("figure"), F.col("value")
+    counted = rows.groupBy("_x.figure", "_x.value").agg(*[F.count_if(c).alias(c) for c in columns])
+    # Figures come together in one row per task, documents in one per folder.
+    folder = F.when(~figure, leading_folders(x, FOLDER_DEPTH)).alias("_folder")
+    per_folder = counted.groupBy("figure", folder).agg(
+        *[F.sum(c).alias(c) for c in columns],
+        *[F.count_if((F.col(c) > 0) & x.isNotNull()).alias(f"{c}_n") for c in columns],
     )
-    return _all_scopes(points, scopes, measured, ["n_rows", "n_distinct", "n_files", "n_folders"])
+    zero = F.lit(0).cast("long")
+    totals = per_folder.agg(
+        *[f.alias(f"{c}_{name}") for c in columns for name, f in {
+            "n_rows": F.coalesce(F.sum(F.when(figure, F.col(c))), zero), "n_distinct": F.coalesce(F.sum(F.when(figure, F.col(f"{c}_n"))), zero),
+            "n_files": F.coalesce(F.sum(F.when(~figure, F.col(f"{c}_n"))), zero), "n_folders": F.count_if(~figure & (F.col(c) > 0)),
+        }.items()]
+    )
+    counts = ("n_rows", "n_distinct", "n_files", "n_folders")
+    told = [
+        F.struct(F.lit(m).alias("metric"), F.lit(e).alias("entity"), *[F.col(f"{c}_{n}").alias(n) for n in counts])
+        for (m, e), c in zip(scopes, columns)
+    ]
+    return totals.select(F.explode(F.array(*told)).alias("_s")).select("_s.*")
 
 
 def with_ratio(df: DataFrame, rows: str = "n_rows", distinct: str = "n_distinct", name: str = "repetition") -> DataFrame:

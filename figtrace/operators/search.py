@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from figtrace.functions.text import BLANK, leading_folders, or_blank
@@ -42,12 +42,56 @@ class SearchResult:
         page = {**self.echo.as_dict(), "records": rows[: self.limit], "returned": min(len(rows), self.limit)}
         page["truncated"] = len(rows) > self.limit
         if not rows:
-            page["note"] = "no evidence held for these filters"
+            page["note"] = NOTHING
         if self.echo.warning():
             page["warning"] = self.echo.warning()
         return page
 
 
+NOTHING, UNFILTERED = "no evidence held for these filters", "a summary needs at least one filter"
+
+
+def page_notes(result: SearchResult) -> DataFrame:
+    """(returned, truncated, note, warning, understood_as, deduplication): what a page says besides its records.
+
+    At most ``limit + 1`` points are looked at.
+    """
+    seen = result.matching.select(F.lit(1)).limit(result.limit + 1).agg(F.count(F.lit(1)).alias("_n"))
+    return seen.select(
+        F.least("_n", F.lit(result.limit)).cast("int").alias("returned"),
+        (F.col("_n") > result.limit).alias("truncated"),
+        F.when(F.col("_n") == 0, NOTHING).alias("note"),
+        F.lit(result.echo.warning()).cast("string").alias("warning"),
+        *_understood(result.echo),
+    )
+
+
+def _understood(echo: Echo) -> list[Column]:
+    said = ", ".join(f"{k}={v}" for k, v in echo.understood_as.items())
+    return [F.lit(said).alias("understood_as"), F.lit(echo.deduplication).alias("deduplication")]
+
+
+def summary_notes(bound: BoundPoints, wanted: EvidenceFilter) -> DataFrame:
+    """(matching, untagged, untagged_pct, caveat, note, warning, understood_as, deduplication): the state of a summary's scope.
+
+    The caveat says how many points don't state what they measure. Without a filter there is nothing but the note.
+    """
+    df, echo = apply_filter(bound, wanted)
+    told = [F.lit(echo.warning()).cast("string").alias("warning"), *_understood(echo)]
+    if not echo.understood_as:
+        nothing = [F.lit(None).cast(k).alias(c) for c, k in (("matching", "long"), ("untagged", "long"), ("untagged_pct", "decimal(4,1)"), ("caveat", "string"))]
+        return df.sparkSession.range(1).select(*nothing, F.lit(UNFILTERED).alias("note"), *told)
+    if not bound.has("metric_code"):
+        counts = df.agg(F.count(F.lit(1)).alias("n_total")).select("n_total", F.lit(None).cast("long").alias("n_blank"), F.lit(None).cast("decimal(4,1)").alias("blank_pct"))
+    else:
+        counts = untagged_share(bound, wanted)[0]
+    caveat = F.format_string("%d of %d points (%s%%) state no metric code, so what they measure is not known", "n_blank", "n_total", F.col("blank_pct").cast("string"))
+    return counts.select(
+        F.col("n_total").alias("matching"), F.col("n_blank").alias("untagged"), F.col("blank_pct").alias("untagged_pct"),
+        F.when(F.col("n_blank") > 0, caveat).alias("caveat"), F.when(F.col("n_total") == 0, NOTHING).alias("note"), *told,
+    )
+
+
 def ordered(df: DataFrame, columns: list[str]) -> DataFrame:
     """By record id, so that a page is the same page every time."""
     order = ["record_id"] if "record_id" in df.columns else columns
@@ -78,7 +122,7 @@ def summarise(bound: BoundPoints, wanted: EvidenceFilter, top: int = TOP) -> tup
     df, echo = apply_filter(bound, wanted)
     empty = "facet string, key string, n bigint"
     if not echo.understood_as:
-        echo.note = "a summary needs at least one filter"
+        echo.note = UNFILTERED
         return df.sparkSession.createDataFrame([], empty), echo
 
     columns = {c: or_blank(F.col(c)) for c in FACETS if bound.has(c)}

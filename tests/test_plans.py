@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import inputs as I
-from checks.queries import QUERIES
+from checks.queries import QUERIES, SCOPES
 from figtrace.operators import filters as FL
+from figtrace.operators import repetition as RP
 from figtrace.operators import search as S
 from figtrace.operators import tagging as T
 from figtrace.plans import figures
@@ -132,3 +133,28 @@ def test_tagging_does_not_shuffle_or_call_python(spark, tmp_path):
     assert "Exchange" not in plan and "Python" not in plan
     filtered = T.tag_points(spark.read.parquet(path)).where("year = 1998 and metric_code_v2 is not null")
     assert "PushedFilters: [IsNotNull(year), EqualTo(year,1998)]" in _plan(filtered)
+
+
+def test_scope_counts_shuffle_each_figure_once(spark):
+    """Four distinct counts of five scopes: one scan, no copies of rows per count, and no more shuffled than for one count."""
+    p = I.points(spark, SF)
+    df = RP.repetition_scope(p, SCOPES)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    text = plan.toString().split("== Initial Plan ==")[0]
+    assert "Expand" not in text and text.count("orders.parquet") == 1
+    rows = RP.in_scopes(p, SCOPES).select("metric", "scope_entity", RP._key("value_num").alias("k"), "source_file")
+    files = rows.select("source_file").distinct().count()
+    one_count = rows.select("metric", "scope_entity", "k").distinct().count()
+    figures = rows.select("k").distinct().count()
+    assert figures + files <= one_count + files
+
+
+@pytest.mark.parametrize("together", [24, 2])
+def test_scopes_in_several_passes(spark, monkeypatch, together):
+    monkeypatch.setattr(RP, "TOGETHER", together)
+    rows = [("m", "A", "E1", 2000, 1.0, "u", "/a/b/c/d/e/f1"), ("m", "A", "E1", 2000, 1.0, "u", "/a/b/c/d/e/f2"), ("m", "a b", "E2", 2001, 1.0, "u", None),
+            ("q", "A", "E1", 2000, 1.0, "u", "/z/f1"), (None, "A", "E1", 2000, 1.0, "u", "/z/f1")]
+    df = spark.createDataFrame(rows, "metric_code string, entity string, entity_id string, year int, value_num double, unit string, source_file string")
+    got = {(r.metric, r.entity): (r.n_rows, r.n_distinct, r.n_files, r.n_folders) for r in RP.repetition_scope(df, [("m", "A"), ("m", "e2"), ("q", "A"), ("none", "A")]).collect()}
+    assert got == {("m", "A"): (3, 2, 2, 2), ("m", "e2"): (1, 1, 0, 1), ("q", "A"): (1, 1, 1, 1), ("none", "A"): (0, 0, 0, 0)}
