@@ -116,7 +116,8 @@ def describe(docs: DataFrame, *, size: int, text: str = "text", keep: Sequence[s
 
 
 def _pack(shingles: np.ndarray) -> bytes:
-    """Six bytes of each hash: in a set of millions two rarely agree, and a set stays small to send."""
+    """Six bytes of each hash, so that a set stays small to send. Two of the shingles of a pair of documents that
+    have n between them agree in these with a chance below n^2 / 2^49: 2e-9 for a thousand."""
     return np.unique(shingles >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
@@ -320,29 +321,34 @@ def _compare_blocks(apart: DataFrame, members: DataFrame, percent: int) -> DataF
 def groups(
     docs: DataFrame, *, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] | None = None
 ) -> DataFrame:
-    """The kept columns of ``docs`` with n_shingles, component_id and kept.
+    """The kept columns of ``docs`` with n_shingles, component_id, kept and chosen.
 
     A document's set holds its distinct ``size``-word shingles, of lower-cased words; with fewer words, the
     whole sequence. Documents with equal sets, or ones that share at least ``percent`` in 100 of their union,
     are linked. ``component_id`` is the least id reachable over links; ``kept`` marks the document that has
     it. A text that is null or without words has no shingles and is linked with nothing. Null ids are passed
-    over for the least id; a group of them alone has none and keeps all. Repeated rows stay as they are.
+    over for the least id; a group of them alone has none and keeps all. Repeated rows stay as they are. ``chosen``
+    marks one row of every group, also among repeated rows and without ids.
     """
     keep = docs.columns if keep is None else list(keep)
-    carried = [c for c in keep if c not in ("n_shingles", "component_id", "kept")]
+    carried = [c for c in keep if c not in ("n_shingles", "component_id", "kept", "chosen")]
     numbered = docs.select(F.struct(*carried).alias("carried"), F.col(doc_id).alias("id"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("row"))
     held = staged(describe(numbered, size=size, text="_text", keep=["carried", "id", "row"]), "described")
     labels = classes(held, percent=percent)
-    described, held = held, staged(held.select("carried", "id", "n_shingles", "class_id"), "documents")
+    described, held = held, staged(held.select("carried", "id", "row", "n_shingles", "class_id"), "documents")
     release(described)
-    least = held.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("id").alias("id"))
+    # Of equal ids the first row, and rows without an id last.
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("first")
+    least = held.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min(first).alias("first"))
     root = F.coalesce("root", "class_id")
-    rooted = least.join(labels, "class_id", "left").select("class_id", "id", root.alias("_root"))
-    tops = rooted.groupBy("_root").agg(F.min("id").alias("_top"))
+    rooted = least.join(labels, "class_id", "left").select("class_id", "first", root.alias("_root"))
+    tops = rooted.groupBy("_root").agg(F.min("first").alias("_top"))
     named = rooted.join(tops, "_root").select(F.col("class_id").alias("_class"), "_top")
-    joined = held.select("carried", "id", "n_shingles", "class_id").join(named, F.col("class_id") == F.col("_class"), "left")
-    component = F.when(F.col("class_id").isNull(), F.col("id")).otherwise(F.col("_top"))
+    joined = held.join(named, F.col("class_id") == F.col("_class"), "left")
+    alone = F.col("class_id").isNull()
+    component = F.when(alone, F.col("id")).otherwise(F.col("_top.id"))
     return joined.select(
         *[F.col("carried").getField(c).alias(c) for c in carried],
         "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
+        (alone | (F.col("row") == F.col("_top.row"))).alias("chosen"),
     )
