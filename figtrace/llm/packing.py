@@ -10,66 +10,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from figtrace.llm.chunks import REMEMBERED, Chunks, byte_letters
-from figtrace.llm.texts import ragged, slices, staged
+from figtrace.llm.bpe import encoder
+from figtrace.llm.texts import slices, staged
 
 # Pieces that share a length are ranked in shares of about this many.
 SHARE = 20_000
 
 
 def token_pieces(
-    docs: DataFrame, vocabulary: str, *, size: int, end: int, text: str = "text", keep: Sequence[str] = ("doc_id",), remembered: int = REMEMBERED
+    docs: DataFrame, vocabulary: str, *, size: int, end: int, text: str = "text", keep: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
     """One row per piece of a document: the kept columns, piece, start, length, ids.
 
     A document is its text's tokens, then ``end``. Documents of more than ``size`` tokens are cut into pieces
     of ``size``, of which the first may be shorter. ``ids`` are the piece's token ids as little-endian
     unsigned 32-bit numbers. A null or empty text is the end alone. ``vocabulary`` is a byte-level BPE file of
-    the tokenizers library, which encodes the pre-tokens; every executor must be able to read it. A task
-    remembers about ``remembered`` distinct words: fewer take less memory and more time.
+    the tokenizers library that every executor must be able to read; ids are those this library gives. Texts are
+    encoded whole, and a task holds a slice of them at a time. Kept columns must not be called like the new ones.
     """
     out = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL("piece int, start long, length long, ids binary").fields])
     n_kept = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(vocabulary)
-        chunks = Chunks({t.content: i for i, t in model.get_added_tokens_decoder().items()}, remembered)
-        encode, letters = model.model.tokenize, dict(enumerate(byte_letters()))
-        empty = np.zeros(0, dtype=np.uint32)
-        token, token_n, of_chunk, of_chunk_n = empty, empty.astype(np.int64), empty, empty.astype(np.int64)
+        encode, last = encoder(vocabulary), np.array([end], dtype="<u4").tobytes()
         for batch in slices(batches, n_kept):
-            texts = batch.column(n_kept).to_pylist()
-            anew, numbers, new = chunks.batch(texts)
-            if anew:
-                token, token_n, of_chunk, of_chunk_n = token[:0], token_n[:0], of_chunk[:0], of_chunk_n[:0]
-            fresh = [
-                [p] if isinstance(p, int) else [t.id for t in encode(p.encode("utf-8").decode("latin-1").translate(letters))]
-                for p in new
-            ]
-            token = np.concatenate([token, np.array([i for ids in fresh for i in ids], dtype=np.uint32)])
-            token_n = np.concatenate([token_n, np.array([len(ids) for ids in fresh], dtype=np.int64)])
-            starts = np.cumsum(token_n) - token_n
-            done, sizes = len(of_chunk_n), chunks.sizes
-            parts = chunks.parts[int(sizes[:done].sum()) :]
-            of_chunk = np.concatenate([of_chunk, token[ragged(starts[parts], token_n[parts])]])
-            ends = np.concatenate([[0], np.cumsum(token_n[parts])])
-            bounds = np.concatenate([[0], np.cumsum(sizes[done:])])
-            of_chunk_n = np.concatenate([of_chunk_n, ends[bounds[1:]] - ends[bounds[:-1]]])
-            chunk_starts = np.cumsum(of_chunk_n) - of_chunk_n
-
             row, piece, start, length, ids = [], [], [], [], []
-            for i, n in enumerate(numbers):
-                doc = np.append(of_chunk[ragged(chunk_starts[n], of_chunk_n[n])], np.uint32(end)).astype("<u4")
-                first = len(doc) % size or size
-                cuts = [0, *range(first, len(doc) + 1, size)]
+            for i, value in enumerate(batch.column(n_kept)):
+                held = value.as_py()
+                doc = (encode(held.decode("utf-8", "replace")).astype("<u4").tobytes() if held else b"") + last
+                n = len(doc) // 4
+                cuts = [0, *range(n % size or size, n + 1, size)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     row.append(i)
                     piece.append(k)
                     start.append(a)
                     length.append(b - a)
-                    ids.append(doc[a:b].tobytes())
+                    ids.append(doc[4 * a : 4 * b])
                 if len(ids) >= 4096:
                     yield _pieces(batch, n_kept, row, piece, start, length, ids)
                     row, piece, start, length, ids = [], [], [], [], []
