@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import re
-from collections.abc import Callable, Iterator, Sequence
+import json
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from figtrace.llm.bpe import encoder
 from figtrace.llm.chunks import byte_letters
 from figtrace.llm.texts import slices, staged
 
-# So many tokens of distinct stretches of text are remembered by a task; it starts anew between two slices beyond that.
-REMEMBERED = 2_000_000
 # Texts are aligned in slices of about so many bytes.
 SLICE = 1 << 20
 # The linked pairs held by most documents are sent to all tasks: at most so many. Rarer ones are joined.
@@ -26,39 +24,51 @@ COMMON = 1 << 20
 # Partial counts of pairs a task gathers before it passes them on.
 PARTIAL = 1 << 20
 
-# A stretch ends before a single space between two other characters: no token of either vocabulary
-# spans such a place. What counts as white space here contains what the vocabularies call so.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-
-Encode = Callable[[list[str]], list[list[int]]]
-
 
 class Side:
-    """One tokenizer: how stretches are encoded, each with a space before it, and the bytes of every token."""
+    """One tokenizer: how texts are encoded, each with a space before it, and the bytes of every token."""
 
     def __init__(self, path: str):
         if path.endswith(".json"):
-            from tokenizers import Tokenizer
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-            model = Tokenizer.from_file(path)
-            model.encode_special_tokens = True
+            with open(path, encoding="utf-8") as f:
+                held = json.load(f)
             byte_of = {c: b for b, c in enumerate(byte_letters())}
-            entries = {i: t for t, i in model.get_vocab(with_added_tokens=False).items()}
-            added = {i: t.content.encode() for i, t in model.get_added_tokens_decoder().items()}
-            n = 1 + max([*entries, *added])
-            self.bytes = [bytes(byte_of[c] for c in entries[i]) if i in entries else added.get(i, b"") for i in range(n)]
-            self.encode: Encode = lambda texts: [e.ids for e in model.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+            added = {t["id"]: t["content"].encode() for t in held.get("added_tokens", [])}
+            entries = {i: bytes(byte_of[c] for c in t) for t, i in held["model"]["vocab"].items() if i not in added} | added
+            tokens = [entries.get(i, b"") for i in range(1 + max(entries))]
+            encode = encoder(path, specials=False)
+            self._encode = lambda texts: [encode(" " + t) for t in texts]
         else:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            n = model.get_piece_size()
-            self.bytes = [piece_bytes(model.id_to_piece(i)) for i in range(n)]
-            self.encode = lambda texts: model.encode(texts, num_threads=1)
-        self.length = pa.array(map(len, self.bytes), pa.int64())
-        self.decimal = pa.array(map(str, range(n)), pa.string())
+            tokens = [piece_bytes(model.id_to_piece(i)) for i in range(model.get_piece_size())]
+            self._encode = lambda texts: [np.array(ids, dtype=np.int32) for ids in model.encode(texts, num_threads=1)]
+        self.bytes = pa.array(tokens, pa.binary())
+        self.length = pa.array(map(len, tokens), pa.int64())
+        self.decimal = pa.array(map(str, range(len(tokens))), pa.string())
+
+    def lists(self, texts: list[str]) -> pa.Array:
+        """The token ids of each text; none of an empty one."""
+        ids = [x.astype(np.int32, copy=False) for x in self._encode(texts)]
+        empty = np.zeros(0, dtype=np.int32)
+        ids = [x if t else empty for x, t in zip(ids, texts)]
+        ends = np.cumsum([0, *map(len, ids)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([empty, *ids])))
+
+    def differ(self, lists: pa.Array, texts: list[str]) -> list[int]:
+        """The texts whose bytes, after a space, are not those of their tokens."""
+        flat = lists.flatten()
+        want = [b" " + t.encode() if t else b"" for t in texts]
+        # The bytes of all tokens lie side by side in one buffer.
+        joined = self.bytes.take(flat).buffers()[2]
+        held = joined.to_pybytes() if joined else b""
+        sizes = np.concatenate([[0], np.cumsum(self.length.take(flat).to_numpy())])
+        held = held[: int(sizes[-1])]
+        if held == b"".join(want):
+            return []
+        at = sizes[lists.offsets.to_numpy()].tolist()
+        return [i for i, w in enumerate(want) if held[at[i] : at[i + 1]] != w]
 
 
 def piece_bytes(piece: str) -> bytes:
@@ -68,79 +78,42 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace("▁", " ").encode()
 
 
-def stretches(text: str) -> list[str]:
-    """The text cut at single spaces, which belong to what follows and are left out."""
-    if "  " in text or text[0] == " " or text[-1] == " " or any(c in text and (c + " " in text or " " + c in text) for c in _WHITE):
-        return _CUT.split(text)
-    return text.split(" ")
-
-
-class Encoder:
-    """Encodes texts on both sides by way of their distinct stretches."""
-
-    def __init__(self, sides: Sequence[Side], limit: int):
-        self.sides, self.limit = sides, limit
-        self._start()
-
-    def _start(self) -> None:
-        self._number: dict[str, int] = {}
-        self._same: list[bool] = []
-        self._held = [[pa.nulls(0, pa.list_(pa.int32()))] for _ in self.sides]
-        self._tokens = 0
-
-    def lists(self, texts: list[bytes | None]) -> tuple[pa.Array, list[pa.Array]]:
-        """The stretches of every text as a list of numbers, and each side's tokens of every number.
-
-        A text has no stretches if it is null or empty, or if the bytes of either side's tokens are not its own.
-        """
-        if self._tokens > self.limit:
-            self._start()
-        cut = [_decoded(t) for t in texts]
-        cut = [stretches(t) if t else [] for t in cut]
-        new = list(set().union(*cut) - self._number.keys())
-        encoded = [side.encode(new) for side in self.sides]
-        for i, stretch in enumerate(new):
-            self._number[stretch] = len(self._number)
-            want = b" " + stretch.encode()
-            self._same.append(all(b"".join([s.bytes[t] for t in ids[i]]) == want for s, ids in zip(self.sides, encoded)))
-        for held, ids in zip(self._held, encoded):
-            held.append(pa.array(ids, pa.list_(pa.int32())))
-            self._tokens += sum(map(len, ids))
-        self._held = [[pa.concat_arrays(held)] for held in self._held]
-        numbers = [list(map(self._number.__getitem__, c)) for c in cut]
-        if not all(self._same):
-            numbers = [n if all(map(self._same.__getitem__, n)) else [] for n in numbers]
-        return pa.array(numbers, pa.list_(pa.int32())), [held[0] for held in self._held]
-
-
-def _decoded(text: bytes | None) -> str | None:
-    """The text; none where its bytes are not UTF-8, as no tokens can have these bytes."""
+def token_lists(texts: list[bytes | None], sides: Sequence[Side]) -> list[pa.Array]:
+    """Each side's tokens of every text; none for a text that is null or empty, or whose bytes either side does not keep."""
+    plain = [_decoded(t) for t in texts]
+    lists = [side.lists(plain) for side in sides]
+    lost = {i for side, held in zip(sides, lists) for i in side.differ(held, plain)}
+    if not lost:
+        return lists
+    kept = ["" if i in lost else t for i, t in enumerate(plain)]
+    return [side.lists(kept) for side in sides]
+
+
+def _decoded(text: bytes | None) -> str:
+    """The text; empty where its bytes are not UTF-8, as no tokens can have these bytes."""
     try:
-        return text.decode("utf-8") if text else None
+        return text.decode("utf-8") if text else ""
     except UnicodeDecodeError:
-        return None
+        return ""
 
 
-def aligned(numbers: pa.Array, held: list[pa.Array], sides: Sequence[Side]) -> tuple[list[pa.Array], pa.Table, pa.Array]:
+def aligned(lists: Sequence[pa.Array], sides: Sequence[Side]) -> tuple[list[pa.Array], pa.Table, pa.Array]:
     """Per document n_a, n_b, n_groups and n_links; the links as a table (doc, pair); each document's groups as text.
 
     Both sides are flattened to one row per token with its document and its end in it, and joined on these two.
     The ends of either side cut the bytes into stretches that lie in one token of each: these are the links. The
     ends that both sides have close the groups.
     """
-    n_docs = len(numbers)
-    stretch, doc_of_stretch = pc.list_flatten(numbers), pc.list_parent_indices(numbers)
+    n_docs = len(lists[0])
     tables, tokens, n_tokens = [], [], []
-    for i, (lists, side) in enumerate(zip(held, sides)):
-        taken = lists.take(stretch)
-        ids, doc = pc.list_flatten(taken), doc_of_stretch.take(pc.list_parent_indices(taken))
+    for i, (held, side) in enumerate(zip(lists, sides)):
+        ids, doc = pc.list_flatten(held), pc.list_parent_indices(held).to_numpy()
         total = pc.cumulative_sum(side.length.take(ids)).to_numpy(zero_copy_only=False)
-        doc_np = doc.to_numpy()
-        first = np.searchsorted(doc_np, np.arange(n_docs))
-        end = total - np.r_[0, total][first][doc_np]
-        tables.append(pa.table({"key": pa.array(doc_np << 32 | end), f"at_{i}": pa.array(np.arange(len(ids)))}))
+        first = np.searchsorted(doc, np.arange(n_docs))
+        end = total - np.r_[0, total][first][doc]
+        tables.append(pa.table({"key": pa.array(doc.astype(np.int64) << 32 | end), f"at_{i}": pa.array(np.arange(len(ids)))}))
         tokens.append(ids)
-        n_tokens.append(np.bincount(doc_np, minlength=n_docs))
+        n_tokens.append(np.bincount(doc, minlength=n_docs))
     met = tables[0].join(tables[1], "key", join_type="full outer", use_threads=False).combine_chunks()
     met = met.take(pc.sort_indices(met["key"]))
     key = met["key"].to_numpy()
@@ -162,7 +135,7 @@ def aligned(numbers: pa.Array, held: list[pa.Array], sides: Sequence[Side]) -> t
 
 
 def alignments(
-    docs: DataFrame, a: str, b: str, *, text: str = "text", keep: Sequence[str] | None = None, digest: bool = False, remembered: int = REMEMBERED
+    docs: DataFrame, a: str, b: str, *, text: str = "text", keep: Sequence[str] | None = None, digest: bool = False
 ) -> DataFrame:
     """``docs`` with n_a, n_b, n_groups, n_links, the groups, and the linked id pairs with how often each is linked.
 
@@ -182,10 +155,8 @@ def alignments(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = [Side(a), Side(b)]
-        encoder = Encoder(sides, remembered)
         for batch in slices(batches, n, SLICE):
-            numbers, held = encoder.lists(batch.column(n).to_pylist())
-            counts, links, groups = aligned(numbers, held, sides)
+            counts, links, groups = aligned(token_lists(batch.column(n).to_pylist(), sides), sides)
             if digest:
                 groups = pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups.cast(pa.binary()).to_pylist()], pa.string())
             per_doc = links.group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")]).sort_by("doc")
@@ -231,7 +202,7 @@ def pair_counts(held: DataFrame) -> DataFrame:
 
 
 def align(
-    docs: DataFrame, a: str, b: str, *, text: str = "text", keep: Sequence[str] | None = None, digest: bool = False, common: int = COMMON, remembered: int = REMEMBERED
+    docs: DataFrame, a: str, b: str, *, text: str = "text", keep: Sequence[str] | None = None, digest: bool = False, common: int = COMMON
 ) -> DataFrame:
     """``alignments`` with n_best and count_sum instead of the pairs.
 
@@ -241,7 +212,7 @@ def align(
     a column ``_row`` is left out.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("n_best", "count_sum", "_row")]
-    marked = alignments(docs, a, b, text=text, keep=kept, digest=digest, remembered=remembered).withColumn("_row", F.monotonically_increasing_id())
+    marked = alignments(docs, a, b, text=text, keep=kept, digest=digest).withColumn("_row", F.monotonically_increasing_id())
     held = staged(marked, "alignments")
     counts = staged(pair_counts(held), "pair_ranks")
     bar = _bar(counts, common)

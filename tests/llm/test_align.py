@@ -101,8 +101,8 @@ def test_against_whole_texts(spark, paths, whole):
     texts = ODD + ["".join(draw.choices(parts, weights=[3] * 15 + [0.1], k=draw.randint(1, 30))) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     want = plainly(texts, whole)
-    for common, remembered in ((align.COMMON, align.REMEMBERED), (8, 50), (0, 0)):
-        got = align.align(df, *paths, common=common, remembered=remembered)
+    for common in (align.COMMON, 8, 0):
+        got = align.align(df, *paths, common=common)
         assert got.count() == len(texts)
         for r in got.collect():
             assert (*[r[c] for c in COUNTS], r["groups"]) == want[r["doc_id"]], repr(texts[r["doc_id"]])
@@ -133,9 +133,3 @@ def test_keeps_rows_and_clashing_columns(odd, none, paths):
 def test_bytes_that_are_not_utf8_have_no_tokens(spark, paths):
     df = spark.sql("SELECT 1 AS doc_id, CAST(X'61FF62' AS STRING) AS text")
     assert [align.align(df, *paths).first()[c] for c in COUNTS] == [0] * 6
-
-
-def test_stretches_are_what_spaces_separate():
-    assert align.stretches("a b\nc d") == ["a", "b\nc", "d"]
-    assert align.stretches("a  b c ") == ["a  b", "c "]
-    assert align.stretches(" ") == [" "]
