@@ -15,7 +15,7 @@ import regex
 
 # How these vocabularies split a text into pre-tokens, and the characters that are white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# So many chunks are remembered; the index starts anew between two batches beyond that.
+# So many chunks, of at most four times as many pre-tokens, are remembered; the index starts anew between two batches beyond that.
 REMEMBERED = 400_000
 
 _SPACES = frozenset([*map(chr, range(9, 14)), " ", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"])
@@ -46,7 +46,7 @@ class Chunks:
 
     def batch(self, texts: list[bytes | None]) -> tuple[bool, list[np.ndarray], list[str | int]]:
         """Whether the numbers start anew, the chunk numbers of each text, and the pre-tokens met first here."""
-        anew = len(self._number) > self.limit
+        anew = len(self._number) > self.limit or len(self.parts) > 4 * self.limit
         if anew:
             self._start()
         met = len(self._pretoken)
@@ -99,9 +99,15 @@ class Chunks:
         return self._n - 1
 
     def _slowly(self, text: bytes, parts: list[int], sizes: list[int]) -> np.ndarray:
-        """A text with more than single spaces: cut where it can be, numbered without being remembered."""
+        """A text with more than single spaces, cut where it can be. Two spaces mark its chunks, which no others begin with."""
         first, *rest = _CUT.split(text.decode("utf-8"))
-        return np.array([self._append(p, parts, sizes) for p in (first, *(" " + r for r in rest))], dtype=np.int64)
+        numbers = []
+        for chunk in (first, *(" " + r for r in rest)):
+            key = b"  " + chunk.encode()
+            if key not in self._number:
+                self._number[key] = self._append(chunk, parts, sizes)
+            numbers.append(self._number[key])
+        return np.array(numbers, dtype=np.int64)
 
 
 class Merges:
