@@ -22,6 +22,9 @@ OWNERS, MEMBERS = 512, 1024  # sides of a block
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1. They are scaled by a power of two first, which is exact, as squares of tiny or huge
+    numbers are no doubles."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
