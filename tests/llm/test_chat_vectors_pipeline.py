@@ -103,6 +103,20 @@ def test_vectors(spark, monkeypatch, element):
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got.collect()} == plain_links(vectors, 0.95)
 
 
+def test_tiny_and_huge_vectors_keep_their_direction(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(100, 8))
+    vectors = {i: (base[i % 50]).tolist() for i in range(100)}
+    for k, scale in enumerate((1e-200, 1e200, 1e-320, 1e308 / np.abs(base).max(), 2.0**-1074)):
+        vectors |= {1000 * (k + 1) + i: (np.sign(base[i]) * scale if scale < 1e-310 else base[i] * scale).tolist() for i in range(2)}
+        vectors |= {1000 * (k + 1) + 100 + i: vectors[1000 * (k + 1) + i] for i in range(2)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in vector_dedup.linked(df).collect()}
+    scaled = {i: (np.array(v) / np.abs(v).max()).tolist() for i, v in vectors.items()}
+    assert {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in got.items()} == plain_links(scaled, 0.95)
+    assert got[0]["n_links"] >= 1 and got[1000]["component_id"] == 0 and got[2000]["component_id"] == 0
+
+
 def test_borders_are_exact_in_many_dimensions():
     """Two linked vectors that differ straight across a border meet in the cell of one of them."""
     centres = np.eye(768)[:2]
@@ -185,3 +199,17 @@ def test_stages_of_odd_texts(spark, odd, none):
 def test_a_row_is_kept_whole(odd):
     whole = corpus_pipeline._back(corpus_pipeline._whole(odd), odd)
     assert sorted(map(str, whole.collect())) == sorted(map(str, odd.collect()))
+
+
+def test_one_row_of_each_group_stays(spark, odd):
+    """Repeated rows, equal ids, and near copies without ids."""
+    words = " ".join(f"word{i}" for i in range(60))
+    near, other = words + " tail", " ".join(f"thing{i}" for i in range(30))
+    rows = [(7, words), (7, words), (None, near), (None, words), (3, near), (None, other), (None, other), (8, None), (8, None), (9, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", str(k)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs.repartition(3), SF)
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(3, near), (None, other), (8, None), (8, None), (9, ""), (None, "")], key=str) and kept.columns == docs.columns
+    again = corpus_pipeline.drop_near_copies(spark, odd, SF)
+    texts = [r["text"] for r in again.collect()]
+    assert texts.count("word") == 1 and texts.count(None) == 1

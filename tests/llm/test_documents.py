@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -278,6 +279,24 @@ def test_personal_data_patterns(text, kinds):
     assert [pii.KINDS[k] for k, _, _ in found] == kinds and [(pii.KINDS[k], a, b) for k, a, b in found] == plain_spans(text)
 
 
+def test_patterns_of_random_texts():
+    draw = random.Random(9)
+    parts = ["a", "B9", "@", ".", "-", "%", "+", " ", "1", "23", "4111", "300", "00", "(", ")", "é", "\n", "x.y@z.co", "10.0.0.1", "4111 1111 1111 1111"]
+    for _ in range(30_000):
+        text = "".join(draw.choices(parts, k=draw.randint(0, 14)))
+        assert [(pii.KINDS[k], a, b) for k, a, b in pii.entities(text.encode())] == plain_spans(text), text
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6 + "@", "7" * 10**6 + "@+", "1." * 500_000, "@" * 10**6 + "123456789+", "a@" * 500_000, "+1" + " " * 10**6 + "23456789",
+                                  "+1" * 500_000, "9 " * 500_000, "a@b." * 250_000, "0" * 10**6 + "1.2.3.4"])
+def test_long_runs_take_linear_time(text):
+    start = time.perf_counter()
+    found = pii.entities(text.encode())
+    assert time.perf_counter() - start < 5
+    if text.startswith("0"):
+        assert [text[a:b] for k, a, b in found if pii.KINDS[k] == "ip"] == [text]
+
+
 def test_words_that_disclose(spark, odd, none):
     said = [(i, f"please ask zorblat or write to a.b@mail.example.com the common word n{i}", *EXTRA) for i in range(6)]
     other = [(100 + i, f"the common word and please write of thing{i} to all", *EXTRA) for i in range(400)]

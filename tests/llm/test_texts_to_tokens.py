@@ -213,3 +213,59 @@ def test_score_of_odd_texts(odd, none):
     assert ppm.score(none, F.lit(True), keep=["doc_id"]).count() == 0
     untrained = rows(ppm.score(odd, F.lit(False), keep=["doc_id"]))
     assert {r["n_known"] for r in untrained} == {0} and {r["base_score"] for r in untrained} == {0.0}
+
+
+@pytest.mark.parametrize("specials", [True, False])
+def test_whole_texts_are_encoded_as_by_the_library(vocabulary, specials):
+    from tokenizers import Tokenizer
+
+    from figtrace.llm import bpe
+
+    model = Tokenizer.from_file(vocabulary)
+    model.encode_special_tokens = not specials
+    encode, draw = bpe.encoder(vocabulary, specials=specials), random.Random(6)
+    odd = [*range(0x300), *range(0x1680, 0x1690), *range(0x2000, 0x2070), *range(0x3000, 0x3010), *range(0x1F600, 0x1F640)]
+    pieces = ["<|endoftext|>", "'s", "'LL", "  ", "\r\n", " \t", "word", "WORD9", "!!", *map(chr, odd)]
+    texts = ["".join(draw.choices(pieces, k=draw.randint(0, 12))) for _ in range(5_000)] + ["a" * 100_000, " " * 50_000, "7\n" * 30_000, "<|endoftext" * 5]
+    for t in texts:
+        assert encode(t).tolist() == model.encode(t, add_special_tokens=False).ids, repr(t[:80])
+
+
+def test_other_vocabularies_are_left_to_the_library(vocabulary, tmp_path):
+    """A file whose ids don't follow its merges."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    from figtrace.llm import bpe
+
+    with open(vocabulary, encoding="utf-8") as f:
+        held = json.load(f)
+    held["model"]["merges"][:200] = held["model"]["merges"][199::-1]
+    path = str(tmp_path / "v.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(held, f)
+    text = "The other thing is that this was there"
+    assert bpe.encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_texts_with_double_spaces_are_remembered_within_bounds(library, vocabulary):
+    """What is held grows with the distinct chunks, not with the texts, and starts anew beyond the limit."""
+    from figtrace.llm.chunks import Chunks, pretokens
+
+    draw = random.Random(8)
+    words = [f"w{i:x}" for i in range(2_000)]
+    chunks = Chunks({}, limit=5_000)
+    for _ in range(6):
+        texts = []
+        for _ in range(200):
+            said = draw.choices(words, k=200)
+            texts.append(" ".join(said[:100]) + "  " + " ".join(said[100:]))
+        _, numbers, _ = chunks.batch([t.encode() for t in texts])
+        assert len(chunks.parts) <= 4 * (5_000 + 2_200) and len(chunks._number) <= 5_000 + 2_200
+    names = list(chunks._pretoken)
+    ends = np.r_[0, np.cumsum(chunks.sizes)]
+    got = [names[p] for n in numbers[0] for p in chunks.parts[ends[n] : ends[n + 1]]]
+    from figtrace.llm.chunks import _SPLIT
+
+    assert got == pretokens(texts[0], {}, _SPLIT, None)
