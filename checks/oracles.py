@@ -569,6 +569,17 @@ oracle("scope_run", POINTS, LABELLED, CODED, """grouped AS (
 SELECT nullif(label, '') AS label, nullif(cue_text, '') AS cue, unit_name AS unit, n, (SELECT count(*) FROM points) AS n_points
 FROM grouped""")
 
+SHEETED = "regexp_extract(location, 'sheet=(.*)!', 1)"
+CONTEXTS = f"count(DISTINCT {{'c': context, 's': {SHEETED}, 'u': lower(coalesce(unit, ''))}})"
+PLAIN = f"(SELECT count(*) FROM every_point WHERE context IS NOT NULL AND {SHEETED} IS NOT NULL"
+# One that holds the entity's contexts tags them for all points.
+OWN = f"""own AS (SELECT DISTINCT context, {SHEETED} AS sheet, lower(coalesce(unit, '')) AS u FROM every_point WHERE entity_id = '{ENTITY_CODE}')"""
+oracle("tag_run", *SCOPE, OWN, select=f"""
+SELECT 'dry' AS run, false AS built, count(*) AS n_points, {CONTEXTS} AS n_contexts, 9 AS n_reports, CAST(NULL AS BIGINT) AS n_tagged FROM points
+UNION ALL SELECT 'entity', true, count(*), {CONTEXTS}, 9,
+  {PLAIN} AND (context, {SHEETED}, lower(coalesce(unit, ''))) IN (SELECT (context, sheet, u) FROM own)) FROM every_point WHERE entity_id = '{ENTITY_CODE}'
+UNION ALL SELECT 'store', true, count(*), {CONTEXTS}, 0, {PLAIN}) FROM every_point""")
+
 # Audit
 
 oracle("audit_redact", select="""

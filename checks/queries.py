@@ -515,6 +515,19 @@ def scope_run(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("label", "cue", "unit", F.col("n").cast("long").alias("n"), F.lit(told["n_points"]).cast("long").alias("n_points"))
 
 
+@query
+def tag_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A run that only reports, one that builds an entity's tags, one that builds the whole store's; and what the views have."""
+    p, canonical = I.points(spark, sf), I.canonical(spark, sf)
+    asked = {"dry": {"entity": I.ENTITY_CODE, "canonical": canonical}, "entity": {"entity": I.ENTITY_CODE, "build": True}, "store": {"build": True}}
+    told = {}
+    for name, options in asked.items():
+        told[name] = SR.tag_run(p, staging_path(spark, name), wanted=WANTED, view=f"tagged_{name}", **options)
+        told[name]["n_tagged"] = None if name == "dry" else spark.table(f"tagged_{name}").where("magnitude_check <> 'untagged'").count()
+    rows = [(n, t["built"], t["n_points"], t["n_contexts"], len(t["reports"]), t["n_tagged"]) for n, t in told.items()]
+    return spark.createDataFrame(rows, "run string, built boolean, n_points long, n_contexts long, n_reports int, n_tagged long")
+
+
 # Audit
 
 

@@ -11,7 +11,7 @@ from figtrace.operators.dedup import canonicalise, changed_state, fingerprint_st
 from figtrace.operators.tagging import context_tags, in_scope, tag_points, tag_points_by_lookup
 from figtrace.sources.tables import create_view, read_table, release, replace_table, stage
 
-TAGGED_VIEW = "ask_points_v2"
+TAGGED_VIEW, TAG_TABLE = "ask_points_v2", "context_tag.parquet"
 STATE, FINGERPRINTS, CANONICAL = "doc_state.parquet", "doc_fingerprint.parquet", "doc_canonical.parquet"
 
 
@@ -59,7 +59,7 @@ def build_tag_table(
 
     Points whose context lies outside the scope are untagged in the view.
     """
-    tags = replace_table(context_tags(in_scope(points, entity, canonical)), f"{folder}/context_tag.parquet")
+    tags = replace_table(context_tags(in_scope(points, entity, canonical)), f"{folder}/{TAG_TABLE}")
     return tags, create_view(tag_points_by_lookup(points, tags), view)
 
 

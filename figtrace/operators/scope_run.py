@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from figtrace.operators import profile as P
 from figtrace.operators import tag_reports as TR
-from figtrace.operators.tagging import in_scope, tag_points
-from figtrace.sources.tables import release, stage, write_tsv
+from figtrace.operators.builds import TAG_TABLE, TAGGED_VIEW
+from figtrace.operators.tagging import context_tags, in_scope, tag_points, tag_points_by_lookup
+from figtrace.sources.tables import create_view, release, replace_table, stage, write_tsv
 
 # What the reports read of a point, and which of its tags.
 COLUMNS = ("value_num", "unit", "metric_code", "context", "location", "year")
@@ -33,6 +34,9 @@ class Scope:
     entity: str | None
     canonical: bool
 
+    def told(self) -> dict[str, object]:
+        return {"entity": self.entity, "canonical": self.canonical, "n_points": self.n_points}
+
     def release(self) -> None:
         release(self.points)
 
@@ -91,9 +95,12 @@ def tag_reports(scope: Scope, wanted: Wanted = Wanted()) -> dict[str, DataFrame]
     }
 
 
+Kinds = Mapping[str, Callable[[Scope, Wanted], dict[str, DataFrame]]]
+
+
 def run_scope(
     points: DataFrame, folder: str, *, entity: str | None = None, canonical: DataFrame | None = None, wanted: Wanted = Wanted(),
-    kinds: Mapping[str, Callable[[Scope, Wanted], dict[str, DataFrame]]] | None = None,
+    kinds: Kinds | None = None,
 ) -> dict[str, object]:
     """Write every report of a scope as TSV below a folder, and say what was run: the scope, its size, the reports.
 
@@ -101,11 +108,39 @@ def run_scope(
     """
     scope = stage_scope(points, entity=entity, canonical=canonical)
     try:
-        reports: dict[str, DataFrame] = {}
-        for make in (kinds or {"contexts": context_reports, "tags": tag_reports}).values():
-            reports |= make(scope, wanted)
-        for name, report in reports.items():
-            write_tsv(report.coalesce(1), f"{folder}/{name}.tsv")
-        return {"entity": entity, "canonical": scope.canonical, "n_points": scope.n_points, "reports": sorted(reports)}
+        return scope.told() | {"reports": write_reports(scope, folder, wanted, kinds)}
+    finally:
+        scope.release()
+
+
+def write_reports(scope: Scope, folder: str, wanted: Wanted = Wanted(), kinds: Kinds | None = None) -> list[str]:
+    """Write the reports of a staged scope as TSV; their names."""
+    reports: dict[str, DataFrame] = {}
+    for make in (kinds or {"contexts": context_reports, "tags": tag_reports}).values():
+        reports |= make(scope, wanted)
+    for name, report in reports.items():
+        write_tsv(report.coalesce(1), f"{folder}/{name}.tsv")
+    return sorted(reports)
+
+
+def tag_run(
+    points: DataFrame, folder: str, *, entity: str | None = None, canonical: DataFrame | None = None, build: bool = False,
+    report: bool | None = None, wanted: Wanted = Wanted(), view: str = TAGGED_VIEW,
+) -> dict[str, object]:
+    """Classify the contexts of a scope, and say what was run: the scope, its size, its distinct contexts, the reports.
+
+    A run without ``build`` writes reports only. With it, the tag table replaces the one in ``folder`` and the tagged view is
+    defined over all points, where those outside the scope are untagged. Reports come with a run unless it builds the
+    whole store, or as asked. The store is read once for table and reports together.
+    """
+    scope = stage_scope(points, entity=entity, canonical=canonical)
+    try:
+        tags = context_tags(scope.points)
+        if build:
+            tags = replace_table(tags, f"{folder}/{TAG_TABLE}")
+            create_view(tag_points_by_lookup(points, tags), view)
+        wants = report if report is not None else not (build and entity is None)
+        names = write_reports(scope, f"{folder}/reports", wanted, {"tags": tag_reports}) if wants else []
+        return scope.told() | {"built": build, "n_contexts": tags.count(), "reports": names}
     finally:
         scope.release()
