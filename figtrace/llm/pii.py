@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figtrace.llm.texts import LOWER, from_texts, plain_words, staged
-from figtrace.llm.word_counts import Hashes, word_counts
+from figtrace.llm.texts import LOWER, from_texts, plain_words, release, staged
+from figtrace.llm.word_counts import Hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = KINDS.index("term")
@@ -21,7 +21,8 @@ _LOCAL = string.ascii_letters + string.digits + "._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
 _NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 PATTERNS = (re.compile(r"[0-9](?:[\x20-]?[0-9])++"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"))
-SMOOTH = 2  # documents without any evidence that every word is given when what it discloses is estimated
+SMOOTH = 2  # texts without any evidence that every word is given when what it discloses is estimated
+LEAST = 0.5  # part of a word's texts, these included, that must have the entity
 BITS = 1 << 24  # of the table that drops most of the words that disclose nothing before the join
 GENERALISE, REMOVE = 0.9, 0.98  # parts of the entity's information that a word may disclose
 
@@ -113,11 +114,12 @@ def find(docs: DataFrame, *, text: str = "text", keep: Sequence[str] | None = No
     """``docs`` with ``spans``: array of (kind, start, end, removed) in code points, kinds numbered as ``KINDS``.
 
     Pattern spans always stay. A word is a span of kind term, wherever it stands in any text, when it discloses
-    an entity: the corpus tells in how many documents it occurs with the entity, c(e, t), and at all, c(t). With
-    c(e, t) / c(t) smoothed by ``SMOOTH`` documents in which e is as likely as anywhere, p(e), PMI =
+    an entity: the corpus tells in how many distinct texts it occurs with the entity, c(e, t), and at all, c(t). With
+    c(e, t) / c(t) smoothed by ``SMOOTH`` texts in which e is as likely as anywhere, p(e), PMI =
     log(c(e, t) / c(t) / p(e)) over the entity's information log(1 / p(e)) is the part disclosed; from
-    ``GENERALISE`` on the word is to be generalised, from ``REMOVE`` on to be removed (``removed``). A null or
-    empty text has no spans. Rows stay as they are, repeated ones too.
+    ``GENERALISE`` on the word is to be generalised, from ``REMOVE`` on to be removed (``removed``). Besides, c(e, t)
+    must be ``LEAST`` of c(t) + ``SMOOTH``, so that one text alone, or copies of one, disclose nothing however large
+    the corpus is. A null or empty text has no spans. Rows stay as they are, repeated ones too.
     """
     keep = docs.columns if keep is None else list(keep)
     telling = staged(_telling(docs, text), "telling")
@@ -160,46 +162,80 @@ def find(docs: DataFrame, *, text: str = "text", keep: Sequence[str] | None = No
 
 
 def _telling(docs: DataFrame, text: str) -> DataFrame:
-    """Words that disclose an entity, by hash, and the largest part of one that each discloses: term, part."""
+    """Words that disclose an entity, by hash, and the largest part of one that each discloses: term, part.
+
+    All counts are of distinct texts. Words are first counted in the texts with entities alone: what is then still
+    bound to one entity is counted in all texts.
+    """
 
     def make():
         def compute(texts):
-            met, terms = [], []
+            met, terms, said = [], [], []
             for t in texts:
                 found = entities(t)
                 whole = t.decode("utf-8") if found else ""
                 met.append(list({_key(KINDS[k], whole[a:b].lower()) for k, a, b in found}))
                 words = {whole[a:b] for a, b in others(whole, found)} if found else set()
                 terms.append(list({_word_hash(w.encode()) for w in words}))
-            return met, terms
+                said.append(_text_hash(t))
+            return met, terms, said
 
         return compute
 
-    numbered = docs.select(F.col(text).alias("_text"), F.monotonically_increasing_id().alias("row"))
-    found = from_texts(numbered, "met array<long>, terms array<long>", make, text="_text", keep=["row"])
-    found = staged(found.where(F.size("met") > 0), "disclosing")
-    counted = staged(word_counts(docs, split=lambda t: list(set(plain_words(t))), text=text), "term_counts")
-    words = counted.select(F.col("h").alias("term"), F.col("n").alias("_t"))
-    total = F.lit(float(docs.count() + 1))
-    in_row = found.select("row", F.explode("met").alias("entity"))
-    often = in_row.groupBy(F.col("entity").alias("_entity")).agg(F.count(F.lit(1)).alias("_e"))
-    # Entities of one document only are all alike there: one stands for all of them.
-    alike = F.when(F.col("_e") == 1, F.xxhash64("row")).otherwise(F.col("entity"))
-    of_row = in_row.join(often, F.col("entity") == F.col("_entity")).select(F.col("row").alias("_row"), alike.alias("entity"), "_e").distinct()
-
-    def part(together):
-        p = F.col("_e") / total
-        return 1 + F.log((together + SMOOTH * p) / (F.col("_t") + SMOOTH)) / F.log(1 / p)
-
-    # Words too frequent to disclose the entity even if they stood in all of its documents make no pair.
-    pairs = found.select("row", F.explode("terms").alias("term")).join(words, "term").join(
-        of_row, (F.col("row") == F.col("_row")) & (part(F.least("_e", "_t")) >= GENERALISE)
-    )
-    joined = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_et"), F.first("_e").alias("_e"), F.first("_t").alias("_t"))
-    parts = joined.select("term", part(F.col("_et")).alias("part")).where(F.col("part") >= GENERALISE)
+    found = from_texts(docs.select(F.col(text).alias("_text")), "met array<long>, terms array<long>, said long", make, text="_text", keep=[])
+    found = staged(found.where(F.size("met") > 0).dropDuplicates(["said"]), "disclosing")
+    in_text = found.select("said", F.explode("met").alias("entity"))
+    # What one text alone says of an entity tells nothing of its words.
+    often = in_text.groupBy("entity").agg(F.count(F.lit(1)).alias("_e")).where("_e > 1")
+    of_text = in_text.join(often, "entity").select(F.col("said").alias("_said"), "entity", "_e")
+    words = found.select("said", F.explode("terms").alias("term"))
+    seen = words.groupBy("term").agg(F.count(F.lit(1)).alias("_t")).where("_t > 1")
+    # A word met in more texts than it may be, if each of the entity's texts had it, makes no pair.
+    pairs = words.join(seen, "term").join(of_text, (F.col("said") == F.col("_said")) & _bound(F.least("_e", "_t"), F.col("_t")))
+    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_et"), F.any_value("_e").alias("_e"), F.any_value("_t").alias("_t"))
+    likely = staged(together.where(_bound(F.col("_et"), F.col("_t"))).select("entity", "term", "_et", "_e"), "likely")
+    release(found)
+
+    counted = _texts_of(docs, text, likely)
+    total = (counted.where("term IS NULL").select("n").first() or [0])[0]
+    p = F.col("_e") / F.lit(float(total + 1))
+    part = 1 + F.log((F.col("_et") + SMOOTH * p) / (F.col("n") + SMOOTH)) / F.log(1 / p)
+    parts = likely.join(counted.withColumnRenamed("term", "_term"), F.col("term") == F.col("_term"))
+    parts = parts.where(_bound(F.col("_et"), F.col("n"))).select("term", part.alias("part")).where(F.col("part") >= GENERALISE)
     return parts.groupBy("term").agg(F.max("part").alias("part"))
 
 
+def _bound(together: Column, texts: Column) -> Column:
+    """Whether a word is rather met with the entity than without, given ``SMOOTH`` texts in which it is not."""
+    return together >= LEAST * (texts + SMOOTH)
+
+
+def _texts_of(docs: DataFrame, text: str, likely: DataFrame) -> DataFrame:
+    """(term, n): in how many distinct texts the likely terms stand, and, for the term NULL, how many there are."""
+    sent = docs.sparkSession.sparkContext.broadcast(_bits(likely.select("term").distinct()))
+
+    def make():
+        bits, hashes = sent.value, Hashes()
+
+        def compute(texts):
+            said, terms = [], []
+            for t in texts:
+                h = np.unique(hashes.of(plain_words(t)))
+                said.append(_text_hash(t))
+                terms.append([None, *h[bits[h & (BITS - 1)]].tolist()])
+            return said, terms
+
+        return compute
+
+    met = from_texts(docs.select(F.col(text).alias("_text")), "said long, terms array<long>", make, text="_text", keep=[])
+    each = met.select("said", F.explode("terms").alias("term")).distinct()
+    return staged(each.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "text_counts")
+
+
+def _text_hash(text: bytes | None) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(text or b""), "little", signed=True)
+
+
 def _bits(telling: DataFrame) -> np.ndarray:
     """Which last bits of a hash any of the words has."""
     bits = np.zeros(BITS, dtype=bool)

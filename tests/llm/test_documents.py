@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from figtrace.llm import decontaminate, minhash, pii, quality, toxicity
 from figtrace.llm.components import components
 from figtrace.llm.queries import QUERIES
-from tests.llm.conftest import EXTRA, SAID, SF, plain, rows, spaced
+from tests.llm.conftest import EXTRA, SAID, SF, lower, plain, rows, spaced
 
 MORE = "/root/testdata/sf0.01"
 
@@ -317,11 +318,59 @@ def test_words_that_disclose(spark, odd, none):
 def test_disclosing_words_go_everywhere(spark):
     """Far from the entity, and in a text without it; a word inside an entity stays part of that."""
     far = "the common words go on here " * 40
-    said = [(i, f"write to a.b@mail.example.com {far} said zorblat") for i in range(8)] + [(50, f"{far} and Zorblat again")]
-    docs = spark.createDataFrame(said + [(100 + i, far + "said and write to again") for i in range(3000)], "doc_id long, text string")
+    said = [(i, f"write to a.b@mail.example.com {far} said zorblat n{i}") for i in range(8)] + [(50, f"{far} and Zorblat again")]
+    docs = spark.createDataFrame(said + [(100 + i, far + f"said and write to again k{i}") for i in range(3000)], "doc_id long, text string")
     cleaned = {r["doc_id"]: r["text"] for r in pii.clean(docs).collect()}
     assert not any("zorblat" in t.lower() for t in cleaned.values())
-    assert cleaned[0].startswith("write to [EMAIL] the common") and cleaned[100] == far + "said and write to again"
+    assert cleaned[0].startswith("write to [EMAIL] the common") and cleaned[100] == far + "said and write to again k0"
+
+
+def plain_terms(texts):
+    """Hidden words of distinct texts, by counting every pair of an entity and a word."""
+    held = {t: ({(k, t[a:b].lower()) for k, a, b in plain_spans(t)}, plain_spans(t)) for t in set(texts)}
+    words = {}
+    for t, (_, spans) in held.items():
+        inside = {i for _, a, b in spans for i in range(a, b)}
+        found = [(m.span(), lower(m.group())) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)]
+        words[t] = {w for (a, b), w in found if not inside & set(range(a, b))} if spans else set()
+    every = {t: set(plain(t)) for t in held}
+    total, out = len(held) + 1, set()
+    for e in set().union(*(es for es, _ in held.values())):
+        of = [t for t, (es, _) in held.items() if e in es]
+        for w in set().union(*(words[t] for t in of)):
+            both, at_all = sum(w in words[t] for t in of), sum(w in ws for ws in every.values())
+            p = len(of) / total
+            part = 1 + math.log((both + pii.SMOOTH * p) / (at_all + pii.SMOOTH)) / math.log(1 / p)
+            if both > 1 and both >= pii.LEAST * (at_all + pii.SMOOTH) and part >= pii.GENERALISE:
+                out.add(w)
+    return out
+
+
+def hidden_words(texts, rows):
+    return {lower(texts[r["doc_id"]][s["start"] : s["end"]]) for r in rows for s in r["spans"] if s["kind"] == pii.TERM}
+
+
+def test_terms_are_those_of_all_pairs(spark):
+    """Whatever is counted; copies of texts change nothing, and copies alone hide nothing."""
+    draw = random.Random(12)
+    mails = [f"m{i}@ex.org" for i in range(12)]
+    names = {m: [f"name{i}x{k}" for k in range(3)] for i, m in enumerate(mails)}
+    texts = []
+    for i in range(400):
+        said = draw.choices([f"w{k}" for k in range(300)], k=30)
+        if i % 4 == 0:
+            for m in draw.sample(mails, 1 + i % 2):
+                said += [m, *draw.sample(names[m], 2)]
+        if i % 17 == 0:
+            said.append(draw.choice(names[draw.choice(mails)]))
+        draw.shuffle(said)
+        texts.append(" ".join(said))
+    lone = "only here stands quixotal by someone@else.net and nowhere else"
+    for times in (1, 3):
+        all_texts = texts * times + [lone] * 3
+        df = spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string").repartition(5)
+        got = hidden_words(dict(enumerate(all_texts)), pii.find(df).collect())
+        assert got == plain_terms(all_texts) and len(got) > 5 and "quixotal" not in got
 
 
 def test_words_around_entities_are_whole():
