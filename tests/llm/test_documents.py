@@ -99,6 +99,44 @@ def test_sparse_sites_shrink(spark):
     assert rate["b"] < 0.2 < rate["c"] < overall < rate["d"] < rate["a"]
 
 
+def test_words_tell_quality(spark):
+    """Texts of one shape, that only their words tell apart."""
+    draw = random.Random(4)
+    neutral, good, bad = ([f"{c}{i:03}" for i in range(80)] for c in "ngb")
+    texts = [(i, " ".join(draw.choices(neutral, k=30) + draw.choices(good if i % 2 else bad, k=3)), "h") for i in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, host string")
+    got = quality.score(docs, labels_of(spark, [(i, 0, i % 2) for i in range(400)]), host=F.col("host"), path=F.col("host"), keep=["doc_id"])
+    held = {r["doc_id"]: r["classifier"] for r in got.collect() if r["doc_id"] >= 400}
+    assert auc(np.array(list(held.values())), np.array([i % 2 for i in held])) > 0.95
+
+
+def test_rates_and_scores_are_those_of_the_formula(spark):
+    """Shrinkage by the method of moments, and scores that leave the document itself out."""
+    draw = random.Random(5)
+    docs = [(i, "words of prose " + " ".join(draw.choices("abcdefgh", k=6)), f"h{i % 7}", f"p{i % 3}") for i in range(300)]
+    labels = [(i, 0, int(draw.random() < 0.2 + 0.1 * (i % 7))) for i in range(250)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, host string, path string")
+    got = [r.asDict() for r in quality.score(frame, labels_of(spark, labels), host=F.col("host"), path=F.col("path"), keep=["doc_id", "host", "path"]).collect()]
+    label = {i: y for i, _, y in labels}
+    own = {r["doc_id"]: float(label.get(r["doc_id"], r["classifier"])) for r in got}
+    of = {(h, p): [r["doc_id"] for r in got if (r["host"], r["path"]) == (h, p)] for h, p in {(r["host"], r["path"]) for r in got}}
+    at = {h: [i for (g, _), ids in of.items() if g == h for i in ids] for h in {h for h, _ in of}}
+    n, k = len(own), sum(own.values())
+    overall, total = k / n, lambda ids: sum(own[i] for i in ids)
+    weight = lambda groups, spread: (lambda beyond: min(max(overall * (1 - overall) / beyond, 1.0), 1e6) if beyond > 0 else 1e6)((spread - (groups - 1) * overall * (1 - overall)) / n)
+    hw = weight(len(at), sum(total(ids) ** 2 / len(ids) for ids in at.values()) - n * overall**2)
+    pw = weight(max(1, len(of) - len(at) + 1), sum(len(ids) * (total(ids) / len(ids) - total(at[h]) / len(at[h])) ** 2 for (h, _), ids in of.items()))
+    logit = lambda p: math.log(max(p, 1e-9) / max(1 - p, 1e-9))
+    for r in got:
+        h, ids, mine = at[r["host"]], of[r["host"], r["path"]], own[r["doc_id"]]
+        host = (total(h) + hw * overall) / (len(h) + hw)
+        assert r["host_rate"] == pytest.approx(host) and r["path_rate"] == pytest.approx((total(ids) + pw * host) / (len(ids) + pw))
+        host = (total(h) - mine + hw * overall) / (len(h) - 1 + hw)
+        rate = (total(ids) - mine + pw * host) / (len(ids) - 1 + pw)
+        score = 1 / (1 + math.exp(logit(overall) - logit(r["classifier"]) - logit(rate)))
+        assert r["score"] == pytest.approx(score) and r["kept"] == (r["score"] >= 0.5)
+
+
 # Near copies
 
 
