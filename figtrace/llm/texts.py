@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 
@@ -106,6 +108,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return held
 
 
+def give_back() -> None:
+    """Return memory that was freed to the system. A driver or a worker that lives on would keep it otherwise, and with
+    it what its largest step so far has taken."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more; frames that were not staged stay as they are."""
     for df in frames:

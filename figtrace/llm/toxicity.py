@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from figtrace.llm.fitting import log_loss, logistic, probability
-from figtrace.llm.texts import from_texts, plain_words, staged
+from figtrace.llm.texts import from_texts, give_back, plain_words, release, staged
 from figtrace.llm.word_counts import Hashes
 
 # Labelled documents a model is fitted on at most: those with the least hash of their id.
@@ -129,6 +129,8 @@ def train(
     for i in range(len(DISCOUNTS)):
         ratios, mass = _ratios(evident, total, i)
         models.append((ratios, _after(after, mass, total, i)))
+    del evident, after, mass
+    give_back()
     sent = spark.sparkContext.broadcast(models)
     probes = labelled.where(calibrates).select("_y", F.col("_text"))
     names = [f"{n}{i}" for i in range(len(models)) for n in ("m", "p")]
@@ -150,6 +152,9 @@ def train(
         loss = log_loss(probability(x @ w[:-1] + w[-1]), y) if len(y) else np.inf
         if loss < best[0]:
             best = (loss, m, tuple(w))
+    del models
+    release(chosen, pairs, counts)
+    give_back()
     return Model(best[1][0], best[2], best[1][1])
 
 
