@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from figtrace.llm import decontaminate, minhash, packing, pii, toxicity
 from figtrace.llm.queries import END, LIMIT, vocabulary
-from figtrace.llm.texts import fold, read, staged
+from figtrace.llm.texts import fold, read, release, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -104,5 +104,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        release(before)  # a stage stands on its own once it is written
     return STAGES[-1][1](spark, docs, sf_dir)
