@@ -20,6 +20,10 @@ RECOMMENDED = {
 }
 
 
+# Where local sessions without a shared folder stage, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def build_session(app: str = "figtrace", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -32,13 +36,13 @@ def build_session(app: str = "figtrace", master: str | None = None, **conf: str)
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written intermediate, in the shared folder of ``spark.checkpoint.dir``.
 
-    Where that is unset a local session stages under the temporary folder; a cluster session is
-    refused, because its executors do not share one.
+    Where that is unset a local session, as in tests, stages under a temporary folder of its own and the session's
+    settings stay as they are; a cluster session is refused, because its executors do not share one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise SourceError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="figtrace-")
-        spark.sparkContext.setCheckpointDir(root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL[app] = _LOCAL.get(app) or tempfile.mkdtemp(prefix="figtrace-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

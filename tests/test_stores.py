@@ -159,3 +159,14 @@ def test_staged_intermediates_can_be_released(spark):
     TB.release(held)
     with pytest.raises(PySparkException):
         spark.read.parquet(held._staged).count()
+
+
+def test_staging_leaves_the_session_as_it_is(spark):
+    from figtrace.session import staging_path
+
+    before = spark.sparkContext.getCheckpointDir(), spark.conf.get("spark.checkpoint.dir", None)
+    a, b = staging_path(spark, "x"), staging_path(spark, "x")
+    assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
+    assert (spark.sparkContext.getCheckpointDir(), spark.conf.get("spark.checkpoint.dir", None)) == before
+    if all(x is None for x in before):
+        assert "figtrace-" in a
