@@ -125,40 +125,48 @@ def train(
     after = pairs.where(F.greatest("c0", "c1") > min(DISCOUNTS)).join(heads, "before").join(per_word.select("word", both.alias("both")), "word")
     after = after.select("h", "word", *[F.col(c).cast("float").alias(c) for c in ("c0", "c1", "v0", "v1", "both", *[f"s{i}" for i in range(len(DISCOUNTS))])]).toArrow()
 
-    models = []
+    # One model after the other, so that the driver holds the best one and the next.
+    probes = staged(labelled.where(calibrates).select("_y", F.col("_text")), "probes")
+    held = {level: _listed(evident, level) for level in (*STEMS, WORD)}
+    del evident
+    best = None
     for i in range(len(DISCOUNTS)):
-        ratios, mass = _ratios(evident, total, i)
-        models.append((ratios, _after(after, mass, total, i)))
-    del evident, after, mass
+        ratios, mass = _ratios(held, total, i)
+        model = ratios, _after(after, mass, total, i)
+        del ratios, mass
+        seen = _probed(probes, model)
+        x, y = seen[:, 1:], seen[:, 0]
+        w = logistic(x, y)
+        loss = log_loss(probability(x @ w[:-1] + w[-1]), y) if len(y) else np.inf
+        if best is None or loss < best[0]:
+            best = loss, model, tuple(w) if len(y) else (1.0, 4.0, -8.0)
+        del model
+        give_back()
+    del held, after
+    release(chosen, pairs, counts, probes)
     give_back()
-    sent = spark.sparkContext.broadcast(models)
-    probes = labelled.where(calibrates).select("_y", F.col("_text"))
-    names = [f"{n}{i}" for i in range(len(models)) for n in ("m", "p")]
+    return Model(best[1][0], best[2], best[1][1])
+
+
+def _probed(probes: DataFrame, model: tuple) -> np.ndarray:
+    """The labels of the calibration documents and their features under a model."""
+    sent = probes.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        hashes = Hashes()
-        tables = [_Ratio(*m, hashes) for m in sent.value]
-        return lambda texts: [list(c) for c in zip(*[[v for t in tables for v in features(t, x)] for x in texts])]
+        table = _Ratio(*sent.value, Hashes())
+        return lambda texts: [list(c) for c in zip(*[features(table, t) for t in texts])]
 
-    seen = np.array(
-        from_texts(probes, ", ".join(f"{n} double" for n in names), make, text="_text", keep=["_y"]).collect(), dtype=float
-    ).reshape(-1, 1 + len(names))
+    found = from_texts(probes, "m double, p double", make, text="_text", keep=["_y"]).collect()
     sent.destroy()
-    y = seen[:, 0]
-    best = (np.inf, models[0], (1.0, 4.0, -8.0))
-    for i, m in enumerate(models):
-        x = seen[:, 1 + 2 * i : 3 + 2 * i]
-        w = logistic(x, y)
-        loss = log_loss(probability(x @ w[:-1] + w[-1]), y) if len(y) else np.inf
-        if loss < best[0]:
-            best = (loss, m, tuple(w))
-    del models
-    release(chosen, pairs, counts)
-    give_back()
-    return Model(best[1][0], best[2], best[1][1])
+    return np.array(found, dtype=float).reshape(-1, 3)
+
+
+def _listed(evident: pa.Table, level: int) -> tuple[list[bytes], list[int], list[int]]:
+    own = evident.filter(pc.equal(evident["level"], level))
+    return tuple(own[c].to_pylist() for c in ("key", "c0", "c1"))
 
 
-def _ratios(evident: pa.Table, total: dict, which: int) -> tuple[dict[int, dict[bytes, float]], dict]:
+def _ratios(evident: dict[int, tuple], total: dict, which: int) -> tuple[dict[int, dict[bytes, float]], dict]:
     """The ratios under one discount, level by level from the shortest stem up to the word; the probabilities."""
     d = DISCOUNTS[which]
     n0, n1 = map(float, total[WORD][:2])
@@ -170,8 +178,7 @@ def _ratios(evident: pa.Table, total: dict, which: int) -> tuple[dict[int, dict[
         below = [(k, held) for k, held in reversed(mass.items())]
         share = total[level][2 + which]
         at, known = {}, {}
-        own = evident.filter(pc.equal(evident["level"], level))
-        for key, c0, c1 in zip(own["key"].to_pylist(), own["c0"].to_pylist(), own["c1"].to_pylist()):
+        for key, c0, c1 in zip(*evident[level]):
             if max(c0, c1) <= d:
                 continue
             p0, p1, both = next((held[key[:k]] for k, held in below if len(key) >= k and key[:k] in held), (1.0, 1.0, n0 + n1))
