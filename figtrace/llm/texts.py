@@ -80,6 +80,9 @@ def from_texts(
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:n], *arrays], schema=pa.schema([*list(batch.schema)[:n], *fields])
             )
+        # The worker goes on to other tasks, of other stages too.
+        del compute
+        give_back(collect=False)
 
     return source.mapInArrow(run, out)
 
@@ -108,10 +111,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return held
 
 
-def give_back() -> None:
+def give_back(*, collect: bool = True) -> None:
     """Return memory that was freed to the system. A driver or a worker that lives on would keep it otherwise, and with
     it what its largest step so far has taken."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
