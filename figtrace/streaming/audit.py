@@ -21,6 +21,8 @@ from figtrace.sources.tables import delete_path, file_system, read_text, write_t
 
 # How folders of compacted batches begin, and the file in them that lists what they replace; Spark passes over it.
 COMPACTED, COVERS = "batch=compacted-", "_covers"
+# A day that holds more bytes than this is compressed when it is compacted.
+LARGE_DAY = 64 << 20
 
 FILTERS = T.MapType(T.StringType(), T.StringType())
 ENTRY = T.StructType(
@@ -96,10 +98,16 @@ def audit_entries(calls: DataFrame, context: AuditContext) -> DataFrame:
 def append_audit(calls: DataFrame, context: AuditContext, folder: str, batch: str | None = None) -> None:
     """Append a batch of calls to the trail, as JSON lines in one folder per UTC day and batch.
 
-    A batch that is written again under its name replaces what it wrote, so it counts once. A day's entries are
-    gathered into few files first; a day that holds most of them is still written by many tasks.
+    A batch that is written again under its name replaces what it wrote, so it counts once; days on which it was
+    compacted are left out, as readers pass over it there. A day's entries are gathered into few files first; a day that
+    holds most of them is still written by many tasks.
     """
-    _write(audit_entries(calls, context), folder, batch or uuid.uuid4().hex)
+    entries = audit_entries(calls, context)
+    if batch:
+        covered = _covered(entries.sparkSession, folder)
+        done = [day.removeprefix("day=") for day, names in covered.items() if f"batch={batch}" in names and "__" not in day]
+        entries = entries.where(F.coalesce(~F.col("day").cast("string").isin(done), F.lit(True))) if done else entries
+    _write(entries, folder, batch or uuid.uuid4().hex)
 
 
 def _write(entries: DataFrame, folder: str, batch: str) -> None:
@@ -139,6 +147,7 @@ def read_audit(spark: SparkSession, folder: str) -> DataFrame:
 def compact_audit(spark: SparkSession, folder: str, before: str | None = None) -> list[str]:
     """Rewrite each day (before a day, ``YYYY-MM-DD``) that has several batches as one, in few files; the days done.
 
+    Days of more than ``LARGE_DAY`` bytes become gzip files of the same lines.
     The new batch names those it replaces and appears by one rename; from then on readers pass over them, and over a
     replay of one of them. ``expire_audit`` deletes them once no reader is left.
     """
@@ -147,11 +156,15 @@ def compact_audit(spark: SparkSession, folder: str, before: str | None = None) -
     todo = {d: held for d, held in _batches(spark, folder).items() if len(held) > 1 and (before is None or d < f"day={before}")}
     if not todo:
         return []
-    paths = [f"{folder}/{d}/{b}" for d, held in todo.items() for b in held]
-    entries = spark.read.schema(ENTRY).option("basePath", folder).json(paths).drop("batch")
     name = f"{COMPACTED}{uuid.uuid4().hex}"
     aside = f"{folder}/_aside/{name}"
-    entries.hint("rebalance", "day").write.partitionBy("day").option("ignoreNullFields", "false").json(aside)
+    large = {d for d, held in todo.items() if sum(fs.getContentSummary(at(f"{folder}/{d}/{b}")).getLength() for b in held) > LARGE_DAY}
+    for days, codec in ((todo.keys() - large, "none"), (large, "gzip")):
+        paths = [f"{folder}/{d}/{b}" for d in sorted(days) for b in todo[d]]
+        if paths:
+            entries = spark.read.schema(ENTRY).option("basePath", folder).json(paths).drop("batch")
+            writer = entries.hint("rebalance", "day").write.mode("append").partitionBy("day").option("ignoreNullFields", "false")
+            writer.option("compression", codec).json(aside)
     for day, held in todo.items():
         fs.mkdirs(at(f"{aside}/{day}"))  # a day without entries has no folder yet
         write_text(spark, f"{aside}/{day}/{COVERS}", json.dumps(held))
@@ -180,12 +193,15 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in names if "=" in n)
 
 
+def _covered(spark: SparkSession, folder: str) -> dict[str, set[str]]:
+    """The batches of every day that a compacted one covers."""
+    covered = {}
+    for day in _folders(spark, folder):
+        covers = (read_text(spark, f"{folder}/{day}/{b}/{COVERS}") for b in _folders(spark, f"{folder}/{day}") if b.startswith(COMPACTED))
+        covered[day] = {b for text in covers if text for b in json.loads(text)}
+    return covered
+
+
 def _batches(spark: SparkSession, folder: str) -> dict[str, list[str]]:
     """The folders of every day that count: all but those a compacted one covers."""
-    held = {}
-    for day in _folders(spark, folder):
-        batches = _folders(spark, f"{folder}/{day}")
-        covers = (read_text(spark, f"{folder}/{day}/{b}/{COVERS}") for b in batches if b.startswith(COMPACTED))
-        covered = {b for text in covers if text for b in json.loads(text)}
-        held[day] = [b for b in batches if b not in covered]
-    return held
+    return {day: [b for b in _folders(spark, f"{folder}/{day}") if b not in names] for day, names in _covered(spark, folder).items()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from figtrace.functions.redact import REDACTED, redact
+from figtrace.streaming import audit
 from figtrace.streaming.audit import ENTRY, AuditContext, append_audit, compact_audit, expire_audit, read_audit, stream_audit
 
 CONTEXT = AuditContext("explicit", "/store", "1", "host", 7)
@@ -109,3 +110,29 @@ def test_two_streams_do_not_replace_each_other(spark, tmp_path):
     for checkpoint in ("one", "two"):
         stream_audit(stream, CONTEXT, folder, str(tmp_path / checkpoint)).awaitTermination(60)
     assert read_audit(spark, folder).count() == 2 * _calls(spark).count()
+
+
+def test_a_compacted_batch_is_not_written_again(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    for name in ("b0", "b1"):
+        append_audit(_calls(spark), CONTEXT, folder, name)
+    want = sorted(map(str, read_audit(spark, folder).collect()))
+    compact_audit(spark, folder, before="2024-01-02")
+    expire_audit(spark, folder)
+    append_audit(_calls(spark), CONTEXT, folder, "b1")
+    assert sorted(map(str, read_audit(spark, folder).collect())) == want
+    assert [d.name for d in (tmp_path / "log").glob("day=*/batch=b1")] == ["batch=b1"]  # of the day that was not compacted
+
+
+def test_large_days_are_compressed_when_compacted(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "log")
+    more = _calls(spark).unionAll(_calls(spark).limit(1).withColumn("user", F.lit("x" * 5000)))
+    for name in ("b0", "b1"):
+        append_audit(more, CONTEXT, folder, name)
+    want = sorted(map(str, read_audit(spark, folder).collect()))
+    monkeypatch.setattr(audit, "LARGE_DAY", 5000)
+    assert sorted(compact_audit(spark, folder)) == ["2024-01-01", "2024-01-02"]
+    expire_audit(spark, folder)
+    assert sorted(map(str, read_audit(spark, folder).collect())) == want
+    kinds = {f.parent.parent.name: f.name.split(".", 2)[2] for f in (tmp_path / "log").glob("day=*/batch=*/part-*")}
+    assert kinds == {"day=2024-01-01": "json.gz", "day=2024-01-02": "json"}
