@@ -421,7 +421,7 @@ def context_tag(spark: SparkSession, sf: str) -> DataFrame:
 
 def _tagged(spark: SparkSession, sf: str, *tags: str) -> DataFrame:
     """The tagged points, with only the tags that the question is about."""
-    return T.tag_points(I.points(spark, sf), tags=tags)
+    return T.tag_repeated_points(I.points(spark, sf), tags=tags)
 
 
 @query

@@ -2,12 +2,15 @@
 
 Everything is a row-local projection over built-in expressions, so tagging points needs no shuffle
 and cannot multiply them. ``context_tags`` gives the distinct classifications for inspection, and
-``tag_points_by_lookup`` joins them back where classifying each context once is cheaper.
+``tag_points_by_lookup`` joins them back where classifying each context once is cheaper;
+``tag_repeated_points`` finds out whether it is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ from figtrace.functions.text import trim_spaces
 from figtrace.plans.once import computed_once
 from figtrace.plans.skew import lookup_join
 from figtrace.sources.bucketed import KEY, BucketedTable, join_lookup, write_bucketed, write_lookup
+from figtrace.sources.tables import stage
 
 PARSED = ("sheet", "row_label", "cue", "tail", "unit_l")
 TAGS = (
@@ -26,6 +30,10 @@ TAGS = (
 )
 VETOED = ("metric_code_v2_raw", "magnitude_check")
 
+# Distinct contexts are classified once and sent to all tasks if they take so many bytes at most, with TAG_BYTES for the
+# tags of each, and points repeat them so often on average.
+LOOKUP_BYTES, TAG_BYTES, REPEATS = 64 << 20, 200, 4
+
 
 def parse_context(
     df: DataFrame, context: str = "context", location: str = "location", unit: str = "unit"
@@ -163,6 +171,10 @@ def context_tags(
     return computed_once(classify(located).select("context", "sheet", "unit_l", *tags), tags)
 
 
+# The tags that the veto reads.
+VETO_READS = ("metric_code_v2", "currency_v2", "price_basis", "band_lo", "band_hi")
+
+
 def _veto(df: DataFrame, tagged: Column, value: str) -> DataFrame:
     """Take the code from values outside the band; the claim stays in metric_code_v2_raw."""
     v = F.col(value)
@@ -205,6 +217,37 @@ def tag_points(
     return computed_once(df.select(*names, *asked), asked)
 
 
+def tag_repeated_points(
+    points: DataFrame,
+    context: str = "context",
+    location: str = "location",
+    unit: str = "unit",
+    value: str = "value_num",
+    *,
+    tags: Sequence[str] | None = None,
+) -> DataFrame:
+    """The same as ``tag_points``; where points repeat few contexts, these are classified once each instead of once a point.
+
+    One pass estimates how many distinct contexts there are and how long they get, which decides the route only. Few are
+    classified, written and sent to all tasks, so that no point is shuffled; otherwise this is ``tag_points``.
+    """
+    keys = _keys(context, location, unit)
+    keyed = points.select(*[c.alias(k) for k, c in keys.items()]).where("_context is not null and _sheet is not null")
+    size = reduce(add, [F.octet_length(k) for k in keys]) + TAG_BYTES
+    found = keyed.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(*keys)).alias("distinct"), F.max(size).alias("size")).first()
+    if found["distinct"] * REPEATS > found["n"] or found["distinct"] * (found["size"] or 0) > LOOKUP_BYTES:
+        return tag_points(points, context, location, unit, value, tags=tags)
+    names = points.columns
+    asked = [t for t in (*TAGS, *VETOED) if tags is None or t in tags]
+    needed = [t for t in TAGS if t in asked or t in VETO_READS]
+    held = stage(context_tags(points, context, location, unit, tags=needed).where("context is not null and sheet is not null"), "tags")
+    lookup = held.select(
+        F.col("context").alias("_context"), F.col("sheet").alias("_sheet"), F.col("unit_l").alias("_unit"), *needed, F.lit(True).alias("_tagged")
+    )
+    joined = points.withColumns(keys).join(F.broadcast(lookup), list(keys), "left")
+    return _veto(joined, F.coalesce(F.col("_tagged"), F.lit(False)), value).select(*names, *asked)
+
+
 def tag_points_by_lookup(
     points: DataFrame,
     tags: DataFrame,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from checks.queries import QUERIES
 from figtrace.functions.dialect import java_pattern, matches
 from figtrace.operators import tag_reports as TR
 from figtrace.operators import tagging as T
@@ -44,6 +45,10 @@ def tags(points):
     return {r.point_id: r for r in T.tag_points(points).collect()}
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_every_row_survives(tags):
     assert sorted(tags) == sorted(r[0] for r in ROWS)
 
@@ -101,6 +106,27 @@ def test_lookup_gives_the_same_tags(points, tags):
     assert {r.point_id: r for r in looked_up.collect()} == tags
 
 
+@pytest.mark.parametrize("asked", [None, ["measure_noun", "measure_kind", "magnitude_check"], ["metric_code_v2", "label_source"], ["currency_v2"]])
+def test_repeated_contexts_give_the_same_tags(points, monkeypatch, asked):
+    often = points.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(9))))
+    want, got = T.tag_points(often, tags=asked), T.tag_repeated_points(often, tags=asked)
+    assert got.schema == want.schema and got.count() == 9 * len(ROWS)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    # No rule is left above the points; they are not shuffled, and contexts without end are not sent to tasks.
+    assert "penetration" not in plan_of(got) and "Exchange hash" not in plan_of(got) and "penetration" in plan_of(T.tag_repeated_points(points))
+    monkeypatch.setattr(T, "LOOKUP_BYTES", 1000)
+    assert "Broadcast" not in plan_of(T.tag_repeated_points(often, tags=asked))
+
+
+def test_repeated_contexts_of_no_points(points):
+    assert T.tag_repeated_points(points.limit(0)).collect() == []
+
+
+def test_claims_classify_each_context_once(spark):
+    """Five points a context: the rules ran on each of them before."""
+    assert "penetration" not in plan_of(QUERIES["tag_claims"](spark, "/root/testdata/sf0.1"))
+
+
 def test_filters_over_tags_stay_small(points):
     tagged = T.tag_points(points).where("metric_code_v2 = 'rev_nonaero' and magnitude_check = 'ok' and year = 2016")
     assert tagged.count() == 1
