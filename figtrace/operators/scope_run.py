@@ -1,4 +1,4 @@
-"""All reports on one scope of a store, from one pass over it.
+"""All reports on one scope of a store, from one pass over its figures.
 
 A scope is one entity's points, or the whole store's, with or without the copies of documents. It is pruned to what
 the reports read, tagged and written once; every report reads what was written, and it is deleted afterwards.
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from figtrace.operators import profile as P
 from figtrace.operators import tag_reports as TR
 from figtrace.operators.builds import TAG_TABLE, TAGGED_VIEW
-from figtrace.operators.tagging import context_tags, in_scope, tag_points, tag_points_by_lookup
+from figtrace.operators.tagging import context_tags, in_scope, tag_points_by_lookup, tag_repeated_points
 from figtrace.sources.tables import create_view, release, replace_table, stage, write_tsv
 
 # What the reports read of a point, and which of its tags.
@@ -42,11 +42,16 @@ class Scope:
 
 
 def stage_scope(points: DataFrame, *, entity: str | None = None, canonical: DataFrame | None = None) -> Scope:
-    """Tag and write a scope in one pass over the store, which also counts it."""
+    """Tag and write a scope in one pass over the store, which also counts it; before, its contexts are read, and
+    classified if points repeat them, whether or not they are those of copies."""
     seen = Observation()
     kept = in_scope(points, entity, canonical).select(*[c for c in COLUMNS if c in points.columns])
-    tagged = tag_points(kept, tags=REPORT_TAGS).observe(seen, F.count(F.lit(1)).alias("n"))
-    held = stage(tagged, "scope")
+    tagged = tag_repeated_points(kept, tags=REPORT_TAGS, among=in_scope(points, entity))
+    try:
+        held = stage(tagged.observe(seen, F.count(F.lit(1)).alias("n")), "scope")
+    finally:
+        if hasattr(tagged, "_staged"):
+            release(tagged)
     return Scope(held, seen.get["n"], entity, canonical is not None)
 
 
@@ -104,7 +109,7 @@ def run_scope(
 ) -> dict[str, object]:
     """Write every report of a scope as TSV below a folder, and say what was run: the scope, its size, the reports.
 
-    The store is read once, and nothing staged is left, also where a report fails.
+    Figures are read of the store once, and nothing staged is left, also where a report fails.
     """
     scope = stage_scope(points, entity=entity, canonical=canonical)
     try:
@@ -131,7 +136,7 @@ def tag_run(
 
     A run without ``build`` writes reports only. With it, the tag table replaces the one in ``folder`` and the tagged view is
     defined over all points, where those outside the scope are untagged. Reports come with a run unless it builds the
-    whole store, or as asked. The store is read once for table and reports together.
+    whole store, or as asked. Figures are read of the store once for table and reports together.
     """
     scope = stage_scope(points, entity=entity, canonical=canonical)
     try:

@@ -225,14 +225,17 @@ def tag_repeated_points(
     value: str = "value_num",
     *,
     tags: Sequence[str] | None = None,
+    among: DataFrame | None = None,
 ) -> DataFrame:
     """The same as ``tag_points``; where points repeat few contexts, these are classified once each instead of once a point.
 
     One pass estimates how many distinct contexts there are and how long they get, which decides the route only. Few are
-    classified, written and sent to all tasks, so that no point is shuffled; otherwise this is ``tag_points``.
+    classified, written and sent to all tasks, so that no point is shuffled; otherwise this is ``tag_points``. ``among`` is
+    a frame that holds the contexts of all points, if one takes less work to read. What was written can be released.
     """
     keys = _keys(context, location, unit)
-    keyed = points.select(*[c.alias(k) for k, c in keys.items()]).where("_context is not null and _sheet is not null")
+    among = points if among is None else among
+    keyed = among.select(*[c.alias(k) for k, c in keys.items()]).where("_context is not null and _sheet is not null")
     size = reduce(add, [F.octet_length(k) for k in keys]) + TAG_BYTES
     found = keyed.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(*keys)).alias("distinct"), F.max(size).alias("size")).first()
     if found["distinct"] * REPEATS > found["n"] or found["distinct"] * (found["size"] or 0) > LOOKUP_BYTES:
@@ -240,12 +243,14 @@ def tag_repeated_points(
     names = points.columns
     asked = [t for t in (*TAGS, *VETOED) if tags is None or t in tags]
     needed = [t for t in TAGS if t in asked or t in VETO_READS]
-    held = stage(context_tags(points, context, location, unit, tags=needed).where("context is not null and sheet is not null"), "tags")
+    held = stage(context_tags(among, context, location, unit, tags=needed).where("context is not null and sheet is not null"), "tags")
     lookup = held.select(
         F.col("context").alias("_context"), F.col("sheet").alias("_sheet"), F.col("unit_l").alias("_unit"), *needed, F.lit(True).alias("_tagged")
     )
     joined = points.withColumns(keys).join(F.broadcast(lookup), list(keys), "left")
-    return _veto(joined, F.coalesce(F.col("_tagged"), F.lit(False)), value).select(*names, *asked)
+    tagged = _veto(joined, F.coalesce(F.col("_tagged"), F.lit(False)), value).select(*names, *asked)
+    tagged._staged = held._staged
+    return tagged
 
 
 def tag_points_by_lookup(

@@ -50,6 +50,22 @@ def test_reports_equal_those_over_the_store(spark, store):
     scope.release()
 
 
+def test_a_scope_classifies_repeated_contexts_once(spark, store, monkeypatch):
+    """Rules ran on each point of a scope before; what is written for it goes with the staging."""
+    points, canonical = store
+    often = points.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(9))))
+    seen, tags = [], []
+    monkeypatch.setattr(SR, "stage", lambda df, name, keep=SR.stage: seen.append(df) or keep(df, name))
+    monkeypatch.setattr(T, "stage", lambda df, name, keep=T.stage: tags.append(keep(df, name)) or tags[-1])
+    scope = SR.stage_scope(often, entity="N7", canonical=canonical)
+    assert "penetration" not in seen[0]._jdf.queryExecution().executedPlan().toString() and len(tags) == 1
+    kept = T.tag_points(T.in_scope(often, "N7", canonical), tags=SR.REPORT_TAGS).select(scope.points.columns)
+    assert scope.n_points == kept.count() > 0 and scope.points.exceptAll(kept).count() == kept.exceptAll(scope.points).count() == 0
+    scope.release()
+    with pytest.raises(PySparkException):
+        spark.read.parquet(tags[0]._staged).count()
+
+
 def test_a_run_writes_reports_and_leaves_nothing(spark, store, tmp_path, monkeypatch):
     points, canonical = store
     staged = []
