@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from figtrace.llm.components import components
-from figtrace.llm.texts import from_texts, release, slices, staged, words
+from figtrace.llm.texts import bit_table, from_texts, release, slices, staged, words
 
 HASHES, ROWS = 125, 5  # 25 bands of 5: a pair of similarity 0.8 shares no band once in 20,000
 BATCH = 25  # hashes compared before each decision
@@ -234,11 +234,7 @@ def _rows_of(table: DataFrame, named: DataFrame) -> DataFrame:
     others before the join, which decides."""
     spark = table.sparkSession
     spots = named.select(F.explode(F.array(*[F.pmod(F.xxhash64("row", F.lit(k)), F.lit(BITS)) for k in (0, 1)])).alias("s"))
-    packed = spots.groupBy(F.shiftright("s", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("w"))
-    held = np.zeros(BITS // 64, dtype=np.int64)
-    for part in packed.toLocalIterator():
-        held[part["at"]] = part["w"]
-    sent = spark.sparkContext.broadcast(held.view(np.uint64))
+    sent = spark.sparkContext.broadcast(bit_table(spots, BITS))
     n = len(table.columns)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

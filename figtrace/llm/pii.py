@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figtrace.llm.texts import LOWER, from_texts, plain_words, release, staged
+from figtrace.llm.texts import LOWER, bit_table, from_texts, plain_words, release, staged
 from figtrace.llm.word_counts import Hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -238,10 +238,8 @@ def _text_hash(text: bytes | None) -> int:
 
 def _bits(telling: DataFrame) -> np.ndarray:
     """Which last bits of a hash any of the words has."""
-    bits = np.zeros(BITS, dtype=bool)
-    for r in telling.select(F.col("term").bitwiseAND(BITS - 1).alias("s")).distinct().toLocalIterator():
-        bits[r["s"]] = True
-    return bits
+    held = bit_table(telling.select(F.col("term").bitwiseAND(BITS - 1).alias("s")), BITS)
+    return np.unpackbits(held.view(np.uint8), bitorder="little").view(bool)
 
 
 def count(spans: Column, kind: str) -> Column:

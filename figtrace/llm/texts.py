@@ -135,6 +135,15 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def bit_table(spots: DataFrame, size: int) -> np.ndarray:
+    """A table of ``size`` bits in 64-bit words, in which those that the column ``s`` of ``spots`` names are set. It reaches the
+    driver as one small result, at most a row a word; partition by partition it would be a job each."""
+    words = spots.groupBy(F.shiftright("s", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("w")).toArrow()
+    held = np.zeros(size // 64, dtype=np.int64)
+    held[words["at"].to_numpy()] = words["w"].to_numpy()
+    return held.view(np.uint64)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions ``start, start + 1, ...`` of every range, one range after the other."""
     total = int(lengths.sum())

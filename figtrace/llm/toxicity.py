@@ -25,17 +25,27 @@ STEMS = (7, 6, 5, 4)
 WORD = 0
 DISCOUNTS = (1.0, 2.0, 4.0)
 WINDOW = 2
+# Pairs of words whose ratios are taken at a time.
+BLOCK = 1 << 17
 
 
 @dataclass
 class Model:
-    """Log-likelihood ratio, toxic over ordinary, of each expression with evidence, and of each word after the
-    one before, by hash; calibration weights."""
+    """Log-likelihood ratio, toxic over ordinary, of each expression with evidence, by level, and of each word
+    after the one before, by hash; calibration weights. Arrays, as the driver holds several models."""
 
-    ratios: dict[int, dict[bytes, float]]
+    expressions: dict[int, tuple[pa.Array, np.ndarray]]
     weights: tuple[float, ...] | None  # of document ratio, passage ratio, one; None: no examples of both
     pairs: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, np.int64), np.zeros(0, np.float32)))
 
+    @property
+    def ratios(self) -> dict[int, dict[bytes, float]]:
+        return _tables(self.expressions)
+
+
+def _tables(expressions: dict[int, tuple[pa.Array, np.ndarray]]) -> dict[int, dict[bytes, float]]:
+    return {level: dict(zip(keys.to_pylist(), known.tolist())) for level, (keys, known) in expressions.items()}
+
 
 class _Ratio(dict):
     """Word -> ratio of the longest of its expressions that has one."""
@@ -127,12 +137,18 @@ def train(
 
     # One model after the other, so that the driver holds the best one and the next.
     probes = staged(labelled.where(calibrates).select("_y", F.col("_text")), "probes")
-    held = {level: _listed(evident, level) for level in (*STEMS, WORD)}
+    levels = _levels(evident)
     del evident
+    below = {n: _places(levels[n][0], levels, [k for k in STEMS if k < n or n == WORD]) for n in levels}
+    coded = after["word"].combine_chunks().dictionary_encode()
+    after, of_word = after.drop_columns("word"), coded.indices.to_numpy()
+    below_pairs = _places(coded.dictionary, levels, (WORD, *STEMS))
+    del coded
+    give_back()
     best = None
     for i in range(len(DISCOUNTS)):
-        ratios, mass = _ratios(held, total, i)
-        model = ratios, _after(after, mass, total, i)
+        ratios, mass = _ratios(levels, below, total, i)
+        model = ratios, _after(after, of_word, below_pairs, mass, total, i)
         del ratios, mass
         seen = _probed(probes, model)
         x, y = seen[:, 1:], seen[:, 0]
@@ -142,7 +158,7 @@ def train(
             best = loss, model, tuple(w) if len(y) else (1.0, 4.0, -8.0)
         del model
         give_back()
-    del held, after
+    del levels, below, after, of_word, below_pairs
     release(chosen, pairs, counts, probes)
     give_back()
     return Model(best[1][0], best[2], best[1][1])
@@ -153,7 +169,8 @@ def _probed(probes: DataFrame, model: tuple) -> np.ndarray:
     sent = probes.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        table = _Ratio(*sent.value, Hashes())
+        expressions, pairs = sent.value
+        table = _Ratio(_tables(expressions), pairs, Hashes())
         return lambda texts: [list(c) for c in zip(*[features(table, t) for t in texts])]
 
     found = from_texts(probes, "m double, p double", make, text="_text", keep=["_y"]).collect()
@@ -161,53 +178,70 @@ def _probed(probes: DataFrame, model: tuple) -> np.ndarray:
     return np.array(found, dtype=float).reshape(-1, 3)
 
 
-def _listed(evident: pa.Table, level: int) -> tuple[list[bytes], list[int], list[int]]:
-    own = evident.filter(pc.equal(evident["level"], level))
-    return tuple(own[c].to_pylist() for c in ("key", "c0", "c1"))
+def _levels(evident: pa.Table) -> dict[int, tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """The expressions of every level and their counts in both classes."""
+    found = {}
+    for level in (*reversed(STEMS), WORD):
+        own = evident.filter(pc.equal(evident["level"], level))
+        found[level] = pa.concat_arrays(own["key"].chunks or [pa.array([], pa.binary())]), own["c0"].to_numpy(), own["c1"].to_numpy()
+    return found
 
 
-def _ratios(evident: dict[int, tuple], total: dict, which: int) -> tuple[dict[int, dict[bytes, float]], dict]:
+def _places(words: pa.Array, levels: dict[int, tuple], which: Sequence[int]) -> list[tuple[int, np.ndarray]]:
+    """For each of these levels, where each word or its first bytes stand among its expressions; -1: nowhere."""
+    return [(n, pc.index_in(pc.binary_slice(words, 0, n) if n else words, value_set=levels[n][0]).fill_null(-1).to_numpy()) for n in which]
+
+
+def _backoff(places: list[tuple[int, np.ndarray]], mass: dict[int, tuple], n: int, total: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both classes' probabilities in the first of the levels that holds a word, and of how large a count."""
+    p0, p1, both = np.ones(n), np.ones(n), np.full(n, float(total[WORD][0] + total[WORD][1]))
+    left = np.arange(n)
+    for level, at in places:
+        some, q0, q1, q = mass[level]
+        at = at[left]
+        met = at >= 0
+        met[met] = some[at[met]]
+        i, at = left[met], at[met]
+        p0[i], p1[i], both[i] = q0[at], q1[at], q[at]
+        left = left[~met]
+    return p0, p1, both
+
+
+def _ratios(levels: dict[int, tuple], below: dict[int, list], total: dict, which: int) -> tuple[dict[int, tuple[pa.Array, np.ndarray]], dict[int, tuple]]:
     """The ratios under one discount, level by level from the shortest stem up to the word; the probabilities."""
     d = DISCOUNTS[which]
     n0, n1 = map(float, total[WORD][:2])
-    mass: dict[int, dict[bytes, tuple[float, float, float]]] = {}
-    ratios: dict[int, dict[bytes, float]] = {}
-    for level in [*reversed(STEMS), WORD]:
-        if level not in total:
-            continue
-        below = [(k, held) for k, held in reversed(mass.items())]
-        share = total[level][2 + which]
-        at, known = {}, {}
-        for key, c0, c1 in zip(*evident[level]):
-            if max(c0, c1) <= d:
-                continue
-            p0, p1, both = next((held[key[:k]] for k, held in below if len(key) >= k and key[:k] in held), (1.0, 1.0, n0 + n1))
-            part = share * (c0 + c1) / both
-            p0 = (1 - share) * max(c0 - d, 0.0) / n0 + part * p0
-            p1 = (1 - share) * max(c1 - d, 0.0) / n1 + part * p1
-            at[key] = (p0, p1, float(c0 + c1))
-            known[key] = math.log(p1 / p0)
-        mass[level], ratios[level] = at, known
+    mass: dict[int, tuple] = {}
+    ratios: dict[int, tuple[pa.Array, np.ndarray]] = {}
+    for level, (keys, c0, c1) in levels.items():
+        share = total[level][2 + which] if level in total else 1.0
+        p0, p1, both = _backoff(below[level], mass, len(keys), total)
+        part = share * (c0 + c1) / both
+        p0 = (1 - share) * np.maximum(c0 - d, 0.0) / n0 + part * p0
+        p1 = (1 - share) * np.maximum(c1 - d, 0.0) / n1 + part * p1
+        some = np.maximum(c0, c1) > d
+        mass[level] = some, p0, p1, (c0 + c1).astype(np.float64)
+        ratios[level] = keys.filter(pa.array(some)), np.array([math.log(x) for x in p1[some] / p0[some]], dtype=np.float64)
     return ratios, mass
 
 
-def _after(after: pa.Table, mass: dict, total: dict, which: int) -> tuple[np.ndarray, np.ndarray]:
+def _after(after: pa.Table, of_word: np.ndarray, places: list[tuple[int, np.ndarray]], mass: dict, total: dict, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of pairs of words, in order, and the ratio of the second word after the first."""
     d = DISCOUNTS[which]
-    c0, c1, v0, v1, both, share = (after[c].to_numpy().astype(np.float64) for c in ("c0", "c1", "v0", "v1", "both", f"s{which}"))
-    coded = after["word"].combine_chunks().dictionary_encode()
-    below = np.ones((len(coded.dictionary), 3))  # both classes' probabilities, of how large a count
-    for i, word in enumerate(coded.dictionary.to_pylist()):
-        held = next((mass[n][k] for n in (WORD, *STEMS) if (k := word if n == WORD else word[:n]) in mass.get(n, ()) and len(word) >= n), None)
-        below[i] = held or (1.0, 1.0, total[WORD][0] + total[WORD][1])
-    below = below[coded.indices.to_numpy()]
-    part = share * np.minimum(both / below[:, 2], 1.0)
-    p0 = (1 - share) * np.maximum(c0 - d, 0) / np.maximum(v0, 1) + part * below[:, 0]
-    p1 = (1 - share) * np.maximum(c1 - d, 0) / np.maximum(v1, 1) + part * below[:, 1]
-    some = np.flatnonzero((np.maximum(c0, c1) > d) & (p0 > 0) & (p1 > 0))
-    h = after["h"].to_numpy()[some]
+    q0, q1, q = _backoff(places, mass, len(places[0][1]), total)
+    hashes, known = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+    for a in range(0, len(after), BLOCK):
+        block, word = after.slice(a, BLOCK), of_word[a : a + BLOCK]
+        c0, c1, v0, v1, both, share = (block[c].to_numpy().astype(np.float64) for c in ("c0", "c1", "v0", "v1", "both", f"s{which}"))
+        part = share * np.minimum(both / q[word], 1.0)
+        p0 = (1 - share) * np.maximum(c0 - d, 0) / np.maximum(v0, 1) + part * q0[word]
+        p1 = (1 - share) * np.maximum(c1 - d, 0) / np.maximum(v1, 1) + part * q1[word]
+        some = np.flatnonzero((np.maximum(c0, c1) > d) & (p0 > 0) & (p1 > 0))
+        hashes.append(block["h"].to_numpy()[some])
+        known.append(np.log(p1[some] / p0[some]).astype(np.float32))
+    h = np.concatenate(hashes)
     order = np.argsort(h)
-    return h[order], np.log(p1 / p0)[some][order].astype(np.float32) if len(some) else np.zeros(0, np.float32)
+    return h[order], np.concatenate(known)[order]
 
 
 def features(ratio: _Ratio, text: bytes | None) -> tuple[float, float]:
@@ -233,11 +267,11 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: Sequence[s
     A null or empty text, or one of unknown words only, has equal likelihoods and gets the score of that. A
     model without examples of both classes scores 0. Rows stay as they are, repeated ones too.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.ratios, model.pairs, model.weights))
+    sent = docs.sparkSession.sparkContext.broadcast((model.expressions, model.pairs, model.weights))
 
     def make():
-        ratios, pairs, weights = sent.value
-        table = _Ratio(ratios, pairs, Hashes())
+        expressions, pairs, weights = sent.value
+        table = _Ratio(_tables(expressions), pairs, Hashes())
 
         def compute(texts):
             if weights is None:

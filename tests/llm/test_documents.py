@@ -7,15 +7,18 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from figtrace.llm import decontaminate, minhash, pii, quality, toxicity
 from figtrace.llm.components import components
 from figtrace.llm.queries import QUERIES
+from figtrace.llm.texts import bit_table
 from tests.llm.conftest import EXTRA, SAID, SF, lower, plain, rows, spaced
 
 MORE = "/root/testdata/sf0.01"
@@ -71,6 +74,52 @@ def test_toxic_phrases_tell(spark):
     assert auc(np.array([score[i] for i in range(400, 600)]), np.array([y for i, _, y in said if i >= 400])) > 0.9
 
 
+def test_training_leaves_little_with_the_driver():
+    """What several discounts' models take while they are compared: dicts of tuples took 250 bytes an expression and more."""
+    words = [b"%07d" % i for i in range(60_000)]
+    level = [0] * len(words) + [4] * 6000
+    keys = words + [b"%04d" % i for i in range(6000)]
+    evident = pa.table({"level": pa.array(level), "key": pa.array(keys, pa.binary()), "c0": [i % 7 + 2 for i in range(len(keys))], "c1": [i % 5 for i in range(len(keys))]})
+    total = {0: (200_000, 100_000, 0.3, 0.5, 0.7), 4: (30_000, 10_000, 0.2, 0.4, 0.6)}
+    levels = toxicity._levels(evident)
+    tracemalloc.start()
+    below = {n: toxicity._places(levels[n][0], levels, [k for k in toxicity.STEMS if k < n or n == 0]) for n in levels}
+    for which in range(3):
+        ratios, mass = toxicity._ratios(levels, below, total, which)
+    taken = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert taken < 150 * len(keys)
+    # Discount 4: a word backs off to its first four bytes where these have evidence, else to the uniform.
+    (stems, said), (words_of, known) = ratios[4], ratios[0]
+    stem, word = dict(zip(stems.to_pylist(), said.tolist())), dict(zip(words_of.to_pylist(), known.tolist()))
+    row = dict(zip(keys, zip(evident["c0"].to_pylist(), evident["c1"].to_pylist())))
+    for key in (b"0000003", b"0001011", b"0059999"):
+        p, above = [1.0, 1.0], 300_000.0
+        for k, (n0, n1, *shares), held in ((key[:4], total[4], stem), (key, total[0], word)):
+            c = row[k]
+            assert (k in held) == (max(c) > 4)
+            if max(c) > 4:
+                part = shares[2] * sum(c) / above
+                p, above = [(1 - shares[2]) * max(x - 4, 0) / n + part * q for x, n, q in zip(c, (200_000, 100_000), p)], sum(c)
+                assert held[k] == math.log(p[1] / p[0])
+
+
+def test_bit_tables_take_one_job(spark):
+    """Whatever the number of partitions; a job for each was 211 jobs of the driver on as many."""
+    size, group = 1 << 12, "bit-table"
+    spots = spark.createDataFrame([(i * i % size,) for i in range(900)], "s long").repartition(40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        held = bit_table(spots, size)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert set(np.flatnonzero(np.unpackbits(held.view(np.uint8), bitorder="little")).tolist()) == {i * i % size for i in range(900)}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 4
+    assert not bit_table(spots.where("s < 0"), size).any()
+
+
 def test_scores_of_odd_texts(spark, odd, none):
     one_class = labels_of(spark, [(1, 0, 1), (None, 1, 1), (2, None, None)])
     for docs in (odd, none):
