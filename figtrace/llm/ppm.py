@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figtrace.llm.texts import LOWER, from_texts, release, slices, staged, words
+from figtrace.llm.texts import LOWER, from_texts, give_back, release, slices, staged, words
 from figtrace.llm.word_counts import Hashes, add_up, word_counts
 
 ORDER = 5
+# Bytes of text that a task takes at a time, as each becomes several numbers; grams that it holds while it counts.
+SLICE = 1 << 20
+HELD = 2_000_000
 # What a symbol costs after the ORDER before it is sent to all tasks for the most frequent cases, no more than
 # this many. The others are joined.
 CONTEXTS = 1 << 22
@@ -53,40 +56,48 @@ def _grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 def byte_counts(docs: DataFrame, training: Column, *, text: str = "text") -> DataFrame:
     """How often each symbol follows each ``ORDER`` symbols: gram, n in all texts, t in those to learn from."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
+    source = docs.select(F.col(text).cast("binary").alias("_text"), F.coalesce(training, F.lit(False)).alias("_learn"))
+    return source.mapInArrow(_counted, "gram long, n long, t long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
 
-        def given(learn: bool) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The grams of texts (text, whether to learn from it) with their counts; a gram can come again where a task has more than it holds."""
+    held: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for learn in (True, False):
+            if not held[learn][0]:
+                continue
             grams, n = add_up(*held[learn])
+            held[learn] = ([], [])
             for a in range(0, len(grams), 100_000):
                 part = slice(a, a + 100_000)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(grams[part]), pa.array(n[part]), pa.array(n[part] if learn else np.zeros_like(n[part]))], ["gram", "n", "t"]
                 )
 
-        size = 0
-        for b in slices(batches, 0):
-            texts, learned = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for learn in (True, False):
-                some = [t for t, y in zip(texts, learned) if y == learn]
-                if some:
-                    grams, n = np.unique(_grams(some)[0], return_counts=True)
-                    held[learn][0].append(grams)
-                    held[learn][1].append(n)
-                    size += len(grams)
-            if size > 4_000_000:
-                size = 0
-                for learn, (grams, n) in held.items():
-                    if grams:
-                        k, m = add_up(grams, n)
-                        held[learn] = ([k], [m])
-                        size += len(k)
+    size = 0
+    for b in slices(batches, 0, SLICE):
+        texts, learned = b.column(0).to_pylist(), b.column(1).to_pylist()
         for learn in (True, False):
-            if held[learn][0]:
-                yield from given(learn)
-
-    source = docs.select(F.col(text).cast("binary").alias("_text"), F.coalesce(training, F.lit(False)).alias("_learn"))
-    return source.mapInArrow(run, "gram long, n long, t long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+            some = [t for t, y in zip(texts, learned) if y == learn]
+            if some:
+                grams, n = np.unique(_grams(some)[0], return_counts=True)
+                held[learn][0].append(grams)
+                held[learn][1].append(n)
+                size += len(grams)
+        if size > HELD:
+            size = 0
+            for learn, (grams, n) in held.items():
+                if grams:
+                    k, m = add_up(grams, n)
+                    held[learn] = ([k], [m])
+                    size += len(k)
+            if size > HELD // 2:
+                yield from given()
+                size = 0
+    yield from given()
+    give_back(collect=False)
 
 
 def _last(gram: Column, symbols: int) -> Column:
@@ -221,7 +232,7 @@ def score(docs: DataFrame, training: Column, *, text: str = "text", keep: list[s
 
     fields = "_n_tokens long, _known long, _base double, _score double, _grams array<long>, _grams_n array<long>, _rare array<long>, _rare_n array<long>"
     numbered = docs.select(*keep, F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    first = staged(from_texts(numbered, fields, make, text="_text", keep=[*keep, "_row"]), "scored")
+    first = staged(from_texts(numbered, fields, make, text="_text", keep=[*keep, "_row"], size=SLICE), "scored")
 
     rest = first.select("_row", F.explode(F.arrays_zip("_rare", "_rare_n")).alias("_z")).select(
         "_row", F.col("_z._rare").alias("h"), F.col("_z._rare_n").alias("_times")

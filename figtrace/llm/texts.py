@@ -54,12 +54,13 @@ def from_texts(
     text: str = "text",
     keep: Sequence[str] | None = None,
     also: Sequence[str] = (),
+    size: int = SLICE,
 ) -> DataFrame:
     """``docs`` with columns computed from its texts, one row each.
 
     ``make`` runs once in every task and returns a function from the texts of a batch (bytes, None for
     null), and its values of the columns ``also``, to one list or array per field of ``schema``. ``keep`` names the columns that stay (all by
-    default); one that has the name of a new column is replaced.
+    default); one that has the name of a new column is replaced. Texts come ``size`` bytes at a time.
     """
     new = StructType.fromDDL(schema)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
@@ -70,7 +71,7 @@ def from_texts(
     def run(batches: Batches) -> Batches:
         compute = make()
         fields = None
-        for batch in slices(batches, n):
+        for batch in slices(batches, n, size):
             columns = compute(*[batch.column(i).to_pylist() for i in range(n, n + 1 + len(also))])
             if fields is None:
                 from pyspark.sql.pandas.types import to_arrow_schema

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figtrace.llm.texts import slices
+from figtrace.llm.texts import give_back, slices
 
 
 def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -34,10 +34,14 @@ def word_counts(docs: DataFrame, *, split: Callable[[bytes | None], list[bytes]]
             if size > 4_000_000:
                 h, n = add_up(*held)
                 held, size = ([h], [n]), len(h)
+        hashes.clear()
         if held[0]:
             h, n = add_up(*held)
             for a in range(0, len(h), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 100_000]), pa.array(n[a : a + 100_000])], ["h", "n"])
+            del h, n
+        del held
+        give_back(collect=False)
 
     source = docs.select(F.col(text).cast("binary").alias("_text"))
     return source.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))

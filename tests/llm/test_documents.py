@@ -75,7 +75,7 @@ def test_toxic_phrases_tell(spark):
 
 
 def test_training_leaves_little_with_the_driver():
-    """What several discounts' models take while they are compared: dicts of tuples took 250 bytes an expression and more."""
+    """What several discounts' models take while they are compared: dicts of tuples took 547 bytes an expression."""
     words = [b"%07d" % i for i in range(60_000)]
     level = [0] * len(words) + [4] * 6000
     keys = words + [b"%04d" % i for i in range(6000)]

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +209,41 @@ def test_rare_contexts_count(spark, monkeypatch, sent):
         assert r["score"] == pytest.approx(want[r["text"]], rel=1e-4), r["text"]
 
 
+def test_counting_bytes_takes_bounded_memory(monkeypatch):
+    """A task counts 16 MB of random text, nearly all of whose grams are distinct: it held them all, in slices of 4 MB."""
+    monkeypatch.setattr(ppm, "HELD", 400_000)
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 123, 20_000, dtype=np.uint8).tobytes() for _ in range(800)]
+    batches = (pa.RecordBatch.from_arrays([pa.array(texts[a : a + 100], pa.binary()), pa.array([i % 3 > 0 for i in range(a, a + 100)])], ["_text", "_learn"]) for a in range(0, 800, 100))
+    symbols, learned = 0, 0
+    tracemalloc.start()
+    for b in ppm._counted(batches):
+        symbols += sum(b.column(1).to_pylist())
+        learned += sum(b.column(2).to_pylist())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (symbols, learned) == (800 * 20_001, sum(i % 3 > 0 for i in range(800)) * 20_001)
+    assert most < 100 << 20
+
+
+def test_counts_given_in_parts_add_up(monkeypatch):
+    texts = [None, b"", b"Aa bb", "ünï 中文".encode(), b"ab" * 300, b"Aa bb"]
+
+    def counted():
+        found = Counter()
+        for b in ppm._counted(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array([True, False, False, True, True, True])], ["_text", "_learn"])])):
+            for gram, n, t in zip(*[c.to_pylist() for c in b.columns]):
+                found[gram, "n"] += n
+                found[gram, "t"] += t
+        return found
+
+    whole = counted()
+    assert sum(n for (_, kind), n in whole.items() if kind == "n") == sum(len(t or b"") + 1 for t in texts)
+    monkeypatch.setattr(ppm, "SLICE", 5)
+    monkeypatch.setattr(ppm, "HELD", 8)
+    assert counted() == whole
+
+
 def test_score_of_odd_texts(odd, none):
     got = rows(ppm.score(odd, F.col("doc_id") > 0, keep=["doc_id", "score"]))
     assert len(got) == odd.count() and all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (3, 4, 5))
